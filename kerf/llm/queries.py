@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from kerf.llm.common import table
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerf.llm.rules import rule_report
+
+    return rule_report(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerf.llm.bpe import bpe_digests
 
@@ -21,6 +27,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerf.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerf.llm.wordpiece import token_counts
 
