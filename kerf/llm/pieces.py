@@ -17,29 +17,48 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
-class PieceCoder:
-    """Codes of whole texts, through a cache of the codes of pieces.
+class PieceCache(dict):
+    """Codes of pieces in two generations of bounded size.
 
-    ``encode_many`` gives a code for each of a list of strings. A text's result is
-    the list of the codes of its pieces. When the cache has ``limit`` entries it is
-    emptied, so memory is bounded and results never change.
+    Where the young one is full it becomes the old one, and the old one is dropped;
+    what is still in use moves to the young one again.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 250_000) -> None:
-        self.encode_many = encode_many
-        self.limit = limit
-        self.after_space: dict[str, object] = {}
-        self.plain: dict[str, object] = {}
+    def __init__(self, encode_many: Callable[[list[str]], list], prefix: str, limit: int) -> None:
+        super().__init__()
+        self.encode_many, self.prefix, self.limit = encode_many, prefix, limit
+        self.old: dict[str, object] = {}
 
-    def _learn(self, cache: dict[str, object], wanted: set[str], prefix: str) -> None:
-        if len(cache) > self.limit:
-            cache.clear()
-        new = list(wanted.difference(cache))
+    def learn(self, pieces: set[str]) -> None:
+        """Makes sure that all ``pieces`` have their codes."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        new = pieces.difference(self)
+        if not new:
+            return
+        again = new.intersection(self.old)
+        self.update((x, self.old[x]) for x in again)
+        new = list(new - again)
         if new:
-            cache.update(zip(new, self.encode_many([prefix + x for x in new])))
+            prefix = self.prefix
+            self.update(zip(new, self.encode_many([prefix + x if x[:1] != "\n" else x for x in new])))
+
+
+class PieceCoder:
+    """Codes of whole texts, through a cache of the codes of pieces.
+
+    ``encode_many`` gives a code for each of a list of strings; ``encode_spaced`` may
+    do the same faster for strings that begin with one blank or line end and go on
+    without white space. A text's result is the list of the codes of its pieces.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = 250_000, encode_spaced: Callable[[list[str]], list] | None = None) -> None:
+        self.after_space = PieceCache(encode_spaced or encode_many, " ", limit)
+        self.plain = PieceCache(encode_many, "", limit // 8)
 
     def __call__(self, texts: list[str]) -> list[list]:
-        spaced: list[list[str] | None] = []
+        spaced: list[list[str]] = []
         plain: list[list[str]] = []
         for text in texts:
             # Single blanks and line ends only: cut by str.split, the common case.
@@ -49,19 +68,9 @@ class PieceCoder:
                 # A piece at a line end begins with \n, all others with a blank.
                 spaced.append(cut[1:])
             else:
-                spaced.append(None)
+                spaced.append([])
                 plain.append(_PIECE.findall(text))
-        self._learn(self.plain, set(chain.from_iterable(plain)), "")
-        wanted = set(chain.from_iterable(x for x in spaced if x))
-        lines = {x for x in wanted if x[0] == "\n"}
-        if len(self.after_space) > self.limit:
-            self.after_space.clear()
-        self._learn(self.after_space, wanted - lines, " ")
-        new = list(lines.difference(self.after_space))
-        if new:
-            self.after_space.update(zip(new, self.encode_many(new)))
+        self.plain.learn(set(chain.from_iterable(plain)))
+        self.after_space.learn(set(chain.from_iterable(spaced)))
         plain_of, spaced_of = self.plain.__getitem__, self.after_space.__getitem__
-        return [
-            [*map(plain_of, first), *map(spaced_of, rest)] if rest else list(map(plain_of, first))
-            for first, rest in zip(plain, spaced)
-        ]
+        return [[*map(plain_of, first), *map(spaced_of, rest)] for first, rest in zip(plain, spaced)]

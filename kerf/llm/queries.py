@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from kerf.llm.common import table
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerf.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerf.llm.rules import rule_report
 
