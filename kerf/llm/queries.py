@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from kerf.llm.common import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerf.llm.neardup import near_duplicate_report
+
+    return near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerf.llm.quality import quality_report
 
