@@ -77,6 +77,23 @@ def map_rows(
     return df.mapInArrow(run, out)
 
 
+def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]]) -> DataFrame:
+    """Rows of ``df`` that a Python function of some columns keeps.
+
+    All columns pass as they are, whatever their names and types.
+    """
+    short_batches(df.sparkSession)
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            mask = keep({c: batch.column(k).to_pylist() for c, k in zip(columns, at)})
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that operators read; other columns never clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

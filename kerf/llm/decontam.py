@@ -18,7 +18,6 @@ repeated results. A null item id counts for hits but isn't listed.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import ahocorasick
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerf.llm.common import id_and_text, map_rows, materialize
+from kerf.llm.common import filter_rows, id_and_text, map_rows, materialize
 
 WINDOW = 10
 _SPACE = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else 0x20 for c in bytes(range(256)).lower())
@@ -136,13 +135,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     ).drop("row")
 
 
-def without_passages(text: str, spans: list) -> str:
-    """The text without the code points in ``spans``, which are sorted or overlap."""
-    out, at = [], 0
-    for s in spans:
-        out.append(text[at : max(at, s["start"])])
-        at = max(at, s["end"])
-    return re.sub(r"[ \t]{2,}", " ", "".join([*out, text[at:]]))
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 200_000) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that hold no window of any item."""
+    out = docs
+    for part in blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+        def make(shared=shared):  # noqa: ANN001, ANN202
+            found = patterns(shared.value, window)
+            scanner = automaton(found) if found else None
+            return lambda cols: [not scan(scanner, t)[1] for t in cols["text"]]
+
+        out = filter_rows(out, ["text"], make)
+    return out
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

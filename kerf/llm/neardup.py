@@ -16,7 +16,8 @@ connected with it already. Groups beyond ``limit`` shingles are cut into blocks,
 each pair of blocks is a task of bounded size; nothing is capped.
 
 Documents without words are linked with nothing. Rows with equal text are linked.
-A null id never becomes a component's id where another is there; a component of null
+``docs`` must give the same rows in the same partitions each time, as tables do: its
+texts are read twice. A null id never becomes a component's id where another is there; a component of null
 ids alone has a null id. Repeated rows appear as often as they come in.
 """
 
@@ -317,6 +318,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of each component, the one with its least id; all columns stay.
+
+    Rows that share an id and a component count as one document. Rows whose
+    component has no id can't be told apart and all stay.
+    """
+    got = near_duplicates(docs)
+    first = F.struct(~F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
+    one = got.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min_by("row", first).alias("row")).select("row")
+    keep = one.unionAll(got.where("component_id IS NULL").select("row"))
+    # The row number gets a name that no column has.
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    return rows.join(keep.withColumnRenamed("row", name), name, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     got = near_duplicates(docs)
     return got.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

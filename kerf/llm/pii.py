@@ -121,14 +121,16 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, keep: bool = False) -> DataFrame:
     """``row, doc_id, found``: candidates that pass their kind's test, with their votes.
 
-    Bit k of ``votes`` is the vote of labeler k.
+    Bit k of ``votes`` is the vote of labeler k. With ``keep``, all columns of ``docs``
+    come along within one struct, ``kept``.
     """
+    kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept")] if keep else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = F.translate(text, "\x01\x03\x04\x05", "\x02\x02\x02\x02")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), plain.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), plain.alias("text"), *kept)
     t = F.col("text")
     digit = t.rlike("[0-9]")
     dotted = F.regexp_replace(t, "\\.(?![A-Za-z0-9-])", "\x03")
@@ -141,7 +143,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "local_phone": _find(t, _LOCAL_PHONE, digit),
         "ssn": _find(t, _SSN, digit),
     }
-    found = rows.select("row", "doc_id", "text", *(c.alias(k) for k, c in scans.items()))
+    found = rows.select(*rows.columns, *(c.alias(k) for k, c in scans.items()))
 
     def spans(rank: int, kind: str) -> Column:
         raw = F.filter(kind, lambda x: _valid(kind, x["text"]))
@@ -156,7 +158,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
         return F.transform(raw, voted)
 
-    return found.select("row", "doc_id", F.concat(*(spans(i, k) for i, k in enumerate(KINDS))).alias("found"))
+    return found.select("row", "doc_id", *(["kept"] if keep else []), F.concat(*(spans(i, k) for i, k in enumerate(KINDS))).alias("found"))
 
 
 def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple[list[tuple[float, float]], list[float]]:
@@ -191,22 +193,52 @@ def posterior(kind: int, votes: int, rates: list[tuple[float, float]], prior: li
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``row, doc_id, spans`` of each row of ``docs``.
+def classifier(found: DataFrame, threshold: float = 0.5):  # noqa: ANN201
+    """The span classifier fitted on candidates: a function from ``found`` to spans.
 
-    ``spans`` is an array of rank (of the kind), start, end, kind and score. ``row`` is
-    the number that ``monotonically_increasing_id`` gives a row of ``docs``.
+    Spans have rank (of the kind), start, end, kind and score.
     """
-    found = materialize(candidates(docs), "pii")
     table = found.select(F.explode("found").alias("c")).groupBy("c.rank", "c.votes").count().collect()
     rates, prior = reliabilities({(r["rank"], r["votes"]): r["count"] for r in table})
     scores = [[float(posterior(k, v, rates, prior)) for v in range(1 << len(LABELERS))] for k in range(len(KINDS))]
     lookup = F.array(*(F.array(*map(F.lit, row)) for row in scores))
     score = lambda x: F.get(F.get(lookup, x["rank"]), x["votes"])
     names = F.array(*map(F.lit, KINDS))
-    kept = F.filter("found", lambda x: (x["rank"] < BASE) | (score(x) > threshold))
-    full = F.transform(kept, lambda x: F.struct(x["rank"], x["start"], x["end"], F.get(names, x["rank"]).alias("kind"), score(x).alias("score")))
-    return found.select("row", "doc_id", full.alias("spans"))
+
+    def spans(of: Column) -> Column:
+        kept = F.filter(of, lambda x: (x["rank"] < BASE) | (score(x) > threshold))
+        return F.transform(kept, lambda x: F.struct(x["rank"], x["start"], x["end"], F.get(names, x["rank"]).alias("kind"), score(x).alias("score")))
+
+    return spans
+
+
+def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``row, doc_id, spans`` of each row of ``docs``.
+
+    ``row`` is the number that ``monotonically_increasing_id`` gives a row of ``docs``.
+    """
+    found = materialize(candidates(docs), "pii")
+    return found.select("row", "doc_id", classifier(found, threshold)(F.col("found")).alias("spans"))
+
+
+def redacted(docs: DataFrame, threshold: float = 0.5, length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with ``[kind]`` for each span in ``text``, and its length anew.
+
+    Texts are scanned twice, once to fit and once to redact: that moves no text,
+    where a join of spans with texts would shuffle them all.
+    """
+    spans = classifier(candidates(docs), threshold)
+    got = candidates(docs, keep=True).select("kept", spans(F.col("found")).alias("spans"))
+    text = redact(F.col("kept.text").cast("string"), F.col("spans"))
+    got = got.select("kept", F.when(F.size("spans") > 0, text).otherwise(F.col("kept.text").cast("string")).alias("clean"))
+
+    def column(c: str) -> Column:
+        own = F.col("kept")[c]
+        if c == "text":
+            return F.col("clean").alias(c)
+        return F.coalesce(F.length("clean").cast(docs.schema[c].dataType), own).alias(c) if c == length_col else own.alias(c)
+
+    return got.select(*map(column, docs.columns))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import id_and_text, map_rows, materialize, short_batches
+from kerf.llm.common import filter_rows, id_and_text, map_rows, materialize, short_batches
 
 BITS = 18
 #: Labelled rows that are trained on at most.
@@ -177,12 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     return np.frombuffer(got[0]["weights"], np.float32) if got else np.zeros(1 << BITS, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, score`` of each row, and the columns named in ``keep``."""
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``doc_id, score`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    kept = [docs.schema[c] for c in keep]
-    schema = "doc_id long, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
 
     def make():  # noqa: ANN202
         w = shared.value
@@ -195,7 +192,18 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ()) -> D
 
         return step
 
-    return map_rows(rows, make, schema)
+    return map_rows(id_and_text(docs), make, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def make():  # noqa: ANN202
+        w = shared.value
+        return lambda cols: [float(sigmoid(margin(w, t))) >= threshold for t in cols[text_col]]
+
+    return filter_rows(docs, [text_col], make)
 
 
 def held_out(doc_id: Column | str) -> Column:
