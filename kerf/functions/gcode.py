@@ -54,6 +54,14 @@ def parameter(token: Column) -> Column:
     )
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, however often they are used.
+
+    A one-row generator keeps the optimizer from copying their expressions into every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def parsed(lines: DataFrame, text: str = "text") -> DataFrame:
     """``lines`` with type, n, code, params, comment and orig of each line."""
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -61,8 +69,8 @@ def parsed(lines: DataFrame, text: str = "text") -> DataFrame:
     # Places count from 1: a comment at the very start is no trailing one.
     cut = F.when(semicolon > 0, semicolon).when((opening > 0) & (closing > 1), opening).otherwise(0)
     body = F.when(cut > 1, F.substring(raw, F.lit(1), cut - 1)).otherwise(raw)
-    tokens = F.filter(F.split(body, _SPACE), lambda t: t != "")
-    df = lines.withColumns({"_raw": raw, "_cut": cut, "_body": body}).withColumn("_t", tokens)
+    df = bound(lines, _raw=raw, _cut=cut, _body=body)
+    df = bound(df, _t=F.filter(F.split("_body", _SPACE), lambda t: t != ""))
     t0, t1 = F.get("_t", 0), F.get("_t", 1)
     whole = lambda t: F.substring(t, F.lit(2), F.length(t)).try_cast("int")
     strict = lambda t: F.when(t.rlike("^.[+-]?[0-9]+$"), whole(t))
@@ -83,19 +91,18 @@ def parsed(lines: DataFrame, text: str = "text") -> DataFrame:
         .when(is_control, F.when(control == "if", "If").when(control == "else", "Else").when(control == "endif", "EndIf").otherwise("UnknownControl"))
         .otherwise("UnknownString")
     )
-    df = df.withColumns({"type": kind, "_code": code, "_n": number})
+    df = bound(df, type=kind, _code=code, _n=number)
     has_code, has_list = F.col("type").isin("GCode", "MCode"), F.col("type").isin("GCode", "MCode", "UnknownCode", "If", "Else", "EndIf", "UnknownControl")
     skip = F.when(has_code & is_n, 2).otherwise(1)
     rest = F.when(F.size("_t") > skip, F.slice("_t", skip + 1, F.size("_t") - skip)).otherwise(F.array().cast("array<string>"))
-    out = df.withColumns(
-        {
-            "n": F.when(F.col("type").isin("GCode", "MCode", "UnknownCode"), F.col("_n")),
-            "code": F.when(has_code, F.col("_code")),
-            "params": F.when(has_list, F.transform(rest, parameter)).otherwise(F.array().cast(f"array<{PARAMETER}>")),
-            "comment": F.when(F.col("type") == "Comment", F.substring("_raw", F.greatest(F.instr("_raw", ";"), F.lit(1)), F.length("_raw")))
-            .when(F.col("_cut") > 1, F.substring("_raw", F.col("_cut"), F.length("_raw"))),
-            "orig": F.when(F.col("type") != "Blank", F.col("_body")),
-        }
+    comment = F.when(F.col("type") == "Comment", F.substring(F.col("_raw"), F.greatest(F.instr("_raw", ";"), F.lit(1)), F.length("_raw")))
+    out = bound(
+        df,
+        n=F.when(F.col("type").isin("GCode", "MCode", "UnknownCode"), F.col("_n")),
+        code=F.when(has_code, F.col("_code")),
+        params=F.when(has_list, F.transform(rest, parameter)).otherwise(F.array().cast(f"array<{PARAMETER}>")),
+        comment=comment.when(F.col("_cut") > 1, F.substring(F.col("_raw"), F.col("_cut"), F.length("_raw"))),
+        orig=F.when(F.col("type") != "Blank", F.col("_body")),
     )
     return out.drop("_raw", "_cut", "_body", "_t", "_code", "_n")
 

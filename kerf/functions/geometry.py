@@ -54,7 +54,7 @@ def normalized(a: Point, otherwise: Point | None = None, least: float = 0.0) ->
     n = length(a)
     usable = n > least
     other = otherwise or (F.lit(None), F.lit(None), F.lit(None))
-    return tuple(F.when(usable, p / n).otherwise(o) for p, o in zip(a, other))
+    return tuple(F.when(usable, F.try_divide(p, n)).otherwise(o) for p, o in zip(a, other))
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
@@ -200,13 +200,13 @@ def along(p: Point, a: Point, b: Point) -> tuple[Column, Column]:
     """How far along the axis the point lies, and the axis' length."""
     axis = subtract(b, a)
     n = length(axis)
-    return dot(subtract(p, a), axis) / n, n
+    return F.try_divide(dot(subtract(p, a), axis), n), n
 
 
 def in_cylinder(p: Point, a: Point, b: Point, r: Column, rounded: Column) -> Column:
     """Within a cylinder with flat ends, or, where ``rounded``, a capsule."""
     t, n = along(p, a, b)
-    foot = add(a, scale(subtract(b, a), t / n))
+    foot = add(a, scale(subtract(b, a), F.try_divide(t, n)))
     d = subtract(p, foot)
     beside = (t >= -END_TOLERANCE) & (t <= n + END_TOLERANCE)
     return F.when(n < SHORTEST_AXIS, in_sphere(p, a, r)).when(beside, dot(d, d) <= r * r).otherwise(rounded & (in_sphere(p, a, r) | in_sphere(p, b, r)))
@@ -216,7 +216,7 @@ def capsule_distance(p: Point, a: Point, b: Point, r: Column) -> Column:
     """Signed distance from a capsule's surface, negative within."""
     t, n = along(p, a, b)
     t = F.greatest(F.lit(0.0), F.least(n, t))
-    return distance(p, add(a, scale(subtract(b, a), t / n))) - r
+    return distance(p, add(a, scale(subtract(b, a), F.try_divide(t, n)))) - r
 
 
 def sphere_distance(p: Point, centre: Point, r: Column) -> Column:
@@ -229,7 +229,7 @@ def is_valid_normal(n: Point) -> Column:
 
 def zero_crossing(a: Point, b: Point, va: Column, vb: Column) -> Point:
     """Where a value that is ``va`` at a and ``vb`` at b is zero; a where both are alike."""
-    t = va / (va - vb)
+    t = F.try_divide(va, va - vb)
     return tuple(F.when(F.abs(va - vb) < 1e-8, p).otherwise(p + (q - p) * t) for p, q in zip(a, b))
 
 

@@ -30,11 +30,16 @@ def lattice(spark: SparkSession, grid: Grid) -> DataFrame:
 
 
 def index_box(primitives: DataFrame, grid: Grid, about_centre: bool = False) -> DataFrame:
-    """Adds lo_x .. hi_z: cells that a primitive's box touches within the lattice.
+    """Adds lo_x .. hi_z, cells that a primitive's box touches within the lattice, and its axis.
 
-    ``about_centre``: a sphere's box is its centre's cell and ceil(r / res) to each side.
+    The axis is ux, uy, uz and its length, and ``point`` says that there is none; so what
+    is tested for each cell is short. ``about_centre``: a sphere's box is its centre's
+    cell and ceil(r / res) to each side.
     """
-    cols = {}
+    length = g.distance(g.point("a"), g.point("b"))
+    primitives = primitives.withColumn("axis", length)
+    cols = {f"u{n}": F.try_divide(F.col(f"b{n}") - F.col(f"a{n}"), F.col("axis")) for n in AXES}
+    cols["point"] = (F.col("shape") == "sphere") | (F.col("axis") < g.SHORTEST_AXIS)
     for k, n in enumerate(AXES):
         a, b, r = F.col(f"a{n}"), F.col(f"b{n}"), F.col("r")
         lo, hi = grid.index(F.least(a, b) - r, k), grid.index(F.greatest(a, b) + r, k)
@@ -70,9 +75,14 @@ def centre(grid: Grid) -> g.Point:
 
 
 def inside(grid: Grid) -> Column:
-    """Whether the cell's centre lies in its row's primitive."""
+    """Whether the cell's centre lies in the primitive of its row, prepared by :func:`index_box`."""
     p, a, b, r = centre(grid), g.point("a"), g.point("b"), F.col("r")
-    return F.when(F.col("shape") == "sphere", g.in_sphere(p, a, r)).otherwise(g.in_cylinder(p, a, b, r, F.col("shape") == "capsule"))
+    u, n = g.point("u"), F.col("axis")
+    t = g.dot(g.subtract(p, a), u)
+    off = tuple(c - (d + e * t) for c, d, e in zip(p, a, u))
+    beside = (t >= -g.END_TOLERANCE) & (t <= n + g.END_TOLERANCE)
+    ends = (F.col("shape") == "capsule") & (g.in_sphere(p, a, r) | g.in_sphere(p, b, r))
+    return F.when(F.col("point"), g.in_sphere(p, a, r)).when(beside, g.dot(off, off) <= r * r).otherwise(ends)
 
 
 def hits(primitives: DataFrame, grid: Grid, salt: int = 1) -> DataFrame:

@@ -145,7 +145,7 @@ def dual_crossings(cells: DataFrame, grid: Grid) -> DataFrame:
     found = []
     for e, (a, b) in enumerate(EDGES):
         va, vb = F.col(f"c{a}"), F.col(f"c{b}")
-        t = va / (va - vb)
+        t = F.try_divide(va, va - vb)
         at = [
             (F.lit(float(grid.lo[k])) + (F.col(n) + CORNERS[a][k] + t * (CORNERS[b][k] - CORNERS[a][k])) * F.lit(float(grid.res))).alias(f"w{n}")
             for k, n in enumerate(AXES)

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerf.functions.gcode import find_number, parsed
+from kerf.functions.gcode import bound, find_number, parsed
 from kerf.plans.toolpath import COMMANDS, modal
 
 Move = tuple  # (kind, x, y, z) or (kind, x, y, z, a, b, c), and feed by name in command()
@@ -29,9 +29,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def moves(lines: DataFrame, job: str = "file", order: str = "line_no") -> DataFrame:
     """G0 and G1 lines as rows of job_id, seq, code and the words X, Y, Z and F that they have."""
-    g = parsed(lines).where((F.col("type") == "GCode") & F.col("code").isin(0, 1))
-    word = lambda name: find_number(F.col("params"), name)
-    return g.select(F.col(job).alias("job_id"), F.col(order).alias("seq"), "code", *(word(n).alias(n.lower()) for n in "XYZF"))
+    read = parsed(lines.select(F.col(job).alias("job_id"), F.col(order).alias("seq"), "text"))
+    words = bound(read, **{n.lower(): find_number(F.col("params"), n) for n in "XYZF"})
+    return words.where((F.col("type") == "GCode") & F.col("code").isin(0, 1)).select("job_id", "seq", "code", *"xyzf")
 
 
 def read_program(spark: SparkSession, path: str, start: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:

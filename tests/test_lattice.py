@@ -95,7 +95,7 @@ def test_order_repetition_and_steps(spark):
         replay = L.removed(T.primitives(segs.where(F.col("seq") <= k), tool, 1.0), grid)
         assert key(L.after(all_, k)) == key(replay)
     # Without tiles: every cell against every primitive.
-    plain = L.lattice(spark, grid).crossJoin(prims).where(L.inside(grid)).select("job_id", "x", "y", "z").distinct()
+    plain = L.lattice(spark, grid).crossJoin(L.index_box(prims, grid)).where(L.inside(grid)).select("job_id", "x", "y", "z").distinct()
     assert key(plain) == key(all_)
 
 
