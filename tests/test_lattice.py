@@ -9,14 +9,9 @@ from kerf.grid import Grid
 from kerf.operators import lattice as L
 from kerf.plans import toolpath as T
 from kerf.plans.toolpath import Tool
+from kerf.scenarios import shapes
 from kerf.sources.gcode import command, commands
 
-PRIMITIVE = "job_id long, seq long, part int, shape string, ax double, ay double, az double, bx double, by double, bz double, r double"
-
-
-def shapes(spark, *rows):
-    return spark.createDataFrame([(0, i, 0, s, *map(float, a), *map(float, b), float(r)) for i, (s, a, b, r) in enumerate(rows)], PRIMITIVE)
-
 
 def cut(spark, grid, tool, moves, start=(0.0, 0.0, 0.0)):
     segs = T.segments(commands(spark, moves), start)
