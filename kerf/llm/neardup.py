@@ -63,25 +63,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    LIMIT = 500_000
+class Words(dict):
+    """Hashes of the words that a task has seen; bounded, and gone with the task."""
+
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
-_words = _Words()
-
-
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+def shingles(text: str | None, known: Words, width: int = WIDTH) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > _words.LIMIT:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     w = min(width, len(words))
     n = len(words) - w + 1
     acc = np.full(n, w, np.uint64)
@@ -235,10 +234,15 @@ def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int =
     return [(int(order[a]), int(order[b])) for a, b in forest.edges]
 
 
-def _compare_sets(group: dict[str, list]) -> list[tuple]:
-    m, block, i, j = group["m"], group["block"], group["i"][0], group["j"][0]
-    found = links([shingles(t) for t in group["text"]], None if i == j else np.array(block))
-    return [(m[a], m[b]) for a, b in found]
+def _compare_sets() -> Callable[[dict[str, list]], list[tuple]]:
+    known = Words()
+
+    def step(group: dict[str, list]) -> list[tuple]:
+        m, block, i, j = group["m"], group["block"], group["i"][0], group["j"][0]
+        found = links([shingles(t, known) for t in group["text"]], None if i == j else np.array(block))
+        return [(m[a], m[b]) for a, b in found]
+
+    return step
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
@@ -275,8 +279,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
 
     def make():  # noqa: ANN202
+        known = Words()
+
         def step(cols: dict[str, list]) -> dict[str, list]:
-            sets = [shingles(t) for t in cols["text"]]
+            sets = [shingles(t, known) for t in cols["text"]]
             prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             return {
                 "row": cols["row"],
@@ -306,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     texts = rows.select("row", "text").join(members.select("m", "at", "group", "block", "blocks"), F.col("row") == F.col("at"))
     dealt = texts.select("m", "group", "block", "text", F.explode(pairs).alias("p")).select("m", "group", "block", "text", "p.i", "p.j")
-    edges = materialize(map_groups(dealt, ["group", "i", "j"], lambda: _compare_sets, "a long, b long"), "links")
+    edges = materialize(map_groups(dealt, ["group", "i", "j"], _compare_sets, "a long, b long"), "links")
     roots = components(edges, "linked")
     ids = roots.join(reps.select("m", "least_id"), F.col("vertex") == F.col("m"))
     ids = ids.select("m", "root").join(ids.groupBy("root").agg(F.min("least_id").alias("component")), "root").select("m", "component")
