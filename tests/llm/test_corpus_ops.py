@@ -116,7 +116,8 @@ def test_repeats_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD", 500)
     monkeypatch.setattr(repeats, "CHUNK", 300)
     repeats._POWERS.clear()
-    same = "".join(random.Random(1).choice("abcdef") for _ in range(500))
+    rng = random.Random(1)
+    same = "".join(rng.choice("abcdef") for _ in range(500))
     got = repeats.without_repeats(frame(spark, [(3, same), (3, same), (None, same), (1, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 0), (3, 500), (3, 500)]
     assert repeats.without_repeats(frame(spark, [(3, same)]).limit(0)).count() == 0
@@ -125,7 +126,8 @@ def test_repeats_odd_rows(spark, monkeypatch):
 
 def test_runs_cover_every_string():
     """Each string belongs to exactly one run, and equal strings to runs with equal grams."""
-    text = ("".join(random.Random(7).choice("ab") for _ in range(700)) + "q" * 300) * 2
+    rng = random.Random(7)
+    text = ("".join(rng.choice("ab") for _ in range(700)) + "q" * 300) * 2
     data = np.frombuffer(text.encode(), np.uint8)
     gram, start, n = repeats.runs(data, np.array([900, len(data)]))
     owner = {s + k: int(g) for g, s, c in zip(gram, start, n) for k in range(c)}
