@@ -1,3 +1,64 @@
 """DuckDB SQL for the results of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from kerf.llm import rules
+
+_WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
+
+#: All pairs that share a shingle are counted, so links are exact; components by repeated least labels.
+NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d
+JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1) c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+#: Every 100-byte string by its hexadecimal digits; runs of removed bytes from the starts.
+REPEATS = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, x[2 * i + 1:2 * i + 200] AS w FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM h WHERE len(x) >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM
+  (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM r)),
+z AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+keep AS (SELECT doc_id, a AS stop, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS start, b - a AS gone FROM z),
+t AS (SELECT doc_id, max(b) AS last, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS n FROM z GROUP BY 1),
+k AS (SELECT k.doc_id, string_agg(x[2 * start + 1:2 * stop], '' ORDER BY start) AS x FROM keep k JOIN h ON h.doc_id = k.doc_id GROUP BY 1)
+SELECT h.doc_id, CAST(len(h.x) // 2 AS BIGINT) AS n_bytes, coalesce(t.gone, 0) AS n_removed, coalesce(t.n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN t.n IS NULL THEN h.x ELSE k.x || h.x[2 * t.last + 1:] END)) AS kept_sha256
+FROM h LEFT JOIN t ON t.doc_id = h.doc_id LEFT JOIN k ON k.doc_id = h.doc_id"""
+
+
+def _failures() -> str:
+    return " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(rules.RULES.values()))
+
+
+RULE_LEDGER = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(text='text')} AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM t) WHERE k > 1),
+m AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM d, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
+f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words,
+  len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, len(text) - len(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower
+  FROM w LEFT JOIN m ON m.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {rules.policy('base').mask} <> 0 AS base_failed,
+  failures & {rules.policy('web').mask} = 0 AS kept, failures FROM (SELECT *, CAST({_failures()} AS BIGINT) AS failures FROM f)"""
+
+_LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE = rf"""WITH d AS (SELECT doc_id, {_LETTERS} AS ws FROM documents), b AS (SELECT item_id, {_LETTERS} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT n FROM p),
+x AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, s WHERE len(ws) >= n)),
+h AS (SELECT x.doc_id, p.item_id, x.i, x.n FROM x JOIN p ON p.g = x.g AND p.n = x.n),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.k, '')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_near_duplicates": NEAR, "op2_repeats": REPEATS, "op4_rules": RULE_LEDGER, "op9_decontaminate": DECONTAMINATE}
