@@ -212,6 +212,11 @@ def classifier(found: DataFrame, threshold: float = 0.5):  # noqa: ANN201
     return spans
 
 
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and the columns, each computed once: a one-row generator keeps plans from copying them."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``row, doc_id, spans`` of each row of ``docs``.
 
@@ -227,10 +232,11 @@ def redacted(docs: DataFrame, threshold: float = 0.5, length_col: str = "n_chars
     Texts are scanned twice, once to fit and once to redact: that moves no text,
     where a join of spans with texts would shuffle them all.
     """
-    spans = classifier(candidates(docs), threshold)
-    got = candidates(docs, keep=True).select("kept", spans(F.col("found")).alias("spans"))
+    spans = classifier(once(candidates(docs), [], found=F.col("found")), threshold)
+    got = once(candidates(docs, keep=True), ["kept"], found=F.col("found"))
+    got = once(got, ["kept"], spans=spans(F.col("found")))
     text = redact(F.col("kept.text").cast("string"), F.col("spans"))
-    got = got.select("kept", F.when(F.size("spans") > 0, text).otherwise(F.col("kept.text").cast("string")).alias("clean"))
+    got = once(got, ["kept"], clean=F.when(F.size("spans") > 0, text).otherwise(F.col("kept.text").cast("string")))
 
     def column(c: str) -> Column:
         own = F.col("kept")[c]
