@@ -61,7 +61,7 @@ _SHAPE = bytes(
 class _Words(dict):
     """Number of each word seen, for tables of its hash and its shape's hash; bounded."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self) -> None:
         super().__init__()
@@ -140,10 +140,10 @@ def sample_of(docs: DataFrame, labels: DataFrame, allowed: Column | None, sample
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     if allowed is not None:
         y = y.where(allowed)
-    joined = id_and_text(docs).join(y, F.col("doc_id") == F.col("id"))
     # The bound comes before texts move: hashes are compared, ties broken by id.
     picked = y.withColumn("pick", F.xxhash64("id")).orderBy("pick", "id", "y").limit(sample)
-    return picked.join(id_and_text(docs), F.col("id") == F.col("doc_id")).select("pick", "doc_id", "y", "text") if sample else joined
+    # At most ``sample`` ids, so they may be broadcast, and no text is shuffled.
+    return id_and_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("pick", "doc_id", "y", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = SAMPLE, params: Ftrl = Ftrl()) -> np.ndarray:
