@@ -45,9 +45,17 @@ BATCH = 256
 INDEX = "doc_id long, part long, doc int, offset long, n_tokens long, file string"
 
 
+#: Characters that the library encodes at a time where pieces are joined.
+JOINED = 1 << 16
+
+
 @lru_cache(maxsize=2)
 def coder(path: str) -> PieceCoder:
-    """The tokenizers library, asked once for each different piece of text."""
+    """The tokenizers library, asked once for each different piece of text.
+
+    Pieces that begin with white space are joined, encoded together and cut by the
+    number of bytes that each id stands for.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -55,8 +63,39 @@ def coder(path: str) -> PieceCoder:
     t.no_truncation()
     t.no_padding()
     many = getattr(t, "encode_batch_fast", t.encode_batch)
-    code = lambda texts: [np.array(e.ids, np.uint32).tobytes() for e in many(texts, add_special_tokens=False)]
-    return PieceCoder(code, limit=400_000)
+    special = {i for i in t.get_added_tokens_decoder()}
+    vocab = t.get_vocab()
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        # One character stands for one byte, but in added tokens.
+        sizes[i] = len(token.encode()) if i in special else len(token)
+
+    def each(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in many(texts, add_special_tokens=False)]
+
+    def joined(texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and chars < JOINED:
+                chars += len(texts[to])
+                to += 1
+            part = texts[at:to]
+            ids = np.array(many(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(sizes[ids])
+            want = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in part])
+            cut = np.searchsorted(ends, want)
+            if len(ids) and np.array_equal(ends[np.minimum(cut, len(ends) - 1)], want):
+                raw = ids.tobytes()
+                stops = (4 * (cut + 1)).tolist()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += each(part)
+            at = to
+        return out
+
+    return PieceCoder(each, limit=250_000, encode_spaced=joined)
 
 
 def _schema(length: int, wide: bool) -> pa.Schema:
