@@ -6,8 +6,9 @@ one set. Each remaining set has a sketch of minwise tokens. A tree branches sets
 a node, one or two coordinates of the sketch are drawn by the node's own hash (1 / 0.85
 on average, so that a similar pair survives each level about once), and a set goes on
 to the child of its minwise token there. Nodes of up to ``small`` sets are compared
-exhaustively by sketch; larger ones branch again, as only they are read again. Trees
-are independent and repeated until a pair at the threshold is missed with a chance
+exhaustively by sketch; larger ones branch again. Sets that stay together with many
+others down to the deepest level of two trees form a dense group beforehand, and a node
+that lies within one dense group is done. Trees are independent and repeated until a pair at the threshold is missed with a chance
 below 1e-4.
 
 Sets that compare as similar form candidate groups, in which exact links are then
@@ -43,10 +44,14 @@ PERCENT = 85
 COORDINATES = 96
 TREES = 12
 #: Levels that are branched before sizes of nodes are looked at, and at most.
-FIRST, DEEPEST = 4, 14
+FIRST, DEEPEST = 4, 8
 SMALL = 64
+#: Trees that are branched to the deepest level at once, to find dense groups first.
+DENSE_TREES = 2
 #: Sets whose sketches agree in this share are candidates: four standard errors below the threshold.
 LENIENT = 0.70
+#: The same for one set that stands for its dense group: its fellows may be that much nearer.
+LOOSE = 0.50
 #: Shingles that one task compares at a time.
 LIMIT = 4_000_000
 
@@ -108,17 +113,21 @@ def children(which: np.ndarray, key: np.ndarray, sketches: np.ndarray) -> tuple[
     return which, mix(mix(key + turn) + _ODD * (value + np.uint64(1)))
 
 
-def _batch_children(cols: dict[str, list], first: bool) -> dict[str, list]:
+def _paths(cols: dict[str, list], trees: int, levels: int) -> dict[str, list]:
+    """The nodes of each set: of the first ``trees`` trees at a level, or the children of ``node``. No pair twice."""
     sketches = np.frombuffer(b"".join(cols["sketch"]), np.uint16).reshape(-1, COORDINATES)
-    if first:
-        which = np.repeat(np.arange(len(sketches)), TREES)
-        key = np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), len(sketches))
-        for _ in range(FIRST):
-            which, key = children(which, key, sketches)
+    if "node" in cols:
+        which, key = np.arange(len(sketches)), np.array(cols["node"], np.int64).view(np.uint64)
     else:
-        which, key = children(np.arange(len(sketches)), np.array(cols["node"], np.int64).view(np.uint64), sketches)
-    m = np.array(cols["m"], np.int64)[which]
-    return {"node": key.view(np.int64), "m": m}
+        which = np.repeat(np.arange(len(sketches)), trees)
+        key = np.tile(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(sketches))
+    for _ in range(levels):
+        which, key = children(which, key, sketches)
+    order = np.lexsort((key, which))
+    which, key = which[order], key[order]
+    fresh = np.concatenate([[True], (which[1:] != which[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, bool)
+    which, key = which[fresh], key[fresh]
+    return {c: [cols[c][k] for k in which.tolist()] for c in cols if c not in ("node", "sketch")} | {"node": key.view(np.int64)}
 
 
 def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict[str, list]], list[tuple]]], schema: str) -> DataFrame:
@@ -181,19 +190,23 @@ class _Forest:
                 self.label[self.label == y] = x
 
 
-def _compare_sketches(node: dict[str, list]) -> list[tuple]:
+def _compare_sketches(least: float) -> Callable[[], Callable[[dict[str, list]], list[tuple]]]:
     """Candidate edges that connect the similar sets of a small node."""
-    m = node["m"]
-    if len(m) == 1:
-        return []
-    s = np.frombuffer(b"".join(node["sketch"]), np.uint16).reshape(-1, COORDINATES)
-    forest = _Forest(len(m))
-    for a in range(len(m) - 1):
-        later = np.arange(a + 1, len(m))
-        later = later[forest.label[later] != forest.label[a]]
-        if len(later):
-            forest.join(a, later[(s[later] == s[a]).mean(axis=1) >= LENIENT])
-    return [(m[a], m[b]) for a, b in forest.edges]
+
+    def step(node: dict[str, list]) -> list[tuple]:
+        m = node["m"]
+        if len(m) == 1:
+            return []
+        s = np.frombuffer(b"".join(node["sketch"]), np.uint16).reshape(-1, COORDINATES)
+        forest = _Forest(len(m))
+        for a in range(len(m) - 1):
+            later = np.arange(a + 1, len(m))
+            later = later[forest.label[later] != forest.label[a]]
+            if len(later):
+                forest.join(a, later[(s[later] == s[a]).mean(axis=1) >= least])
+        return [(m[a], m[b]) for a, b in forest.edges]
+
+    return lambda: step
 
 
 def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -223,13 +236,13 @@ def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int =
         if not open_.any():
             continue
         wanted = np.flatnonzero(open_) + lo
-        # Only the span of sets that are still open is read.
-        lo, hi = int(wanted[0]), int(wanted[-1]) + 1
+        # Only sets that are still open are read.
+        n = size[wanted]
+        at = np.concatenate([[0], np.cumsum(n)])
         mine = token[start[a] : start[a + 1]]
         marked[mine] = 1
-        both = np.add.reduceat(marked[token[start[lo] : start[hi]]], start[lo:hi] - start[lo], dtype=np.int64)
+        both = np.add.reduceat(marked[token[np.repeat(start[wanted] - at[:-1], n) + np.arange(at[-1])]], at[:-1], dtype=np.int64)
         marked[mine] = 0
-        both = both[wanted - lo]
         forest.join(a, wanted[100 * both >= percent * (size[a] + size[wanted] - both)])
     return [(int(order[a]), int(order[b])) for a, b in forest.edges]
 
@@ -240,35 +253,80 @@ def _compare_sets() -> Callable[[dict[str, list]], list[tuple]]:
     def step(group: dict[str, list]) -> list[tuple]:
         m, block, i, j = group["m"], group["block"], group["i"][0], group["j"][0]
         found = links([shingles(t, known) for t in group["text"]], None if i == j else np.array(block))
-        return [(m[a], m[b]) for a, b in found]
+        if not found:
+            return []
+        label = np.arange(len(m))
+        for a, b in found:
+            label[label == label[b]] = label[a]
+        # Stars: each set that is linked with any, and the least of its component.
+        linked = sorted({k for edge in found for k in edge})
+        root: dict[int, int] = {}
+        for k in linked:
+            root[label[k]] = min(root.get(label[k], m[k]), m[k])
+        return [(group["group"][0], m[k], root[label[k]]) for k in linked]
 
     return step
 
 
+def dense_groups(some: DataFrame) -> DataFrame | None:
+    """``m, group`` of sets in nodes that stay large down to the deepest level of a few trees.
+
+    Sets that share so many minwise tokens with so many others are one candidate group,
+    whatever its size; each node adds a star. None where there are no such nodes.
+    """
+    deep = materialize(map_rows(some, lambda: lambda cols: _paths(cols, DENSE_TREES, DEEPEST), "node long, m long"), "deep")
+    hubs = deep.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("m").alias("a")).where(F.col("size") > SMALL)
+    stars = deep.join(hubs, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b")
+    stars = materialize(stars.distinct(), "stars")
+    if stars.isEmpty():
+        return None
+    return materialize(components(stars, "dense").select(F.col("vertex").alias("m"), F.col("root").alias("group")), "dense")
+
+
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets that are similar by sketch, from all trees."""
+    """Edges (a, b) between sets that are similar by sketch, from all trees.
+
+    A node whose sets are all of one dense group adds nothing and is dropped when it is
+    counted. Of a large node one set of each group stays, and it branches again where
+    these are still many.
+    """
     some = reps.where("n > 0").select("m", "sketch")
-    front = map_rows(some, lambda: lambda cols: _batch_children(cols, True), "node long, m long")
-    edges, depth = None, FIRST
-    while True:
-        # Trees may lead one set to a node twice.
-        front = materialize(front.distinct(), "paths")
-        sizes = front.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size")).where("size > 1")
-        kept = materialize(front.join(sizes, F.col("node") == F.col("k")).select("node", "m", "size"), "nodes")
-        small = kept.where(F.col("size") <= SMALL).select("node", "m").join(some, "m")
-        found = map_groups(small, ["node"], lambda: _compare_sketches, "a long, b long")
-        large = kept.where(F.col("size") > SMALL).select("node", "m")
-        deep = depth >= DEEPEST
-        if deep:
-            # Alike in so many minwise tokens: one candidate group, whatever its size.
+    dense = dense_groups(some)
+    front = materialize(map_rows(some, lambda: lambda cols: _paths(cols, TREES, FIRST), "node long, m long"), "paths")
+    edges = None
+    if dense is not None:
+        edges = dense.select(F.col("m").alias("a"), F.col("group").alias("b")).where("a <> b")
+        front = front.join(dense.select(F.col("m").alias("v"), "group"), F.col("m") == F.col("v"), "left")
+        front = front.select("node", "m", F.coalesce("group", "m").alias("group"))
+    else:
+        front = front.withColumn("group", F.col("m"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        size = rows.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+        return rows.join(size.where("g0 <> g1"), F.col("node") == F.col("k")).select("node", "m", "group", "size")
+
+    def compared(rows: DataFrame, least: float) -> DataFrame:
+        return map_groups(rows.select("node", "m").join(some, "m"), ["node"], _compare_sketches(least), "a long, b long")
+
+    kept = materialize(sized(front), "nodes")
+    found = materialize(compared(kept.where(F.col("size") <= SMALL), LENIENT), "candidates")
+    edges = found if edges is None else edges.unionAll(found)
+    large = kept.where(F.col("size") > SMALL)
+    depth = FIRST
+    while not large.isEmpty():
+        one = large.groupBy("node", "group").agg(F.min("m").alias("m"))
+        kept = materialize(sized(one), "nodes")
+        found = compared(kept.where(F.col("size") <= SMALL), LOOSE)
+        large = kept.where(F.col("size") > SMALL)
+        depth += 1
+        if depth > DEEPEST:
             least = large.groupBy(F.col("node").alias("k")).agg(F.min("m").alias("a"))
             found = found.unionAll(large.join(least, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b"))
-        found = materialize(found, "candidates")
-        edges = found if edges is None else edges.unionAll(found)
-        if deep or large.isEmpty():
-            return edges
-        front = map_rows(large.join(some, "m").select("node", "m", "sketch"), lambda: lambda cols: _batch_children(cols, False), "node long, m long")
-        depth += 1
+            return edges.unionAll(materialize(found, "candidates"))
+        edges = edges.unionAll(materialize(found, "candidates"))
+        down = map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: lambda cols: _paths(cols, 0, 1), "node long, m long, group long")
+        large = materialize(down, "paths")
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -312,8 +370,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     texts = rows.select("row", "text").join(members.select("m", "at", "group", "block", "blocks"), F.col("row") == F.col("at"))
     dealt = texts.select("m", "group", "block", "text", F.explode(pairs).alias("p")).select("m", "group", "block", "text", "p.i", "p.j")
-    edges = materialize(map_groups(dealt, ["group", "i", "j"], _compare_sets, "a long, b long"), "links")
-    roots = components(edges, "linked")
+    edges = materialize(map_groups(dealt, ["group", "i", "j"], _compare_sets, "group long, a long, b long"), "links")
+    # A group of one block comes out as stars already; only what blocks found apart has to be put together.
+    split = members.where("blocks > 1").select("group").distinct()
+    roots = edges.join(split, "group", "left_anti").select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+    if not split.isEmpty():
+        roots = roots.unionAll(components(edges.join(split, "group", "left_semi").select("a", "b").where("a <> b"), "linked"))
     ids = roots.join(reps.select("m", "least_id"), F.col("vertex") == F.col("m"))
     ids = ids.select("m", "root").join(ids.groupBy("root").agg(F.min("least_id").alias("component")), "root").select("m", "component")
     ids = reps.select("hi", "lo", "m", "least_id").join(ids, "m", "left")
