@@ -2,10 +2,12 @@
 
 1. Patterns find candidates with their places: the base kinds (email, ip, card,
    phone) and looser ones (local phone numbers, social security numbers).
-2. Labelers vote on each candidate: its format, a gazetteer (well-known domains,
-   card issuers, area codes, address ranges) and words of context before it.
+2. Labelers vote on each candidate: its format (separators, groups of digits, what
+   can't be issued), a gazetteer (well-known domains, card issuers, area codes,
+   address ranges) and words of context before it.
 3. Votes are counted by kind and pattern of votes, a table of fixed size.
-   Expectation-maximisation over it estimates how reliable each labeler is.
+   Expectation-maximisation over each kind's counts estimates how reliable each
+   labeler is on that kind, so many candidates of one kind say nothing of another's.
 4. The final span classifier is the posterior of a pattern of votes. Base spans
    always stay; looser candidates are added where their posterior is above a half.
 
@@ -29,6 +31,8 @@ from kerf.llm.rules import let
 KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn")
 BASE = 4
 LABELERS = ("format", "gazetteer", "context")
+#: A labeler votes on at most this share of false candidates, and is silent on at most this share of true ones.
+CHANCE = 0.45
 
 #: Gazetteers: fixed values, matched against the candidate's text.
 KNOWN = {
@@ -39,6 +43,17 @@ KNOWN = {
     "local_phone": "^\\(?[2-9][0-9]{2}\\)?[ .-][2-9]",
     "ssn": "^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
 }
+#: Formats: what a candidate's text must match, and what it must not. No group repeats without bound.
+FORMAT = {
+    "email": ("\\.[A-Za-z]{2,63}$", "^\\.|\\.\\.|\\.@|@[.-]|@.*(\\.-|-\\.)"),
+    "ip": ("", "(^|\\.)0[0-9]"),
+    "card": ("^(?:[0-9]++|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{1,4}(?:\\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{4,5})$", "^0"),
+    "phone": ("^\\+[1-9][^()]*+(?:\\([0-9]{1,5}\\)[^()]*+)?$", "[ .-]{2}"),
+    "local_phone": ("^(?:\\([0-9]{3}\\)(?: [0-9]{3}[.-]|([.-])[0-9]{3}\\1)|[0-9]{3}(?: [0-9]{3}-|([.-])[0-9]{3}\\2))[0-9]{4}$", "^\\(?[0-9]11|[ .-][0-9]11[.-]"),
+    "ssn": ("^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "-00-|-0000$|^([0-9])\\1\\1-\\1\\1-\\1{4}$|^123-45-6789$|^987-65-4321$"),
+}
+#: Kinds without a mark of their own, so that letters that touch them speak against them.
+ALONE = ("local_phone", "ssn")
 #: Words of context, looked for in the code points before a candidate.
 CONTEXT = {
     "email": "(?i)\\b(e-?mail|mailto|contact|write|reach|correo|courriel|schreib)",
@@ -121,6 +136,12 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def _well_formed(kind: str, clean: Column, before: Column, after: Column) -> Column:
+    must, never = FORMAT[kind]
+    fine = clean.rlike(must) & ~clean.rlike(never)
+    return fine & ~before.rlike("[A-Za-z_]$") & ~after.rlike("[A-Za-z_]") if kind in ALONE else fine
+
+
 def candidates(docs: DataFrame, keep: bool = False) -> DataFrame:
     """``row, doc_id, found``: candidates that pass their kind's test, with their votes.
 
@@ -147,12 +168,12 @@ def candidates(docs: DataFrame, keep: bool = False) -> DataFrame:
 
     def spans(rank: int, kind: str) -> Column:
         raw = F.filter(kind, lambda x: _valid(kind, x["text"]))
-        strict = {"local_phone": F.lit(False), "ssn": F.lit(False)}.get(kind, F.lit(True))
 
         def voted(x: Column) -> Column:
             before = F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
+            after = F.substring(F.col("text"), x["start"] + F.length(x["text"]) + 1, F.lit(1))
             clean = F.translate(x["text"], "\x03\x04\x05", ". -")
-            votes = [strict, clean.rlike(KNOWN[kind]), before.rlike(CONTEXT[kind])]
+            votes = [_well_formed(kind, clean, before, after), clean.rlike(KNOWN[kind]), before.rlike(CONTEXT[kind])]
             bits = sum((F.when(v, F.lit(1 << k)).otherwise(F.lit(0)) for k, v in enumerate(votes)), F.lit(0))
             return F.struct(F.lit(rank).alias("rank"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), bits.alias("votes"))
 
@@ -166,6 +187,8 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
 
     Returns for each labeler how often it votes on true and on false candidates, and
     the share of true ones for each kind. Counts are smoothed, so no estimate is 0 or 1.
+    Each labeler is held better than chance: else, where all candidates have the same
+    votes, nothing would tell a kind whose candidates are all true from one where none is.
     """
     rates = [(0.8, 0.2)] * len(LABELERS)
     prior = [0.8 if k < BASE else 0.3 for k in range(len(KINDS))]
@@ -181,7 +204,7 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
                 off = 0 if votes >> j & 1 else 1
                 yes[j][off] += n * p
                 no[j][off] += n * (1 - p)
-        rates = [(y[0] / sum(y), n[0] / sum(n)) for y, n in zip(yes, no)]
+        rates = [(max(y[0] / sum(y), 1 - CHANCE), min(n[0] / sum(n), CHANCE)) for y, n in zip(yes, no)]
         prior = [a / (a + b) for a, b in of_kind]
     return rates, prior
 
@@ -193,15 +216,20 @@ def posterior(kind: int, votes: int, rates: list[tuple[float, float]], prior: li
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
+def scores(counts: dict[tuple[int, int], int]) -> list[list[float]]:
+    """The posterior of each pattern of votes, by kind; each kind is estimated from its own counts."""
+    fitted = [reliabilities({(k, v): n for (k, v), n in counts.items() if k == kind}) for kind in range(len(KINDS))]
+    return [[float(posterior(k, v, *fit)) for v in range(1 << len(LABELERS))] for k, fit in enumerate(fitted)]
+
+
 def classifier(found: DataFrame, threshold: float = 0.5):  # noqa: ANN201
     """The span classifier fitted on candidates: a function from ``found`` to spans.
 
     Spans have rank (of the kind), start, end, kind and score.
     """
     table = found.select(F.explode("found").alias("c")).groupBy("c.rank", "c.votes").count().collect()
-    rates, prior = reliabilities({(r["rank"], r["votes"]): r["count"] for r in table})
-    scores = [[float(posterior(k, v, rates, prior)) for v in range(1 << len(LABELERS))] for k in range(len(KINDS))]
-    lookup = F.array(*(F.array(*map(F.lit, row)) for row in scores))
+    by_kind = scores({(r["rank"], r["votes"]): r["count"] for r in table})
+    lookup = F.array(*(F.array(*map(F.lit, row)) for row in by_kind))
     score = lambda x: F.get(F.get(lookup, x["rank"]), x["votes"])
     names = F.array(*map(F.lit, KINDS))
 

@@ -141,6 +141,41 @@ def test_reliabilities():
     assert pii.reliabilities({})[1][0] > 0.5
 
 
+def test_pii_supported_beside_base(spark):
+    """Numbers with support are added however many base spans there are; those without stay out."""
+    rng = random.Random(4)
+    mails = [f"please write to a{k}.b@mail{k}.org" for k in range(400)]
+    loose = [f"call me on {rng.randint(220, 299)}-{rng.randint(220, 299)}-{rng.randint(1000, 9999)}" for _ in range(30)]
+    loose += [f"her social security number {rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" for _ in range(30)]
+    never = [f"part A{rng.randint(0, 199):03}-{rng.randint(0, 199):03}.{rng.randint(1000, 9999)}x" for _ in range(40)] + ["lot X000-00-0000Z" for _ in range(40)]
+    texts = mails + loose + never
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.pii_report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == ["email"] * 400 + ["local_phone"] * 30 + ["ssn"] * 30 + [""] * 80
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert clean[400] == "call me on [local_phone]" and clean[430] == "her social security number [ssn]" and clean[460] == texts[460]
+
+
+def test_scores_by_kind():
+    """Other kinds' candidates say nothing; two votes of three suffice where all candidates have them."""
+    base = {(0, 0b111): 900, (0, 0b011): 400, (0, 0b001): 200, (1, 0b011): 70}
+    for kind in (4, 5):
+        for mix in ({}, {0b111: 30}, {0b011: 30}, {0b011: 1000, 0b111: 5}, {0b000: 1000, 0b111: 20}, {0b001: 1000, 0b111: 30}):
+            got = pii.scores(base | {(kind, v): n for v, n in mix.items()})[kind]
+            assert got == pii.scores({(kind, v): n for v, n in mix.items()})[kind]
+            assert got[0b111] > 0.9 and got[0b011] > 0.5 > max(got[0b000], got[0b001], got[0b010])
+            assert all(got[v | 1 << j] >= got[v] for v in range(8) for j in range(3))
+
+
+def test_pii_formats(spark):
+    """The format labeler judges every kind; no kind has a constant vote."""
+    good = ["a@b.org", "1.2.3.4", "4111 1111 1111 1111", "+49 (30) 123-4567", "(212) 555-0147", "212 555-0147", "212.555.0147", "219-45-1234"]
+    bad = ["a..b@c.org", "01.2.3.4", "4111-1111 1111 1111", "+49  30 1234567", "(212 555-0147", "212-555.0147", "911-555-0147", "219-00-1234", "_219-45-1234"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    votes = {r["doc_id"]: {c["votes"] & 1 for c in r["found"]} for r in pii.candidates(df).collect()}
+    assert [votes[i] for i in range(len(good + bad))] == [{1}] * len(good) + [{0}] * len(bad)
+
+
 def test_secrets(docs, none):
     got = by_id(secrets.secret_report(docs))
     for i, text in enumerate(TEXTS):
