@@ -5,7 +5,8 @@ a DataFrame that is written as Parquet and read again as the next one's ``docs``
 but the last keep the columns of ``docs``.
 
 1. quality: documents that the classifier scores below its threshold go.
-2. near_dedup: one document of each group of near-duplicates stays.
+2. near_dedup: one document of each group of near-duplicates stays; documents are
+   linked from a similarity of 0.80, where op1 has 0.85.
 3. decontaminate: documents with a passage of a test item go.
 4. pii: personal data is replaced by its kind, and ``n_chars`` follows.
 5. bpe: each text becomes token ids, with the hash of what they decode to.
@@ -22,13 +23,17 @@ from kerf.llm import bpe, decontam, neardup, pii, quality
 from kerf.llm.common import materialize, table
 
 
+#: Percent of shingles of five words that near copies share.
+NEAR_PERCENT = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out("id"))
     return quality.accepted(docs, weights)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.distinct_documents(docs)
+    return neardup.distinct_documents(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A document's set is its distinct shingles of five words (fewer words: the whole
 sequence). Sets that are equal are collapsed first, so groups of exact copies cost
 one set. Each remaining set has a sketch of minwise tokens. A tree branches sets: at
 a node, one or two coordinates of the sketch are drawn by the node's own hash (1 / 0.85
-on average, so that a similar pair survives each level about once), and a set goes on
+on average at a threshold of 0.85, so that a similar pair survives each level about
+once), and a set goes on
 to the child of its minwise token there. Nodes of up to ``small`` sets are compared
 exhaustively by sketch; larger ones branch again. Sets that stay together with many
 others down to the deepest level of two trees form a dense group beforehand, and a node
@@ -24,7 +25,9 @@ ids alone has a null id. Repeated rows appear as often as they come in.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +41,21 @@ from kerf.llm.common import id_and_text, map_rows, materialize, short_batches
 from kerf.llm.graph import components
 
 WIDTH = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= PERCENT * union; op1's threshold.
 PERCENT = 85
 #: Coordinates of a sketch; 16 bits are kept of each.
 COORDINATES = 96
-TREES = 12
 #: Levels that are branched before sizes of nodes are looked at, and at most.
 FIRST, DEEPEST = 4, 8
 SMALL = 64
 #: Trees that are branched to the deepest level at once, to find dense groups first.
 DENSE_TREES = 2
-#: Sets whose sketches agree in this share are candidates: four standard errors below the threshold.
-LENIENT = 0.70
-#: The same for one set that stands for its dense group: its fellows may be that much nearer.
-LOOSE = 0.50
+#: Sets whose sketches agree so many standard errors below the threshold are still candidates.
+ERRORS = 4
+#: What a set that stands for its dense group may have less: its fellows may be that much nearer.
+NEARER = 0.20
+#: Trees are added until a pair at the threshold is missed with at most this chance at the first level.
+CHANCE = 2e-4
 #: Shingles that one task compares at a time.
 LIMIT = 4_000_000
 
@@ -68,6 +72,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Plan(NamedTuple):
+    """What a threshold asks of trees and sketches."""
+
+    percent: int
+    #: Of 100 nodes, those that draw two coordinates.
+    again: int
+    #: Shares of agreeing coordinates that make candidates, of two sets and of two that stand for groups.
+    lenient: float
+    loose: float
+    trees: int
+
+
+def missed(percent: int, again: int, lenient: float, trees: int, levels: int) -> float:
+    """The chance that a pair at the threshold doesn't meet at a level of any tree, or fails by its sketches.
+
+    Trees share one sketch, so they are independent only for a given number of agreeing coordinates.
+    """
+    j, total = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        share, apart = k / COORDINATES, 0.0
+        for _ in range(levels):
+            lost = 1 - share * (1 - apart)
+            apart = lost * (1 - again / 100 + again / 100 * lost)
+        total += math.comb(COORDINATES, k) * j**k * (1 - j) ** (COORDINATES - k) * (apart**trees if share >= lenient else 1.0)
+    return total
+
+
+def plan(percent: int) -> Plan:
+    if not 50 <= percent <= 100:
+        raise ValueError("a threshold is from 50 to 100 percent")
+    j = percent / 100
+    again = round(10_000 / percent) - 100
+    lenient = math.floor(100 * (j - ERRORS * math.sqrt(j * (1 - j) / COORDINATES)) + 1e-9) / 100
+    trees = next(n for n in range(1, 1000) if missed(percent, again, lenient, n, FIRST) <= CHANCE)
+    return Plan(percent, again, lenient, round(lenient - NEARER, 2), trees)
+
+
 class Words(dict):
     """Hashes of the words that a task has seen; bounded, and gone with the task."""
 
@@ -103,9 +144,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def children(which: np.ndarray, key: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of the next level: (number of the set, node) for each set and node."""
-    percent = round(10_000 / PERCENT) - 100
+def children(which: np.ndarray, key: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the next level: (number of the set, node) for each set and node; ``percent`` of nodes draw twice."""
     again = mix(key + np.uint64(3)) % np.uint64(100) < np.uint64(percent)
     which, key, turn = (np.concatenate(x) for x in ((which, which[again]), (key, key[again]), (np.zeros(len(key), np.uint64), np.ones(again.sum(), np.uint64))))
     coordinate = (mix(key * _ODD + turn + np.uint64(1)) % np.uint64(COORDINATES)).astype(np.int64)
@@ -113,7 +153,7 @@ def children(which: np.ndarray, key: np.ndarray, sketches: np.ndarray) -> tuple[
     return which, mix(mix(key + turn) + _ODD * (value + np.uint64(1)))
 
 
-def _paths(cols: dict[str, list], trees: int, levels: int) -> dict[str, list]:
+def _paths(cols: dict[str, list], trees: int, levels: int, again: int) -> dict[str, list]:
     """The nodes of each set: of the first ``trees`` trees at a level, or the children of ``node``. No pair twice."""
     sketches = np.frombuffer(b"".join(cols["sketch"]), np.uint16).reshape(-1, COORDINATES)
     if "node" in cols:
@@ -122,7 +162,7 @@ def _paths(cols: dict[str, list], trees: int, levels: int) -> dict[str, list]:
         which = np.repeat(np.arange(len(sketches)), trees)
         key = np.tile(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(sketches))
     for _ in range(levels):
-        which, key = children(which, key, sketches)
+        which, key = children(which, key, sketches, again)
     order = np.lexsort((key, which))
     which, key = which[order], key[order]
     fresh = np.concatenate([[True], (which[1:] != which[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, bool)
@@ -247,12 +287,12 @@ def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int =
     return [(int(order[a]), int(order[b])) for a, b in forest.edges]
 
 
-def _compare_sets() -> Callable[[dict[str, list]], list[tuple]]:
+def _compare_sets(percent: int) -> Callable[[dict[str, list]], list[tuple]]:
     known = Words()
 
     def step(group: dict[str, list]) -> list[tuple]:
         m, block, i, j = group["m"], group["block"], group["i"][0], group["j"][0]
-        found = links([shingles(t, known) for t in group["text"]], None if i == j else np.array(block))
+        found = links([shingles(t, known) for t in group["text"]], None if i == j else np.array(block), percent)
         if not found:
             return []
         label = np.arange(len(m))
@@ -268,13 +308,13 @@ def _compare_sets() -> Callable[[dict[str, list]], list[tuple]]:
     return step
 
 
-def dense_groups(some: DataFrame) -> DataFrame | None:
+def dense_groups(some: DataFrame, again: int) -> DataFrame | None:
     """``m, group`` of sets in nodes that stay large down to the deepest level of a few trees.
 
     Sets that share so many minwise tokens with so many others are one candidate group,
     whatever its size; each node adds a star. None where there are no such nodes.
     """
-    deep = materialize(map_rows(some, lambda: lambda cols: _paths(cols, DENSE_TREES, DEEPEST), "node long, m long"), "deep")
+    deep = materialize(map_rows(some, lambda: lambda cols: _paths(cols, DENSE_TREES, DEEPEST, again), "node long, m long"), "deep")
     hubs = deep.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("m").alias("a")).where(F.col("size") > SMALL)
     stars = deep.join(hubs, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b")
     stars = materialize(stars.distinct(), "stars")
@@ -283,7 +323,7 @@ def dense_groups(some: DataFrame) -> DataFrame | None:
     return materialize(components(stars, "dense").select(F.col("vertex").alias("m"), F.col("root").alias("group")), "dense")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
+def candidate_edges(reps: DataFrame, by: Plan) -> DataFrame:
     """Edges (a, b) between sets that are similar by sketch, from all trees.
 
     A node whose sets are all of one dense group adds nothing and is dropped when it is
@@ -291,8 +331,8 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     these are still many.
     """
     some = reps.where("n > 0").select("m", "sketch")
-    dense = dense_groups(some)
-    front = materialize(map_rows(some, lambda: lambda cols: _paths(cols, TREES, FIRST), "node long, m long"), "paths")
+    dense = dense_groups(some, by.again)
+    front = materialize(map_rows(some, lambda: lambda cols: _paths(cols, by.trees, FIRST, by.again), "node long, m long"), "paths")
     edges = None
     if dense is not None:
         edges = dense.select(F.col("m").alias("a"), F.col("group").alias("b")).where("a <> b")
@@ -309,14 +349,14 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
         return map_groups(rows.select("node", "m").join(some, "m"), ["node"], _compare_sketches(least), "a long, b long")
 
     kept = materialize(sized(front), "nodes")
-    found = materialize(compared(kept.where(F.col("size") <= SMALL), LENIENT), "candidates")
+    found = materialize(compared(kept.where(F.col("size") <= SMALL), by.lenient), "candidates")
     edges = found if edges is None else edges.unionAll(found)
     large = kept.where(F.col("size") > SMALL)
     depth = FIRST
     while not large.isEmpty():
         one = large.groupBy("node", "group").agg(F.min("m").alias("m"))
         kept = materialize(sized(one), "nodes")
-        found = compared(kept.where(F.col("size") <= SMALL), LOOSE)
+        found = compared(kept.where(F.col("size") <= SMALL), by.loose)
         large = kept.where(F.col("size") > SMALL)
         depth += 1
         if depth > DEEPEST:
@@ -324,16 +364,18 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
             found = found.unionAll(large.join(least, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b"))
             return edges.unionAll(materialize(found, "candidates"))
         edges = edges.unionAll(materialize(found, "candidates"))
-        down = map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: lambda cols: _paths(cols, 0, 1), "node long, m long, group long")
+        down = map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: lambda cols: _paths(cols, 0, 1, by.again), "node long, m long, group long")
         large = materialize(down, "paths")
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, percent: int = PERCENT) -> DataFrame:
     """``doc_id, row, n_shingles, component_id`` of each row of ``docs``.
 
-    ``row`` is the number that ``monotonically_increasing_id`` gives the row.
+    ``row`` is the number that ``monotonically_increasing_id`` gives the row. Links need
+    a similarity of ``percent`` at least, from 50 to 100.
     """
+    by = plan(percent)
     rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
 
     def make():  # noqa: ANN202
@@ -358,7 +400,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     reps = materialize(reps.withColumn("m", F.monotonically_increasing_id()), "sets")
-    groups = components(candidate_edges(reps), "groups").select(F.col("vertex").alias("m"), F.col("root").alias("group"))
+    groups = components(candidate_edges(reps, by), "groups").select(F.col("vertex").alias("m"), F.col("root").alias("group"))
     members = groups.join(reps.select("m", F.col("row").alias("at"), "n"), "m")
     total = members.groupBy("group").agg(F.sum("n").alias("total"))
     count = F.when(F.col("total") <= limit, 1).otherwise(F.ceil(2 * F.col("total") / limit)).cast("int")
@@ -370,7 +412,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     texts = rows.select("row", "text").join(members.select("m", "at", "group", "block", "blocks"), F.col("row") == F.col("at"))
     dealt = texts.select("m", "group", "block", "text", F.explode(pairs).alias("p")).select("m", "group", "block", "text", "p.i", "p.j")
-    edges = materialize(map_groups(dealt, ["group", "i", "j"], _compare_sets, "group long, a long, b long"), "links")
+    edges = materialize(map_groups(dealt, ["group", "i", "j"], lambda: _compare_sets(percent), "group long, a long, b long"), "links")
     # A group of one block comes out as stars already; only what blocks found apart has to be put together.
     split = members.where("blocks > 1").select("group").distinct()
     roots = edges.join(split, "group", "left_anti").select(F.col("a").alias("vertex"), F.col("b").alias("root"))
@@ -386,13 +428,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one with its least id; all columns stay.
 
     Rows that share an id and a component count as one document. Rows whose
     component has no id can't be told apart and all stay.
     """
-    got = near_duplicates(docs)
+    got = near_duplicates(docs, percent=percent)
     first = F.struct(~F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
     one = got.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min_by("row", first).alias("row")).select("row")
     keep = one.unionAll(got.where("component_id IS NULL").select("row"))

@@ -60,6 +60,36 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [64, 4])
+def test_thresholds(spark, monkeypatch, small):
+    """The pipeline's stage drops near copies from 0.80 on, op1's threshold stays at 0.85."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"v{rng.randint(0, 10**6)}" for _ in range(104)]
+        # 100 shingles in common of 100 + more: 0.855, 0.82, 0.80 and 0.79.
+        more = (17, 22, 25, 26)[k % 4]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"z{k}_{i}" for i in range(more)]))]
+    docs = frame(spark, rows)
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    second = lambda some: {2 * k + 1 for k in range(60) if k % 4 in some}
+    assert ids(corpus_pipeline.near_dedup_stage(spark, docs, "")) == set(range(0, 120, 2)) | second({3})
+    assert ids(neardup.distinct_documents(docs)) == set(range(0, 120, 2)) | second({1, 2, 3})
+
+
+def test_plan():
+    """A lower threshold branches more often, is more lenient and has more trees; the chance of a miss holds."""
+    low, high = neardup.plan(80), neardup.plan(85)
+    assert (low.again, high.again) == (25, 18)
+    assert low.lenient < high.lenient and low.trees > high.trees
+    assert all(neardup.missed(p.percent, p.again, p.lenient, p.trees, neardup.FIRST) <= neardup.CHANCE for p in (low, high))
+    with pytest.raises(ValueError):
+        neardup.plan(40)
+
+
 def test_links_of_sides():
     a, b = np.arange(100, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64)
     assert len(neardup.links([a, b, a + np.uint64(1000)])) == 1
