@@ -122,10 +122,11 @@ def sample(points: DataFrame, field: DataFrame, grid: Grid, band: float = BAND,
     """keys and ``d`` at wx, wy, wz of each point, trilinear between the cells' values.
 
     A cell's value stands at its lower corner, as the field's own look-up has it. Each
-    point has eight nodes; equal nodes of many points meet the field once by join.
+    point has eight nodes; equal nodes of many points meet the field once by join. Rows
+    are told apart by a number, so repeated points give repeated rows.
     """
     nodes = []
-    cols = {}
+    cols = {"_row": F.monotonically_increasing_id()}
     for k, n in enumerate(AXES):
         f = (F.col(f"w{n}") - F.lit(float(grid.lo[k]))) / F.lit(float(grid.res))
         cols[f"_i{n}"] = F.floor(f).cast("int")
@@ -137,22 +138,23 @@ def sample(points: DataFrame, field: DataFrame, grid: Grid, band: float = BAND,
             weight = weight * (F.col(f"_t{n}") if o else 1 - F.col(f"_t{n}"))
         nodes.append(F.struct(*((F.col(f"_i{n}") + o).alias(n) for o, n in zip(offset, AXES)), weight.alias("_w")))
     # Keys go into a struct: they may be named as the nodes' cell numbers are.
-    each = based.select(F.struct(*keys).alias("_key"), F.inline(F.array(*nodes))).where(F.col("_w") != 0)
-    return look_up(each, field, grid, band).groupBy("_key").agg(F.sum(F.col("_w") * F.col("d")).alias("d")).select("_key.*", "d")
+    each = based.select(F.struct(*keys, "_row").alias("_key"), F.inline(F.array(*nodes))).where(F.col("_w") != 0)
+    sums = look_up(each, field, grid, band).groupBy("_key").agg(F.sum(F.col("_w") * F.col("d")).alias("d"))
+    return sums.select(*(F.col("_key")[k].alias(k) for k in keys), "d")
 
 
 def gradient(points: DataFrame, field: DataFrame, grid: Grid, band: float = BAND, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keys and gx, gy, gz: unit gradient by central differences of one cell; +y where there is none."""
+    """keys and gx, gy, gz: unit gradient by central differences of one cell; +y where there is none. Repeated points give repeated rows."""
     h = float(grid.res)
     moved = []
     for k, n in enumerate(AXES):
         for sign in (1, -1):
             at = [F.col(f"w{m}") + (sign * h if m == n else 0.0) for m in AXES]
             moved.append(F.struct(F.lit(k).alias("_axis"), F.lit(sign).alias("_sign"), *(c.alias(f"w{m}") for c, m in zip(at, AXES))))
-    each = points.select(*keys, F.inline(F.array(*moved)))
-    got = sample(each, field, grid, band, (*keys, "_axis", "_sign"))
+    each = points.withColumn("_point", F.monotonically_increasing_id()).select(*keys, "_point", F.inline(F.array(*moved)))
+    got = sample(each, field, grid, band, (*keys, "_point", "_axis", "_sign"))
     part = lambda k: F.sum(F.when(F.col("_axis") == k, F.col("_sign") * F.col("d")).otherwise(0.0)) / (2 * h)
-    sums = got.groupBy(*keys).agg(*(part(k).alias(f"_g{k}") for k in range(3)))
+    sums = got.groupBy(*keys, "_point").agg(*(part(k).alias(f"_g{k}") for k in range(3)))
     unit = g.normalized((F.col("_g0"), F.col("_g1"), F.col("_g2")), g.const(0, 1, 0), 1e-6)
     return sums.select(*keys, *(c.alias(f"g{n}") for c, n in zip(unit, AXES)))
 

@@ -521,7 +521,8 @@ def _trilinear_sql(points_: str, keys: str) -> str:
     return f"SELECT {keys}, sum(w * {_node_value('q')}) AS d FROM ({nodes}) LEFT JOIN field f ON f.x = qx AND f.y = qy AND f.z = qz WHERE w <> 0 GROUP BY {keys}"
 
 
-#: Points told apart by their coordinates: rows of lineitem repeat.
+#: The places that rows of lineitem stand at; many share one. ``trilinear`` and ``gradient``
+#: give one row for each place, ``trilinear_points`` and ``gradient_points`` one for each row.
 PLACES_SQL = f"SELECT DISTINCT wx, wy, wz FROM ({POINTS_SQL})"
 
 
@@ -550,6 +551,26 @@ def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("px", "py", "pz", *(tidy(F.col(f"g{n}"), 5).alias(f"g{n}") for n in "xyz"))
 
 
+def _at_points_sql(name: str, values: str) -> str:
+    return f"SELECT p.ok, p.ln, p.wx, p.wy, p.wz, {values} FROM ({POINTS_SQL}) p LEFT JOIN ({ORACLES[name]}) v ON v.px = p.wx AND v.py = p.wy AND v.pz = p.wz"
+
+
+def at_points(spark: SparkSession, sf_dir: str, values: DataFrame) -> DataFrame:
+    """Every row of lineitem with the values of its place; a place is computed once."""
+    every = points(spark, sf_dir).select("ok", "ln", "wx", "wy", "wz")
+    return every.join(values.withColumnsRenamed({f"p{n}": f"w{n}" for n in "xyz"}), ["wx", "wy", "wz"], "left")
+
+
+@query(_at_points_sql("trilinear", "v.d"))
+def trilinear_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(spark, sf_dir, trilinear(spark, sf_dir)).select("ok", "ln", "wx", "wy", "wz", "d")
+
+
+@query(_at_points_sql("gradient", "v.gx, v.gy, v.gz"))
+def gradient_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_points(spark, sf_dir, gradient(spark, sf_dir)).select("ok", "ln", "wx", "wy", "wz", "gx", "gy", "gz")
+
+
 @query(f"""SELECT x >> 2 AS cx, y >> 2 AS cy, z >> 2 AS cz, round(min(d), 6) AS least, round(max(d), 6) AS greatest, sign(min(d)) = sign(max(d)) AND max(d) - min(d) < 1 AS leaf FROM ({FIELD_SQL}) GROUP BY 1, 2, 3""")
 def octree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sdf.octree_leaves(field_of(spark, sf_dir), CUBE, 2)

@@ -42,6 +42,31 @@ def test_field_of_sphere(spark):
     assert abs(slope["gx"] ** 2 + slope["gy"] ** 2 + slope["gz"] ** 2 - 1) < 1e-9 and slope["gx"] > 0.5
 
 
+def test_repeated_points(spark, field):
+    """Rows with equal keys and places come out as often as they come in, each with its own value."""
+    rows = [(1, 3.0, 2.5, 1.25)] * 3 + [(2, 8.0, 0.0, 0.0), (2, 6.5, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "id int, wx double, wy double, wz double")
+    alone = points.distinct().withColumn("n", F.monotonically_increasing_id())
+    for f, names in ((S.sample, ["d"]), (S.gradient, ["gx", "gy", "gz"])):
+        one = {(r["n"]): [r[n] for n in names] for r in f(alone, field, BALL, 10, ("n",)).collect()}
+        want = [(r["id"], one[r["n"]]) for r in alone.collect() for _ in range(3 if r["id"] == 1 else 1)]
+        got = [(r["id"], [r[n] for n in names]) for r in f(points, field, BALL, 10).collect()]
+        tidy = lambda some: sorted((i, [round(v, 9) + 0.0 for v in vs]) for i, vs in some)
+        assert tidy(got) == tidy(want)
+
+
+def test_fields_at_every_row(spark):
+    """The queries of points take all rows of lineitem; many share a place."""
+    from kerf import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = Q.points(spark, sf).groupBy("ok", "ln", "wx", "wy", "wz").count()
+    for name, value in (("trilinear", "d"), ("gradient", "gx")):
+        got = Q.QUERIES[f"{name}_points"](spark, sf)
+        assert got.where(F.col(value).isNull()).isEmpty()
+        assert got.groupBy("ok", "ln", "wx", "wy", "wz").count().exceptAll(rows).isEmpty() and got.count() == Q.points(spark, sf).count()
+
+
 def test_outside(spark, field):
     far = spark.createDataFrame([(100, 100, 100), (-1, 0, 0)], "x int, y int, z int")
     got = {r["x"]: r["d"] for r in S.look_up(far, field, BALL).collect()}
