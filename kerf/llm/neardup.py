@@ -9,8 +9,10 @@ once), and a set goes on
 to the child of its minwise token there. Nodes of up to ``small`` sets are compared
 exhaustively by sketch; larger ones branch again. Sets that stay together with many
 others down to the deepest level of two trees form a dense group beforehand, and a node
-that lies within one dense group is done. Trees are independent and repeated until a pair at the threshold is missed with a chance
-below 1e-4.
+that lies within one dense group is done. Trees are repeated until a pair at the threshold
+is missed with a chance of at most 5e-5 at the first level whose nodes are compared; sets
+that are in a large node there get further trees, until it is at most 5e-5 at the deepest
+level, too: below 1e-4 together, as ``missed`` computes it from how sketches spread.
 
 Sets that compare as similar form candidate groups, in which exact links are then
 found on full sets: a set is compared with all others of its group that aren't
@@ -51,11 +53,12 @@ SMALL = 64
 #: Trees that are branched to the deepest level at once, to find dense groups first.
 DENSE_TREES = 2
 #: Sets whose sketches agree so many standard errors below the threshold are still candidates.
-ERRORS = 4
+ERRORS = 5.2
 #: What a set that stands for its dense group may have less: its fellows may be that much nearer.
-NEARER = 0.20
-#: Trees are added until a pair at the threshold is missed with at most this chance at the first level.
-CHANCE = 2e-4
+NEARER = 0.16
+#: Trees are added until a pair at the threshold is missed with at most this chance at the first
+#: level, and further ones for sets in large nodes until it is so at the deepest.
+CHANCE = 5e-5
 #: Shingles that one task compares at a time.
 LIMIT = 4_000_000
 
@@ -82,6 +85,8 @@ class Plan(NamedTuple):
     lenient: float
     loose: float
     trees: int
+    #: Trees for sets that are in a large node of any of the first ones.
+    deep: int
 
 
 def missed(percent: int, again: int, lenient: float, trees: int, levels: int) -> float:
@@ -105,8 +110,8 @@ def plan(percent: int) -> Plan:
     j = percent / 100
     again = round(10_000 / percent) - 100
     lenient = math.floor(100 * (j - ERRORS * math.sqrt(j * (1 - j) / COORDINATES)) + 1e-9) / 100
-    trees = next(n for n in range(1, 1000) if missed(percent, again, lenient, n, FIRST) <= CHANCE)
-    return Plan(percent, again, lenient, round(lenient - NEARER, 2), trees)
+    trees, deep = (next(n for n in range(1, 1000) if missed(percent, again, lenient, n, k) <= CHANCE) for k in (FIRST, DEEPEST))
+    return Plan(percent, again, lenient, round(lenient - NEARER, 2), trees, deep)
 
 
 class Words(dict):
@@ -153,14 +158,14 @@ def children(which: np.ndarray, key: np.ndarray, sketches: np.ndarray, percent:
     return which, mix(mix(key + turn) + _ODD * (value + np.uint64(1)))
 
 
-def _paths(cols: dict[str, list], trees: int, levels: int, again: int) -> dict[str, list]:
-    """The nodes of each set: of the first ``trees`` trees at a level, or the children of ``node``. No pair twice."""
+def _paths(cols: dict[str, list], trees: range, levels: int, again: int) -> dict[str, list]:
+    """The nodes of each set: of ``trees`` at a level, or the children of ``node``. No pair twice."""
     sketches = np.frombuffer(b"".join(cols["sketch"]), np.uint16).reshape(-1, COORDINATES)
     if "node" in cols:
         which, key = np.arange(len(sketches)), np.array(cols["node"], np.int64).view(np.uint64)
     else:
-        which = np.repeat(np.arange(len(sketches)), trees)
-        key = np.tile(mix(np.arange(1, trees + 1, dtype=np.uint64)), len(sketches))
+        which = np.repeat(np.arange(len(sketches)), len(trees))
+        key = np.tile(mix(np.array(trees, np.uint64) + np.uint64(1)), len(sketches))
     for _ in range(levels):
         which, key = children(which, key, sketches, again)
     order = np.lexsort((key, which))
@@ -314,7 +319,7 @@ def dense_groups(some: DataFrame, again: int) -> DataFrame | None:
     Sets that share so many minwise tokens with so many others are one candidate group,
     whatever its size; each node adds a star. None where there are no such nodes.
     """
-    deep = materialize(map_rows(some, lambda: lambda cols: _paths(cols, DENSE_TREES, DEEPEST, again), "node long, m long"), "deep")
+    deep = materialize(map_rows(some, lambda: lambda cols: _paths(cols, range(DENSE_TREES), DEEPEST, again), "node long, m long"), "deep")
     hubs = deep.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("m").alias("a")).where(F.col("size") > SMALL)
     stars = deep.join(hubs, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b")
     stars = materialize(stars.distinct(), "stars")
@@ -332,14 +337,14 @@ def candidate_edges(reps: DataFrame, by: Plan) -> DataFrame:
     """
     some = reps.where("n > 0").select("m", "sketch")
     dense = dense_groups(some, by.again)
-    front = materialize(map_rows(some, lambda: lambda cols: _paths(cols, by.trees, FIRST, by.again), "node long, m long"), "paths")
-    edges = None
-    if dense is not None:
-        edges = dense.select(F.col("m").alias("a"), F.col("group").alias("b")).where("a <> b")
-        front = front.join(dense.select(F.col("m").alias("v"), "group"), F.col("m") == F.col("v"), "left")
-        front = front.select("node", "m", F.coalesce("group", "m").alias("group"))
-    else:
-        front = front.withColumn("group", F.col("m"))
+    edges = None if dense is None else dense.select(F.col("m").alias("a"), F.col("group").alias("b")).where("a <> b")
+
+    def front(sets: DataFrame, trees: range) -> DataFrame:
+        got = materialize(map_rows(sets, lambda: lambda cols: _paths(cols, trees, FIRST, by.again), "node long, m long"), "paths")
+        if dense is None:
+            return got.withColumn("group", F.col("m"))
+        got = got.join(dense.select(F.col("m").alias("v"), "group"), F.col("m") == F.col("v"), "left")
+        return got.select("node", "m", F.coalesce("group", "m").alias("group"))
 
     def sized(rows: DataFrame) -> DataFrame:
         size = rows.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1"))
@@ -348,10 +353,14 @@ def candidate_edges(reps: DataFrame, by: Plan) -> DataFrame:
     def compared(rows: DataFrame, least: float) -> DataFrame:
         return map_groups(rows.select("node", "m").join(some, "m"), ["node"], _compare_sketches(least), "a long, b long")
 
-    kept = materialize(sized(front), "nodes")
+    kept = materialize(sized(front(some, range(by.trees))), "nodes")
     found = materialize(compared(kept.where(F.col("size") <= SMALL), by.lenient), "candidates")
     edges = found if edges is None else edges.unionAll(found)
     large = kept.where(F.col("size") > SMALL)
+    if by.deep > by.trees and not large.isEmpty():
+        kept = materialize(sized(front(some.join(large.select("m").distinct(), "m"), range(by.trees, by.deep))), "nodes")
+        edges = edges.unionAll(materialize(compared(kept.where(F.col("size") <= SMALL), by.lenient), "candidates"))
+        large = large.unionAll(kept.where(F.col("size") > SMALL))
     depth = FIRST
     while not large.isEmpty():
         one = large.groupBy("node", "group").agg(F.min("m").alias("m"))
@@ -364,7 +373,7 @@ def candidate_edges(reps: DataFrame, by: Plan) -> DataFrame:
             found = found.unionAll(large.join(least, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b"))
             return edges.unionAll(materialize(found, "candidates"))
         edges = edges.unionAll(materialize(found, "candidates"))
-        down = map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: lambda cols: _paths(cols, 0, 1, by.again), "node long, m long, group long")
+        down = map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: lambda cols: _paths(cols, range(0), 1, by.again), "node long, m long, group long")
         large = materialize(down, "paths")
     return edges
 

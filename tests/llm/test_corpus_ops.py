@@ -90,6 +90,30 @@ def test_plan():
         neardup.plan(40)
 
 
+def test_chance_of_a_miss():
+    """Many pairs at the threshold, by the operator's own trees and cut, at the first and the deepest level."""
+    rng = np.random.default_rng(6)
+    by = neardup.plan(85)
+    chance = [neardup.missed(85, by.again, by.lenient, n, k) for n, k in ((by.trees, neardup.FIRST), (by.deep, neardup.DEEPEST))]
+    assert sum(chance) < 1e-4
+    pairs = 20_000
+    sketches = rng.integers(0, 1 << 16, (2, pairs, neardup.COORDINATES)).astype(np.uint16)
+    sketches[1] = np.where(rng.random(sketches[1].shape) < 0.85, sketches[0], sketches[1])
+    agree = (sketches[0] == sketches[1]).mean(axis=1) >= by.lenient
+    for trees, levels in ((by.trees, neardup.FIRST), (by.deep, neardup.DEEPEST)):
+        met = np.zeros(pairs, bool)
+        for at in range(0, pairs, 2000):
+            part = sketches[:, at : at + 2000].reshape(-1, neardup.COORDINATES)
+            got = neardup._paths({"m": list(range(len(part))), "sketch": [s.tobytes() for s in part]}, range(trees), levels, by.again)
+            m, node = np.array(got["m"]), np.array(got["node"], np.int64)
+            size = len(part) // 2
+            order = np.lexsort((node, m % size))
+            m, node = m[order], node[order]
+            both = (m[1:] % size == m[:-1] % size) & (node[1:] == node[:-1])
+            met[at + m[1:][both] % size] = True
+        assert (~(met & agree)).sum() <= 6, (trees, levels)
+
+
 def test_links_of_sides():
     a, b = np.arange(100, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64)
     assert len(neardup.links([a, b, a + np.uint64(1000)])) == 1
