@@ -5,7 +5,7 @@ end id, and packed back to back into rows of ``length`` ids. A range makes one f
 an Arrow IPC stream whose batches hold a fixed-size-list column of ids (16 bits where
 the vocabulary fits) and one of bits that tell ids from padding. Only the last row of
 a file is padded. Row k of a file lies at a place that can be computed, so a memory
-map gives any sequence and its mask as array views.
+map gives any sequence as an array view. Its mask is packed bits and is copied when read.
 
 An index gives for each document its file and place; the number of ids before it in
 the whole corpus is summed over the ranges' totals, one row a range. A file is
@@ -208,7 +208,7 @@ class TokenFile:
         return self.first[-1]
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, without a copy, and mask of row k."""
+        """Ids, without a copy, and mask, copied from its bits, of row k."""
         b = int(np.searchsorted(self.first, k, side="right")) - 1
         at = (k - self.first[b]) * self.length
         ids = self.batches[b].column("ids").values.slice(at, self.length)
