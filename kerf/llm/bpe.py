@@ -20,12 +20,13 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerf.llm.common import id_and_text, map_rows
-from kerf.llm.pieces import PieceCoder
+from kerf.llm.common import id_and_text, map_batches
+from kerf.llm.pieces import PieceCoder, gather
 
 #: The pre-tokenizer pattern of byte-level vocabularies of this kind.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -159,21 +160,24 @@ class Bpe:
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        if not len(ends):
-            return b""
-        take = np.repeat(self.offsets[ids] - ends + sizes, sizes)
-        take += np.arange(ends[-1])
-        return self.bytes[take].tobytes()
+        return gather(self.bytes, self.offsets[ids], self.sizes[ids]).tobytes()
 
 
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[Bpe, PieceCoder]:
     """One coder a Python worker, kept between tasks."""
     coder = Bpe(path)
-    code = lambda many: [np.array(coder.encode(x), np.int32).tobytes() for x in many]
-    return coder, PieceCoder(code)
+
+    def many(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        codes: list[int] = []
+        sizes = []
+        for piece in pieces:
+            ids = coder.encode(piece.decode("utf-8", "surrogatepass"))
+            codes += ids
+            sizes.append(len(ids))
+        return np.array(codes, np.uint32), np.array(sizes, np.int64)
+
+    return coder, PieceCoder(many)
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,17 +190,16 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     def make():  # noqa: ANN202
         coder, pieces = load(path)
 
-        def step(cols: dict[str, list]) -> dict[str, list]:
-            ids, decoded = [], []
-            for codes in pieces([t or "" for t in cols["text"]]):
-                got = np.frombuffer(b"".join(codes), np.int32)
-                ids.append(got)
-                decoded.append(coder.decode(got).decode("utf-8", "replace"))
-            return {"doc_id": cols["doc_id"], "ids": ids, "decoded": decoded}
+        def step(batch: pa.RecordBatch) -> list[pa.Array]:
+            ids, bounds = pieces(batch.column("text"))
+            raw = coder.decode(ids)
+            ends = np.concatenate([[0], np.cumsum(coder.sizes[ids])])[bounds].tolist()
+            decoded = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+            return [batch.column("doc_id"), pa.ListArray.from_arrays(bounds.astype(np.int32), ids.view(np.int32)), pa.array(decoded, pa.string())]
 
         return step
 
-    return map_rows(id_and_text(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded string")
+    return map_batches(id_and_text(docs, id_col, text_col), make, "doc_id long, ids array<int>, decoded string")
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

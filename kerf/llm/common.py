@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are short.
 BATCH_ROWS = 256
+#: Bytes of a batch where work on a batch has a cost of its own.
+BATCH_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -22,11 +25,13 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the storage that driver and executors share.
 
-    The root is ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this machine is used.
+    The root is ``spark.checkpoint.dir``. Where that is unset, a temporary folder of
+    this machine is used in local mode, as in tests; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="kerf-")
@@ -93,6 +98,44 @@ def map_rows(
     return df.mapInArrow(run, out)
 
 
+def full_batches(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, short batches put together to about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def joined() -> pa.RecordBatch:
+        if len(held) == 1:
+            return held[0]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in held]) for k in range(held[0].num_columns)], schema=held[0].schema)
+
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield joined()
+            held, total = [], 0
+    if held:
+        yield joined()
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str) -> DataFrame:
+    """Like ``map_rows`` for functions from a batch to arrays, without Python lists between.
+
+    Batches are put together to about ``BATCH_BYTES``.
+    """
+    short_batches(df.sparkSession)
+    out = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        step = make()
+        for batch in full_batches(batches):
+            arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(step(batch), arrow)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return df.mapInArrow(run, out)
+
+
 def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]]) -> DataFrame:
     """Rows of ``df`` that a Python function of some columns keeps.
 

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,11 +216,13 @@ def _report(got):
     return got.select("doc_id", "n_words", F.size("hit_words").alias("n_hit"), F.size("items").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"))
 
 
-def test_token_files(spark, docs, none, tmp_path):
+@pytest.mark.parametrize("file_ids", [tokenfile.FILE_IDS, 20_000])
+def test_token_files(spark, docs, none, tmp_path, file_ids):
     t = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
     folder = f"file://{tmp_path}/tokens"
-    index = tokenfile.write_token_files(docs, folder, length=64).cache()
-    index.count()
+    (tmp_path / "tokens").mkdir()
+    (tmp_path / "tokens" / "_own-000000-lost").write_bytes(b"what a lost attempt left")
+    index = tokenfile.write_token_files(docs, folder, length=64, file_ids=file_ids)
     rows = sorted(tokenfile.read_token_files(index, folder).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [None] + [i for i in range(len(TEXTS)) for _ in range(2)]
     at = 0
@@ -228,15 +231,38 @@ def test_token_files(spark, docs, none, tmp_path):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+    names = {r["file"] for r in index.collect()}
+    assert names == {p.name for p in (tmp_path / "tokens").iterdir() if not p.name.startswith(".")}
+    assert (len(names) > 4) == (file_ids < tokenfile.FILE_IDS)
     total = 0
-    for name in {r["file"] for r in index.collect()}:
+    for name in names:
         f = tokenfile.TokenFile(folder, name)
-        for k in range(len(f)):
+        for k in reversed(range(len(f))):
             ids, mask = f.sequence(k)
-            assert len(ids) == len(mask) == 64 and (mask.all() or k == len(f) - 1)
-            total += int(mask.sum())
+            assert not ids.flags.owndata and not mask.flags.owndata
+            bits = np.unpackbits(mask, bitorder="little")
+            assert len(ids) == len(bits) == 64 and (bits.all() or k == len(f) - 1)
+            total += int(bits.sum())
     assert total == at
     assert tokenfile.token_file_digests(none).count() == 0
+    with pytest.raises(ValueError):
+        tokenfile.write_token_files(docs, folder, length=60)
+
+
+def test_pieces():
+    """Cut, joined and looked up through small tables, texts give the library's ids."""
+    t = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    rng = random.Random(11)
+    parts = ["a", "bc", " ", "  ", "\n", "\t", "\x85", "\xa0", "\u2003", "\u3000", "\u2028", "\u205f", "\u1680", "\u2019", "é", "日", "1", "'s", "<|endoftext|>", "\x1c", "!"]
+    for make in (tokenfile.coder, lambda path: bpe.load(path)[1]):
+        coder = make(bpe.default_vocabulary())
+        coder.limit, limit = 300, coder.limit
+        for _ in range(30):
+            texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, ""]
+            ids, bounds = coder(pa.array(["left out", *texts], pa.string())[1:])
+            for k, text in enumerate(texts):
+                assert ids[bounds[k] : bounds[k + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+        coder.limit = limit
 
 
 def test_quality(spark, none):
