@@ -52,6 +52,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Steps that give the same rows in the same partitions each time a plan runs.
+_STABLE = {"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View", "DataSourceV2ScanRelation", "RelationV2"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df``, or a copy on shared storage where its plan may deal rows anew each time it runs."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    names = {re.match(r"[\s:+|-]*!?(\w+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+|-]*!?\w", line)}
+    return df if names <= _STABLE else materialize(df, "stable")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a materialized table that nothing will read again."""
     spark = df.sparkSession

@@ -14,14 +14,17 @@ is missed with a chance of at most 5e-5 at the first level whose nodes are compa
 that are in a large node there get further trees, until it is at most 5e-5 at the deepest
 level, too: below 1e-4 together, as ``missed`` computes it from how sketches spread.
 
-Sets that compare as similar form candidate groups, in which exact links are then
-found on full sets: a set is compared with all others of its group that aren't
-connected with it already. Groups beyond ``limit`` shingles are cut into blocks, and
-each pair of blocks is a task of bounded size; nothing is capped.
+Sets that compare as similar form candidate groups, in which all exact links are then
+accounted for on full sets. A group is cut into blocks of ``ROWS`` sets or fewer, and a
+set is compared with all others of its block that aren't connected with it already. Of a
+group of many blocks, one set of each component that a block found goes on and is compared
+with those of other blocks, round by round; so copies of one text, however many, cost linear
+work in tasks of bounded size. What is then outside its group's largest component is compared
+with all sets of the group it isn't connected with, in pairs of blocks; nothing is capped.
 
 Documents without words are linked with nothing. Rows with equal text are linked.
-``docs`` must give the same rows in the same partitions each time, as tables do: its
-texts are read twice. A null id never becomes a component's id where another is there; a component of null
+Texts are read twice and rows are told apart by number, so ``docs`` is written to shared
+storage first where it isn't read from tables or made of rows at hand. A null id never becomes a component's id where another is there; a component of null
 ids alone has a null id. Repeated rows appear as often as they come in.
 """
 
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import id_and_text, map_rows, materialize, short_batches
+from kerf.llm.common import discard, id_and_text, map_rows, materialize, short_batches, stable
 from kerf.llm.graph import components
 
 WIDTH = 5
@@ -59,7 +62,8 @@ NEARER = 0.16
 #: Trees are added until a pair at the threshold is missed with at most this chance at the first
 #: level, and further ones for sets in large nodes until it is so at the deepest.
 CHANCE = 5e-5
-#: Shingles that one task compares at a time.
+#: Sets of a group, and their shingles, that one task compares at a time.
+ROWS = 256
 LIMIT = 4_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -254,12 +258,12 @@ def _compare_sketches(least: float) -> Callable[[], Callable[[dict[str, list]],
     return lambda: step
 
 
-def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a spanning forest of all links between the sets.
 
     Each set is compared in full with all others, but those it is connected with
     already and those whose size rules a link out. With ``side``, only sets of
-    different sides are compared.
+    different sides are compared; sets of one ``label`` are connected from the start.
     """
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
@@ -270,6 +274,8 @@ def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int =
     start = np.concatenate([[0], np.cumsum(size)])
     marked = np.zeros(token.max() + 1 if len(token) else 0, np.uint8)
     forest = _Forest(len(sets))
+    if label is not None:
+        forest.label = np.unique(label[order], return_inverse=True)[1]
     reach = np.searchsorted(size, size * 100 // percent, side="right")
     for a in range(len(sets)):
         lo, hi = a + 1, int(reach[a])
@@ -292,25 +298,99 @@ def links(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int =
     return [(int(order[a]), int(order[b])) for a, b in forest.edges]
 
 
-def _compare_sets(percent: int) -> Callable[[dict[str, list]], list[tuple]]:
-    known = Words()
+def _compare_sets(percent: int) -> Callable[[], Callable[[dict[str, list]], list[tuple]]]:
+    """Stars (a, b): each set of a block that is linked with another, and the least of its component."""
 
-    def step(group: dict[str, list]) -> list[tuple]:
-        m, block, i, j = group["m"], group["block"], group["i"][0], group["j"][0]
-        found = links([shingles(t, known) for t in group["text"]], None if i == j else np.array(block), percent)
-        if not found:
-            return []
-        label = np.arange(len(m))
-        for a, b in found:
-            label[label == label[b]] = label[a]
-        # Stars: each set that is linked with any, and the least of its component.
-        linked = sorted({k for edge in found for k in edge})
-        root: dict[int, int] = {}
-        for k in linked:
-            root[label[k]] = min(root.get(label[k], m[k]), m[k])
-        return [(group["group"][0], m[k], root[label[k]]) for k in linked]
+    def make():  # noqa: ANN202
+        known = Words()
+
+        def step(block: dict[str, list]) -> list[tuple]:
+            m = block["m"]
+            found = links([shingles(t, known) for t in block["text"]], None, percent) if len(m) > 1 else []
+            if not found:
+                return []
+            label = np.arange(len(m))
+            for a, b in found:
+                label[label == label[b]] = label[a]
+            linked = sorted({k for edge in found for k in edge})
+            root: dict[int, int] = {}
+            for k in linked:
+                root[label[k]] = min(root.get(label[k], m[k]), m[k])
+            return [(m[k], root[label[k]]) for k in linked]
+
+        return step
 
-    return step
+    return make
+
+
+def _compare_sides(percent: int) -> Callable[[], Callable[[dict[str, list]], list[tuple]]]:
+    """Links between the sets of two sides that aren't connected by their labels."""
+
+    def make():  # noqa: ANN202
+        known = Words()
+
+        def step(pair: dict[str, list]) -> list[tuple]:
+            found = links([shingles(t, known) for t in pair["text"]], np.array(pair["side"]), percent, np.array(pair["label"]))
+            return [(pair["m"][a], pair["m"][b]) for a, b in found]
+
+        return step
+
+    return make
+
+
+def _in_blocks(sets: DataFrame, limit: int) -> DataFrame:
+    """``sets`` (m, group, n, ...) with the number of blocks of its group and its own block."""
+    total = sets.groupBy(F.col("group").alias("k")).agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
+    by_size = F.when(F.col("total") <= limit, 1).otherwise(F.ceil(2 * F.col("total") / limit))
+    total = total.select("k", F.greatest(F.ceil(F.col("sets") / ROWS), by_size).cast("int").alias("blocks"))
+    joined = sets.join(total, F.col("group") == F.col("k")).drop("k")
+    return joined.withColumn("block", F.pmod(F.xxhash64("m", "blocks"), F.col("blocks")).cast("int"))
+
+
+def exact_links(texts: Callable[[DataFrame], DataFrame], members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked within each group of ``members`` (m, at, n, group).
+
+    ``texts`` joins the texts to such rows.
+    """
+    star = "a long, b long"
+    compare = lambda rows: map_groups(rows.select("group", "block", "m", "text"), ["group", "block"], _compare_sets(percent), star)
+    members = materialize(_in_blocks(members, limit), "members")
+    edges = materialize(compare(texts(members)), "links")
+    hot = members.where("blocks > 1")
+    if hot.isEmpty():
+        return edges
+    hot = materialize(texts(hot).select("m", "group", "n", "text"), "hot")
+    # One set of each component that a block found goes on, until a round brings little.
+    found, open_, left = edges, hot, hot.count()
+    while True:
+        not_first = found.where("a <> b").select(F.col("a").alias("k"))
+        open_ = materialize(_in_blocks(open_.select("m", "group", "n", "text").join(not_first, F.col("m") == F.col("k"), "left_anti"), limit), "open")
+        before, left = left, open_.count()
+        if 2 * left > before:
+            break
+        found = materialize(compare(open_), "links")
+        edges = edges.unionAll(found)
+        if open_.where("blocks > 1").isEmpty():
+            break
+    labels = components(edges.join(hot.select("m"), F.col("a") == F.col("m"), "left_semi"), "labels")
+    hot = hot.join(labels, F.col("m") == F.col("vertex"), "left").select("m", "group", "n", "text", F.coalesce("root", "m").alias("label"))
+    sizes = hot.groupBy("group", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    most = sizes.groupBy(F.col("group").alias("k")).agg(
+        F.max_by("label", F.struct("sets", "label")).alias("main"),
+        (F.sum("sets") - F.max("sets")).alias("others"), F.sum("sets").alias("sets"), F.sum("total").alias("total"),
+    )
+    most = materialize(most.where("others > 0"), "most")
+    if most.isEmpty():
+        return edges
+    by_size = F.ceil(2 * F.col("total") / limit)
+    chunks = F.greatest(F.ceil(F.sqrt(F.col("others") / ROWS)), F.ceil(F.col("others") / F.col("sets") * by_size))
+    most = most.withColumn("chunks", chunks.cast("int")).withColumn("parts", F.greatest(F.ceil(F.col("sets") / (ROWS * F.col("chunks"))), by_size).cast("int"))
+    rows = hot.join(most, F.col("group") == F.col("k"))
+    own = lambda n: F.pmod(F.xxhash64("m", F.lit(n)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.where("label <> main").select("group", own("chunks").alias("i"), every("parts").alias("j"), "m", "label", "text", F.lit(0).alias("side"))
+    other = rows.select("group", every("chunks").alias("i"), own("parts").alias("j"), "m", "label", "text", F.lit(1).alias("side"))
+    return edges.unionAll(materialize(map_groups(one.unionAll(other), ["group", "i", "j"], _compare_sides(percent), star), "links"))
 
 
 def dense_groups(some: DataFrame, again: int) -> DataFrame | None:
@@ -323,6 +403,7 @@ def dense_groups(some: DataFrame, again: int) -> DataFrame | None:
     hubs = deep.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("m").alias("a")).where(F.col("size") > SMALL)
     stars = deep.join(hubs, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b")
     stars = materialize(stars.distinct(), "stars")
+    discard(deep)
     if stars.isEmpty():
         return None
     return materialize(components(stars, "dense").select(F.col("vertex").alias("m"), F.col("root").alias("group")), "dense")
@@ -332,60 +413,79 @@ def candidate_edges(reps: DataFrame, by: Plan) -> DataFrame:
     """Edges (a, b) between sets that are similar by sketch, from all trees.
 
     A node whose sets are all of one dense group adds nothing and is dropped when it is
-    counted. Of a large node one set of each group stays, and it branches again where
-    these are still many.
+    counted. Small nodes with the same sets, as different trees find them, are compared
+    once. Of a large node one set of each group stays, and it branches again where these
+    are still many.
     """
     some = reps.where("n > 0").select("m", "sketch")
     dense = dense_groups(some, by.again)
     edges = None if dense is None else dense.select(F.col("m").alias("a"), F.col("group").alias("b")).where("a <> b")
 
-    def front(sets: DataFrame, trees: range) -> DataFrame:
-        got = materialize(map_rows(sets, lambda: lambda cols: _paths(cols, trees, FIRST, by.again), "node long, m long"), "paths")
-        if dense is None:
-            return got.withColumn("group", F.col("m"))
-        got = got.join(dense.select(F.col("m").alias("v"), "group"), F.col("m") == F.col("v"), "left")
-        return got.select("node", "m", F.coalesce("group", "m").alias("group"))
+    def nodes(sets: DataFrame, trees: range) -> DataFrame:
+        paths = materialize(map_rows(sets, lambda: lambda cols: _paths(cols, trees, FIRST, by.again), "node long, m long"), "paths")
+        rows = paths.withColumn("group", F.col("m"))
+        if dense is not None:
+            rows = paths.join(dense.select(F.col("m").alias("v"), "group"), F.col("m") == F.col("v"), "left").select("node", "m", F.coalesce("group", "m").alias("group"))
+        out = sized(rows)
+        discard(paths)
+        return out
 
     def sized(rows: DataFrame) -> DataFrame:
-        size = rows.groupBy(F.col("node").alias("k")).agg(F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1"))
-        return rows.join(size.where("g0 <> g1"), F.col("node") == F.col("k")).select("node", "m", "group", "size")
+        size = rows.groupBy(F.col("node").alias("k")).agg(
+            F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1"),
+            F.bit_xor(F.xxhash64("m")).alias("x"), F.bit_xor(F.xxhash64("m", F.lit(1))).alias("y"),
+        ).where("g0 <> g1")
+        return materialize(rows.join(size, F.col("node") == F.col("k")).select("node", "m", "group", "size", "x", "y"), "nodes")
 
     def compared(rows: DataFrame, least: float) -> DataFrame:
-        return map_groups(rows.select("node", "m").join(some, "m"), ["node"], _compare_sketches(least), "a long, b long")
-
-    kept = materialize(sized(front(some, range(by.trees))), "nodes")
-    found = materialize(compared(kept.where(F.col("size") <= SMALL), by.lenient), "candidates")
-    edges = found if edges is None else edges.unionAll(found)
-    large = kept.where(F.col("size") > SMALL)
+        small = rows.where(F.col("size") <= SMALL)
+        # Sums of hashes tell nodes with the same sets.
+        once = small.select("node", "size", "x", "y").groupBy("size", "x", "y").agg(F.min("node").alias("k")).select("k")
+        sets = small.join(once, F.col("node") == F.col("k"), "left_semi").select("node", "m").join(some, "m")
+        return materialize(map_groups(sets, ["node"], _compare_sketches(least), "a long, b long"), "candidates")
+
+    def one_of_each(rows: DataFrame) -> DataFrame:
+        return sized(rows.where(F.col("size") > SMALL).groupBy("node", "group").agg(F.min("m").alias("m")))
+
+    def add(found: DataFrame) -> None:
+        nonlocal edges
+        edges = found if edges is None else edges.unionAll(found)
+
+    kept = nodes(some, range(by.trees))
+    add(compared(kept, by.lenient))
+    one = one_of_each(kept)
+    add(compared(one, by.loose))
+    large = one.where(F.col("size") > SMALL)
     if by.deep > by.trees and not large.isEmpty():
-        kept = materialize(sized(front(some.join(large.select("m").distinct(), "m"), range(by.trees, by.deep))), "nodes")
-        edges = edges.unionAll(materialize(compared(kept.where(F.col("size") <= SMALL), by.lenient), "candidates"))
-        large = large.unionAll(kept.where(F.col("size") > SMALL))
-    depth = FIRST
-    while not large.isEmpty():
-        one = large.groupBy("node", "group").agg(F.min("m").alias("m"))
-        kept = materialize(sized(one), "nodes")
-        found = compared(kept.where(F.col("size") <= SMALL), by.loose)
-        large = kept.where(F.col("size") > SMALL)
-        depth += 1
-        if depth > DEEPEST:
-            least = large.groupBy(F.col("node").alias("k")).agg(F.min("m").alias("a"))
-            found = found.unionAll(large.join(least, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b"))
-            return edges.unionAll(materialize(found, "candidates"))
-        edges = edges.unionAll(materialize(found, "candidates"))
+        # All sets of nodes that are large in spite of that get the further trees.
+        sets = kept.join(large.select(F.col("node").alias("l")).distinct(), F.col("node") == F.col("l"), "left_semi").select("m").distinct()
+        kept = nodes(some.join(sets, "m"), range(by.trees, by.deep))
+        add(compared(kept, by.lenient))
+        one = one_of_each(kept)
+        add(compared(one, by.loose))
+        large = large.unionAll(one.where(F.col("size") > SMALL))
+    for _ in range(FIRST, DEEPEST):
+        if large.isEmpty():
+            return edges
         down = map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: lambda cols: _paths(cols, range(0), 1, by.again), "node long, m long, group long")
-        large = materialize(down, "paths")
+        down = materialize(down, "paths")
+        one = sized(down.groupBy("node", "group").agg(F.min("m").alias("m")))
+        discard(down)
+        add(compared(one, by.loose))
+        large = one.where(F.col("size") > SMALL)
+    least = large.groupBy(F.col("node").alias("k")).agg(F.min("m").alias("a"))
+    add(materialize(large.join(least, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b"), "candidates"))
     return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, percent: int = PERCENT) -> DataFrame:
     """``doc_id, row, n_shingles, component_id`` of each row of ``docs``.
 
-    ``row`` is the number that ``monotonically_increasing_id`` gives the row. Links need
-    a similarity of ``percent`` at least, from 50 to 100.
+    ``row`` is the number that ``monotonically_increasing_id`` gives a row of ``docs``, which
+    must be stable, if that number is used elsewhere. Links need a similarity of ``percent`` at least, from 50 to 100.
     """
     by = plan(percent)
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = stable(id_and_text(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
 
     def make():  # noqa: ANN202
         known = Words()
@@ -411,22 +511,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(reps.withColumn("m", F.monotonically_increasing_id()), "sets")
     groups = components(candidate_edges(reps, by), "groups").select(F.col("vertex").alias("m"), F.col("root").alias("group"))
     members = groups.join(reps.select("m", F.col("row").alias("at"), "n"), "m")
-    total = members.groupBy("group").agg(F.sum("n").alias("total"))
-    count = F.when(F.col("total") <= limit, 1).otherwise(F.ceil(2 * F.col("total") / limit)).cast("int")
-    members = members.join(total.select("group", count.alias("blocks")), "group")
-    members = materialize(members.withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int")), "members")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
-    )
-    texts = rows.select("row", "text").join(members.select("m", "at", "group", "block", "blocks"), F.col("row") == F.col("at"))
-    dealt = texts.select("m", "group", "block", "text", F.explode(pairs).alias("p")).select("m", "group", "block", "text", "p.i", "p.j")
-    edges = materialize(map_groups(dealt, ["group", "i", "j"], lambda: _compare_sets(percent), "group long, a long, b long"), "links")
-    # A group of one block comes out as stars already; only what blocks found apart has to be put together.
-    split = members.where("blocks > 1").select("group").distinct()
-    roots = edges.join(split, "group", "left_anti").select(F.col("a").alias("vertex"), F.col("b").alias("root"))
-    if not split.isEmpty():
-        roots = roots.unionAll(components(edges.join(split, "group", "left_semi").select("a", "b").where("a <> b"), "linked"))
+    texts = lambda some: rows.select("row", "text").join(some, F.col("row") == F.col("at")).drop("row", "at")
+    roots = components(exact_links(texts, members, limit, percent).where("a <> b"), "linked").select("vertex", "root")
     ids = roots.join(reps.select("m", "least_id"), F.col("vertex") == F.col("m"))
     ids = ids.select("m", "root").join(ids.groupBy("root").agg(F.min("least_id").alias("component")), "root").select("m", "component")
     ids = reps.select("hi", "lo", "m", "least_id").join(ids, "m", "left")
@@ -443,6 +529,7 @@ def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows that share an id and a component count as one document. Rows whose
     component has no id can't be told apart and all stay.
     """
+    docs = stable(docs)
     got = near_duplicates(docs, percent=percent)
     first = F.struct(~F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
     one = got.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min_by("row", first).alias("row")).select("row")

@@ -40,10 +40,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, m string, row int").repartition(3).cache()
 
 
-@pytest.mark.parametrize("small, limit", [(64, neardup.LIMIT), (8, 3000)])
-def test_near_duplicates(spark, monkeypatch, small, limit):
+@pytest.mark.parametrize("small, limit, block", [(64, neardup.LIMIT, neardup.ROWS), (8, 3000, neardup.ROWS), (64, neardup.LIMIT, 4)])
+def test_near_duplicates(spark, monkeypatch, small, limit, block):
     """Whole, and with nodes so small and blocks so tight that every path is taken."""
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "ROWS", block)
     rows = corpus(3, 90)
     got = neardup.near_duplicates(frame(spark, rows), limit=limit).collect()
     want = brute.near(rows)
@@ -114,6 +115,33 @@ def test_chance_of_a_miss():
         assert (~(met & agree)).sum() <= 6, (trees, levels)
 
 
+def test_exact_links(spark, monkeypatch):
+    """Loose candidate groups of chains, copies and strangers, in blocks of three, have the components that all pairs have."""
+    monkeypatch.setattr(neardup, "ROWS", 3)
+    rng = random.Random(12)
+    rows, group = [], {}
+    for g in range(4):
+        chain = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+        for k in range(12):
+            chain = chain[5:] + [f"x{g}_{k}_{j}" for j in range(5)]
+            rows.append((len(rows), " ".join(chain)))
+        rows += [(len(rows) + k, f"stranger {g} {k} " * 3 + str(rng.random())) for k in range(5)]
+        group |= {m: g for m, _ in rows if m not in group}
+    sets = spark.createDataFrame([(m, m, 120, group[m]) for m, _ in rows], "m long, at long, n long, `group` long")
+    texts = spark.createDataFrame(rows, "row long, text string")
+    got = neardup.exact_links(lambda some: texts.join(some, F.col("row") == F.col("at")).drop("row", "at"), sets, neardup.LIMIT, 85)
+    label = {r["vertex"]: r["root"] for r in graph.components(got).collect()}
+    assert [label.get(m, m) for m, _ in rows] == [w[2] for w in brute.near(rows)]
+
+
+def test_unstable_input(spark):
+    """Rows that may come in other partitions each time are written first."""
+    rows = corpus(5, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = neardup.near_duplicates(docs.where(F.rand() >= 0)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(w[:3] for w in brute.near(rows))
+
+
 def test_links_of_sides():
     a, b = np.arange(100, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64)
     assert len(neardup.links([a, b, a + np.uint64(1000)])) == 1
