@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -80,6 +82,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Fetch:
+    """Rows of a DataFrame by number, without a shuffle of that DataFrame.
+
+    ``rows`` is a stable DataFrame with a column ``row`` from ``monotonically_increasing_id``,
+    whose upper bits are the number of the partition. What is wanted of each partition is
+    written to shared storage as one file, and the task that reads the partition picks it up.
+    So only ``wanted`` moves, never texts that nobody asked for.
+    """
+
+    def __init__(self, rows: DataFrame, wanted: DataFrame, at: str, name: str) -> None:
+        """``wanted`` has the number of a row in ``at``; its other columns come along."""
+        spark = rows.sparkSession
+        self.rows, self.at = rows, at
+        self.folder = folder = shared_dir(spark, name)
+        self.given = [f for f in wanted.schema if f.name != at]
+        kind = StructType([wanted.schema[at], *self.given])
+        dealt = wanted.select(at, *(f.name for f in self.given)).withColumn("_part", F.shiftright(F.col(at), 33))
+        dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_part").sortWithinPartitions("_part", at)
+        short_batches(spark)
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(root, recursive=True)
+            held: list[pa.RecordBatch] = []
+            now = None
+
+            def close() -> None:
+                own = f"{root}/_own-{now}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as out, pa.ipc.new_stream(out, held[0].schema) as stream:
+                    for b in held:
+                        stream.write_batch(b)
+                fs.move(own, f"{root}/{now}")
+
+            for batch in batches:
+                part = batch.column("_part").to_numpy()
+                ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+                batch = batch.select(range(batch.num_columns - 1))
+                for a, b in zip([0, *ends[:-1]], ends):
+                    if b > a:
+                        if held and part[a] != now:
+                            close()
+                            held = []
+                        now = part[a]
+                        held.append(batch.slice(a, b - a))
+            if held:
+                close()
+            yield from ()
+
+        dealt.mapInArrow(write, kind).write.format("noop").mode("overwrite").save()
+
+    def rows_with(self, columns: list[str]) -> DataFrame:
+        """``columns`` of the wanted rows and what came with ``wanted``, a row for each wanted one."""
+        folder, given = self.folder, [f.name for f in self.given]
+        some = self.rows.select("row", *columns)
+        out = StructType([some.schema[c] for c in columns] + self.given)
+        short_batches(some.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            arrow = to_arrow_schema(out)
+            wanted = None
+            for batch in batches:
+                row = batch.column(0).to_numpy()
+                if not len(row):
+                    continue
+                if wanted is None:
+                    fs, root = pafs.FileSystem.from_uri(folder)
+                    path = f"{root}/{row[0] >> 33}"
+                    if fs.get_file_info(path).type != pafs.FileType.File:
+                        wanted = False
+                    else:
+                        with fs.open_input_stream(path) as source:
+                            wanted = pa.ipc.open_stream(source).read_all().combine_chunks()
+                        place = wanted.column(0).to_numpy()
+                if wanted is False:
+                    continue
+                a, b = np.searchsorted(place, [row[0], row[-1] + 1])
+                if a < b:
+                    mine = wanted.slice(a, b - a)
+                    take = pa.array(np.searchsorted(row, place[a:b]))
+                    cols = [batch.column(k + 1).take(take) for k in range(len(columns))] + [mine.column(c).combine_chunks() for c in given]
+                    cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow)], schema=arrow)
+
+        return some.mapInArrow(run, out)
+
+
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import discard, id_and_text, map_rows, materialize, short_batches, stable
+from kerf.llm.common import Fetch, discard, id_and_text, map_rows, materialize, short_batches, stable
 from kerf.llm.graph import components
 
 WIDTH = 5
@@ -239,13 +239,12 @@ class _Forest:
                 self.label[self.label == y] = x
 
 
-def _compare_sketches(least: float) -> Callable[[], Callable[[dict[str, list]], list[tuple]]]:
+def _compare_sketches(lenient: float, loose: float) -> Callable[[], Callable[[dict[str, list]], list[tuple]]]:
     """Candidate edges that connect the similar sets of a small node."""
 
     def step(node: dict[str, list]) -> list[tuple]:
         m = node["m"]
-        if len(m) == 1:
-            return []
+        least = loose if node["loose"][0] else lenient
         s = np.frombuffer(b"".join(node["sketch"]), np.uint16).reshape(-1, COORDINATES)
         forest = _Forest(len(m))
         for a in range(len(m) - 1):
@@ -324,14 +323,14 @@ def _compare_sets(percent: int) -> Callable[[], Callable[[dict[str, list]], list
 
 
 def _compare_sides(percent: int) -> Callable[[], Callable[[dict[str, list]], list[tuple]]]:
-    """Links between the sets of two sides that aren't connected by their labels."""
+    """Links, as edges of labels, between the sets of two sides that aren't connected by their labels."""
 
     def make():  # noqa: ANN202
         known = Words()
 
         def step(pair: dict[str, list]) -> list[tuple]:
             found = links([shingles(t, known) for t in pair["text"]], np.array(pair["side"]), percent, np.array(pair["label"]))
-            return [(pair["m"][a], pair["m"][b]) for a, b in found]
+            return [(pair["label"][a], pair["label"][b]) for a, b in found]
 
         return step
 
@@ -347,50 +346,56 @@ def _in_blocks(sets: DataFrame, limit: int) -> DataFrame:
     return joined.withColumn("block", F.pmod(F.xxhash64("m", "blocks"), F.col("blocks")).cast("int"))
 
 
-def exact_links(texts: Callable[[DataFrame], DataFrame], members: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked within each group of ``members`` (m, at, n, group).
+def exact_components(texts: Callable[[DataFrame], DataFrame], members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """``vertex, root`` of the sets that are linked within their group of ``members`` (m, at, n, group), and of others maybe.
 
-    ``texts`` joins the texts to such rows.
+    ``texts`` gives such rows with ``text`` for ``at``.
     """
     star = "a long, b long"
-    compare = lambda rows: map_groups(rows.select("group", "block", "m", "text"), ["group", "block"], _compare_sets(percent), star)
+    compare = lambda rows: materialize(map_groups(rows.select("group", "block", "m", "text"), ["group", "block"], _compare_sets(percent), star), "links")
     members = materialize(_in_blocks(members, limit), "members")
-    edges = materialize(compare(texts(members)), "links")
-    hot = members.where("blocks > 1")
+    found = compare(texts(members.select("m", "at", "group", "block")))
+    done = found.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+    hot = members.where("blocks > 1").select("m", "at", "group", "n")
     if hot.isEmpty():
-        return edges
-    hot = materialize(texts(hot).select("m", "group", "n", "text"), "hot")
+        return done
+    hot = materialize(texts(hot), "hot")
     # One set of each component that a block found goes on, until a round brings little.
-    found, open_, left = edges, hot, hot.count()
+    step = lambda some, stars: some.join(stars.select(F.col("a").alias("k"), "b"), F.col("label") == F.col("k"), "left").select("m", "group", "n", F.coalesce("b", "label").alias("label"))
+    labels = step(hot.select("m", "group", "n", F.col("m").alias("label")), found)
+    open_, left = hot, hot.count()
     while True:
         not_first = found.where("a <> b").select(F.col("a").alias("k"))
         open_ = materialize(_in_blocks(open_.select("m", "group", "n", "text").join(not_first, F.col("m") == F.col("k"), "left_anti"), limit), "open")
         before, left = left, open_.count()
         if 2 * left > before:
             break
-        found = materialize(compare(open_), "links")
-        edges = edges.unionAll(found)
+        found = compare(open_)
+        labels = step(labels, found)
         if open_.where("blocks > 1").isEmpty():
             break
-    labels = components(edges.join(hot.select("m"), F.col("a") == F.col("m"), "left_semi"), "labels")
-    hot = hot.join(labels, F.col("m") == F.col("vertex"), "left").select("m", "group", "n", "text", F.coalesce("root", "m").alias("label"))
-    sizes = hot.groupBy("group", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    labels = materialize(labels, "labels")
+    cold = done.join(hot.select("m"), F.col("vertex") == F.col("m"), "left_anti")
+    sizes = labels.groupBy("group", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     most = sizes.groupBy(F.col("group").alias("k")).agg(
         F.max_by("label", F.struct("sets", "label")).alias("main"),
         (F.sum("sets") - F.max("sets")).alias("others"), F.sum("sets").alias("sets"), F.sum("total").alias("total"),
     )
     most = materialize(most.where("others > 0"), "most")
-    if most.isEmpty():
-        return edges
-    by_size = F.ceil(2 * F.col("total") / limit)
-    chunks = F.greatest(F.ceil(F.sqrt(F.col("others") / ROWS)), F.ceil(F.col("others") / F.col("sets") * by_size))
-    most = most.withColumn("chunks", chunks.cast("int")).withColumn("parts", F.greatest(F.ceil(F.col("sets") / (ROWS * F.col("chunks"))), by_size).cast("int"))
-    rows = hot.join(most, F.col("group") == F.col("k"))
-    own = lambda n: F.pmod(F.xxhash64("m", F.lit(n)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = rows.where("label <> main").select("group", own("chunks").alias("i"), every("parts").alias("j"), "m", "label", "text", F.lit(0).alias("side"))
-    other = rows.select("group", every("chunks").alias("i"), own("parts").alias("j"), "m", "label", "text", F.lit(1).alias("side"))
-    return edges.unionAll(materialize(map_groups(one.unionAll(other), ["group", "i", "j"], _compare_sides(percent), star), "links"))
+    if not most.isEmpty():
+        by_size = F.ceil(2 * F.col("total") / limit)
+        chunks = F.greatest(F.ceil(F.sqrt(F.col("others") / ROWS)), F.ceil(F.col("others") / F.col("sets") * by_size))
+        most = most.withColumn("chunks", chunks.cast("int")).withColumn("parts", F.greatest(F.ceil(F.col("sets") / (ROWS * F.col("chunks"))), by_size).cast("int"))
+        rows = labels.join(most, F.col("group") == F.col("k")).join(hot.select(F.col("m").alias("v"), "text"), F.col("m") == F.col("v"))
+        own = lambda n: F.pmod(F.xxhash64("m", F.lit(n)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = rows.where("label <> main").select("group", own("chunks").alias("i"), every("parts").alias("j"), "m", "label", "text", F.lit(0).alias("side"))
+        other = rows.select("group", every("chunks").alias("i"), own("parts").alias("j"), "m", "label", "text", F.lit(1).alias("side"))
+        found = materialize(map_groups(one.unionAll(other), ["group", "i", "j"], _compare_sides(percent), star), "links")
+        if not found.isEmpty():
+            roots = components(found, "linked").select(F.col("vertex").alias("k"), F.col("root").alias("b"))
+            labels = labels.join(roots, F.col("label") == F.col("k"), "left").select("m", F.coalesce("b", "label").alias("label"))
+    return cold.select("vertex", "root").unionAll(labels.select(F.col("m").alias("vertex"), F.col("label").alias("root")))
 
 
 def dense_groups(some: DataFrame, again: int) -> DataFrame | None:
@@ -413,69 +418,60 @@ def candidate_edges(reps: DataFrame, by: Plan) -> DataFrame:
     """Edges (a, b) between sets that are similar by sketch, from all trees.
 
     A node whose sets are all of one dense group adds nothing and is dropped when it is
-    counted. Small nodes with the same sets, as different trees find them, are compared
-    once. Of a large node one set of each group stays, and it branches again where these
-    are still many.
+    counted. Of a large node one set of each group stays; where these are still many, all
+    its sets get further trees and it branches again, to the deepest level, where what is
+    left large is a candidate group. Small nodes with the same sets, as different trees
+    find them, are compared once.
     """
     some = reps.where("n > 0").select("m", "sketch")
     dense = dense_groups(some, by.again)
     edges = None if dense is None else dense.select(F.col("m").alias("a"), F.col("group").alias("b")).where("a <> b")
 
+    def sizes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("node").alias("k")).agg(
+            F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1"),
+            F.bit_xor(F.xxhash64("m")).alias("x"), F.bit_xor(F.xxhash64("m", F.lit(1))).alias("y"),
+        ).where("g0 <> g1")
+
+    def sized(rows: DataFrame, size: DataFrame) -> DataFrame:
+        return materialize(rows.join(size, F.col("node") == F.col("k")).select("node", "m", "group", "size", "x", "y"), "nodes")
+
     def nodes(sets: DataFrame, trees: range) -> DataFrame:
         paths = materialize(map_rows(sets, lambda: lambda cols: _paths(cols, trees, FIRST, by.again), "node long, m long"), "paths")
         rows = paths.withColumn("group", F.col("m"))
         if dense is not None:
             rows = paths.join(dense.select(F.col("m").alias("v"), "group"), F.col("m") == F.col("v"), "left").select("node", "m", F.coalesce("group", "m").alias("group"))
-        out = sized(rows)
+        # Sizes are written first, so that Spark can split a node of very many sets where it joins.
+        out = sized(rows, materialize(sizes(rows), "sizes"))
         discard(paths)
         return out
 
-    def sized(rows: DataFrame) -> DataFrame:
-        size = rows.groupBy(F.col("node").alias("k")).agg(
-            F.count("*").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1"),
-            F.bit_xor(F.xxhash64("m")).alias("x"), F.bit_xor(F.xxhash64("m", F.lit(1))).alias("y"),
-        ).where("g0 <> g1")
-        return materialize(rows.join(size, F.col("node") == F.col("k")).select("node", "m", "group", "size", "x", "y"), "nodes")
-
-    def compared(rows: DataFrame, least: float) -> DataFrame:
-        small = rows.where(F.col("size") <= SMALL)
-        # Sums of hashes tell nodes with the same sets.
-        once = small.select("node", "size", "x", "y").groupBy("size", "x", "y").agg(F.min("node").alias("k")).select("k")
-        sets = small.join(once, F.col("node") == F.col("k"), "left_semi").select("node", "m").join(some, "m")
-        return materialize(map_groups(sets, ["node"], _compare_sketches(least), "a long, b long"), "candidates")
-
     def one_of_each(rows: DataFrame) -> DataFrame:
-        return sized(rows.where(F.col("size") > SMALL).groupBy("node", "group").agg(F.min("m").alias("m")))
-
-    def add(found: DataFrame) -> None:
-        nonlocal edges
-        edges = found if edges is None else edges.unionAll(found)
+        one = rows.groupBy("node", "group").agg(F.min("m").alias("m"))
+        return sized(one, sizes(one))
 
     kept = nodes(some, range(by.trees))
-    add(compared(kept, by.lenient))
-    one = one_of_each(kept)
-    add(compared(one, by.loose))
+    one = one_of_each(kept.where(F.col("size") > SMALL))
     large = one.where(F.col("size") > SMALL)
-    if by.deep > by.trees and not large.isEmpty():
-        # All sets of nodes that are large in spite of that get the further trees.
-        sets = kept.join(large.select(F.col("node").alias("l")).distinct(), F.col("node") == F.col("l"), "left_semi").select("m").distinct()
-        kept = nodes(some.join(sets, "m"), range(by.trees, by.deep))
-        add(compared(kept, by.lenient))
-        one = one_of_each(kept)
-        add(compared(one, by.loose))
-        large = large.unionAll(one.where(F.col("size") > SMALL))
-    for _ in range(FIRST, DEEPEST):
-        if large.isEmpty():
-            return edges
-        down = map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: lambda cols: _paths(cols, range(0), 1, by.again), "node long, m long, group long")
-        down = materialize(down, "paths")
-        one = sized(down.groupBy("node", "group").agg(F.min("m").alias("m")))
-        discard(down)
-        add(compared(one, by.loose))
-        large = one.where(F.col("size") > SMALL)
-    least = large.groupBy(F.col("node").alias("k")).agg(F.min("m").alias("a"))
-    add(materialize(large.join(least, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b"), "candidates"))
-    return edges
+    if not large.isEmpty():
+        if by.deep > by.trees:
+            wide = materialize(large.select(F.col("node").alias("l")).distinct(), "large")
+            sets = kept.join(wide, F.col("node") == F.col("l"), "left_semi").select("m").distinct()
+            more = nodes(some.join(sets, "m"), range(by.trees, by.deep))
+            kept, one = kept.unionAll(more), one.unionAll(one_of_each(more.where(F.col("size") > SMALL)))
+            large = one.where(F.col("size") > SMALL)
+        deeper = lambda cols: _paths(cols, range(0), DEEPEST - FIRST, by.again)
+        down = materialize(map_rows(large.join(some, "m").select("node", "m", "group", "sketch"), lambda: deeper, "node long, m long, group long"), "paths")
+        deep = one_of_each(down)
+        least = deep.where(F.col("size") > SMALL).groupBy(F.col("node").alias("k")).agg(F.min("m").alias("a"))
+        rest = deep.join(least, F.col("node") == F.col("k")).select("a", F.col("m").alias("b")).where("a <> b")
+        edges = rest if edges is None else edges.unionAll(rest)
+        one = one.unionAll(deep)
+    small = kept.withColumn("loose", F.lit(False)).unionAll(one.withColumn("loose", F.lit(True))).where(F.col("size") <= SMALL)
+    # Sums of hashes tell nodes with the same sets.
+    small = small.select(F.concat_ws(":", "loose", "size", "x", "y").alias("node"), "loose", "m").distinct()
+    found = materialize(map_groups(small.join(some, "m"), ["node"], _compare_sketches(by.lenient, by.loose), "a long, b long"), "candidates")
+    return found if edges is None else edges.unionAll(found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, percent: int = PERCENT) -> DataFrame:
@@ -511,8 +507,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(reps.withColumn("m", F.monotonically_increasing_id()), "sets")
     groups = components(candidate_edges(reps, by), "groups").select(F.col("vertex").alias("m"), F.col("root").alias("group"))
     members = groups.join(reps.select("m", F.col("row").alias("at"), "n"), "m")
-    texts = lambda some: rows.select("row", "text").join(some, F.col("row") == F.col("at")).drop("row", "at")
-    roots = components(exact_links(texts, members, limit, percent).where("a <> b"), "linked").select("vertex", "root")
+    texts = lambda some: Fetch(rows, some, "at", "wanted").rows_with(["text"])
+    roots = exact_components(texts, members, limit, percent)
     ids = roots.join(reps.select("m", "least_id"), F.col("vertex") == F.col("m"))
     ids = ids.select("m", "root").join(ids.groupBy("root").agg(F.min("least_id").alias("component")), "root").select("m", "component")
     ids = reps.select("hi", "lo", "m", "least_id").join(ids, "m", "left")
