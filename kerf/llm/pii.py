@@ -4,17 +4,21 @@
    phone) and looser ones (local phone numbers, social security numbers).
 2. Labelers vote on each candidate: its format (separators, groups of digits, what
    can't be issued), a gazetteer (well-known domains, card issuers, area codes,
-   address ranges) and words of context before it.
-3. Votes are counted by kind and pattern of votes, a table of fixed size.
+   address ranges), words of context before it, and words that speak against it (order
+   numbers, versions, parts); the last one abstains where there are none.
+3. Votes are counted by kind, votes and features of the span, a table of fixed size.
    Expectation-maximisation over each kind's counts estimates how reliable each
    labeler is on that kind, so many candidates of one kind say nothing of another's.
-4. The final span classifier is the posterior of a pattern of votes. Base spans
-   always stay; looser candidates are added where their posterior is above a half.
+4. A span classifier, a logistic regression by kind, is trained on what that gives each
+   candidate, from features of the span's shape and context rather than from votes. It
+   starts from, and is held near, what the labelers' reliabilities say of the features, so
+   few candidates move it little. Base spans always stay; looser candidates are added
+   where the classifier scores them above a half.
 
 Places are code points. Matching takes time linear in the text: patterns use
 possessive runs of character classes, after a copy of the text has its joining
 characters marked one for one. Null text counts as empty. Repeated rows give repeated
-results. With no candidates the prior stands. Only the table of votes is shuffled.
+results. With no candidates the prior stands. Only the table of counts is shuffled.
 """
 
 from __future__ import annotations
@@ -30,9 +34,13 @@ from kerf.llm.rules import let
 #: In the order in which kinds are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn")
 BASE = 4
-LABELERS = ("format", "gazetteer", "context")
+#: Bit k of a candidate's votes is the vote of labeler k: the first three for it, the last one against it.
+LABELERS = ("format", "gazetteer", "context", "against")
+FOR = 3
 #: A labeler votes on at most this share of false candidates, and is silent on at most this share of true ones.
 CHANCE = 0.45
+#: The labeler against votes on at most this share of true candidates, and on at least this share of false ones.
+OPPOSED = (0.05, 0.15)
 
 #: Gazetteers: fixed values, matched against the candidate's text.
 KNOWN = {
@@ -64,6 +72,14 @@ CONTEXT = {
     "ssn": "(?i)\\b(ssn|social|security|insurance)",
 }
 CONTEXT_CHARS = 40
+#: Context that stands right before a candidate, and how far words against it reach.
+NEAR_CHARS, AGAINST_CHARS = 15, 24
+#: Words that speak of numbers of another kind; looked for behind the last sentence's end.
+AGAINST = "(?i)\\b(order|invoice|ticket|version|build|serial|isbn|part|lot|sku|model|tracking|catalog|item|batch|page|room|case|date|due|release|bestell|commande|pedido)(?:[^.!?\\n]|no\\.|nr\\.)*$"
+#: Features of a candidate, bit k of its ``shape``.
+FEATURES = ("form", "never", "letter_before", "letter_after", "known", "near", "far", "against", "label", "long")
+#: How much the classifier is held near the weights it starts from, in candidates.
+HELD = 2.0
 
 _MARK = "\x01"
 _LOCAL = "A-Za-z0-9._%+\\x03-"
@@ -145,7 +161,7 @@ def _well_formed(kind: str, clean: Column, before: Column, after: Column) -> Col
 def candidates(docs: DataFrame, keep: bool = False) -> DataFrame:
     """``row, doc_id, found``: candidates that pass their kind's test, with their votes.
 
-    Bit k of ``votes`` is the vote of labeler k. With ``keep``, all columns of ``docs``
+    Bit k of ``votes`` is the vote of labeler k, bit k of ``shape`` feature k. With ``keep``, all columns of ``docs``
     come along within one struct, ``kept``.
     """
     kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept")] if keep else []
@@ -173,9 +189,19 @@ def candidates(docs: DataFrame, keep: bool = False) -> DataFrame:
             before = F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
             after = F.substring(F.col("text"), x["start"] + F.length(x["text"]) + 1, F.lit(1))
             clean = F.translate(x["text"], "\x03\x04\x05", ". -")
-            votes = [_well_formed(kind, clean, before, after), clean.rlike(KNOWN[kind]), before.rlike(CONTEXT[kind])]
-            bits = sum((F.when(v, F.lit(1 << k)).otherwise(F.lit(0)) for k, v in enumerate(votes)), F.lit(0))
-            return F.struct(F.lit(rank).alias("rank"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), bits.alias("votes"))
+            near, context = (F.substring(before, -n, n) if n < CONTEXT_CHARS else before for n in (NEAR_CHARS, CONTEXT_CHARS))
+            hinted = context.rlike(CONTEXT[kind])
+            against = F.substring(before, -AGAINST_CHARS, AGAINST_CHARS).rlike(AGAINST) & ~near.rlike(CONTEXT[kind])
+            must, never = FORMAT[kind]
+            votes = [_well_formed(kind, clean, before, after), clean.rlike(KNOWN[kind]), hinted, against]
+            shape = [
+                clean.rlike(must), clean.rlike(never), before.rlike("[A-Za-z_]$"), after.rlike("[A-Za-z_0-9]"), clean.rlike(KNOWN[kind]),
+                near.rlike(CONTEXT[kind]), hinted & ~near.rlike(CONTEXT[kind]), against, before.rlike("[:=(<#]\\x20?$"), F.length(clean) > 20,
+            ]
+            bits = lambda flags: sum((F.when(v, F.lit(1 << k)).otherwise(F.lit(0)) for k, v in enumerate(flags)), F.lit(0))
+            return F.struct(
+                F.lit(rank).alias("rank"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), bits(votes).alias("votes"), bits(shape).alias("shape")
+            )
 
         return F.transform(raw, voted)
 
@@ -190,11 +216,11 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
     Each labeler is held better than chance: else, where all candidates have the same
     votes, nothing would tell a kind whose candidates are all true from one where none is.
     """
-    rates = [(0.8, 0.2)] * len(LABELERS)
+    rates = [(0.8, 0.2)] * FOR + [(0.02, 0.15)]
     prior = [0.8 if k < BASE else 0.3 for k in range(len(KINDS))]
     for _ in range(rounds):
-        yes = [[1.6, 0.4] for _ in LABELERS]
-        no = [[0.4, 1.6] for _ in LABELERS]
+        yes = [[1.6, 0.4] for _ in range(FOR)] + [[0.04, 1.96]]
+        no = [[0.4, 1.6] for _ in range(FOR)] + [[0.3, 1.7]]
         of_kind = [[4.0, 1.0] if k < BASE else [1.5, 3.5] for k in range(len(KINDS))]
         for (kind, votes), n in counts.items():
             p = posterior(kind, votes, rates, prior)
@@ -204,7 +230,8 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
                 off = 0 if votes >> j & 1 else 1
                 yes[j][off] += n * p
                 no[j][off] += n * (1 - p)
-        rates = [(max(y[0] / sum(y), 1 - CHANCE), min(n[0] / sum(n), CHANCE)) for y, n in zip(yes, no)]
+        rates = [(max(y[0] / sum(y), 1 - CHANCE), min(n[0] / sum(n), CHANCE)) for y, n in zip(yes[:FOR], no)]
+        rates.append((min(yes[FOR][0] / sum(yes[FOR]), OPPOSED[0]), max(no[FOR][0] / sum(no[FOR]), OPPOSED[1])))
         prior = [a / (a + b) for a, b in of_kind]
     return rates, prior
 
@@ -213,6 +240,10 @@ def posterior(kind: int, votes: int, rates: list[tuple[float, float]], prior: li
     odds = math.log(prior[kind] / (1 - prior[kind]))
     for j, (t, f) in enumerate(rates):
         odds += math.log(t / f) if votes >> j & 1 else math.log((1 - t) / (1 - f))
+    return sigmoid(odds)
+
+
+def sigmoid(odds: float) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
@@ -222,20 +253,81 @@ def scores(counts: dict[tuple[int, int], int]) -> list[list[float]]:
     return [[float(posterior(k, v, *fit)) for v in range(1 << len(LABELERS))] for k, fit in enumerate(fitted)]
 
 
+def weights_of_labelers(kind: int, rates: list[tuple[float, float]], prior: list[float]) -> list[float]:
+    """What the labelers' reliabilities say of the features: a bias, then a weight for each."""
+    gain = [math.log(t / f) - math.log((1 - t) / (1 - f)) for t, f in rates]
+    form, known, context, against = gain
+    alone = form if KINDS[kind] in ALONE else 0.0
+    bias = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log((1 - t) / (1 - f)) for t, f in rates)
+    return [bias, form, -form, -alone, -alone, known, context, context, against, 0.0, 0.0]
+
+
+def logistic(rows: list[tuple[int, float, float]], start: list[float], held: float = HELD, rounds: int = 40) -> list[float]:
+    """Weights (a bias, then one a feature) of a logistic regression on rows of (bits of features, weight, soft label).
+
+    The weighted cross-entropy and half ``held`` times the squared distance from ``start``
+    are least there. One weight at a time takes a Newton step.
+    """
+    w = list(start)
+    on = [list(range(len(rows)))] + [[k for k, r in enumerate(rows) if r[0] >> j & 1] for j in range(len(start) - 1)]
+    at = [w[0] + sum(w[j + 1] for j in range(len(start) - 1) if bits >> j & 1) for bits, _, _ in rows]
+    for _ in range(rounds):
+        moved = 0.0
+        for j, mine in enumerate(on):
+            g, h = held * (w[j] - start[j]), held
+            for k in mine:
+                s, (_, n, p) = sigmoid(at[k]), rows[k]
+                g += n * (s - p)
+                # The curvature's bound keeps steps short of the least point.
+                h += n * max(s * (1 - s), 0.05)
+            step = max(-2.0, min(2.0, g / h))
+            w[j] -= step
+            for k in mine:
+                at[k] -= step
+            moved = max(moved, abs(step))
+        if moved < 1e-6:
+            break
+    return w
+
+
+def trained(counts: dict[tuple[int, int, int], int]) -> list[list[float]]:
+    """The classifier's weights by kind, from counts by (kind, votes, shape)."""
+    out = []
+    for kind in range(len(KINDS)):
+        own = {(v, f): n for (k, v, f), n in counts.items() if k == kind}
+        votes: dict[tuple[int, int], int] = {}
+        for (v, _), n in own.items():
+            votes[kind, v] = votes.get((kind, v), 0) + n
+        rates, prior = reliabilities(votes)
+        # Candidates with equal features are one row with their mean label.
+        rows: dict[int, list[float]] = {}
+        for (v, f), n in sorted(own.items()):
+            row = rows.setdefault(f, [0.0, 0.0])
+            row[0] += n
+            row[1] += n * posterior(kind, v, rates, prior)
+        out.append(logistic([(f, n, p / n) for f, (n, p) in rows.items()], weights_of_labelers(kind, rates, prior)))
+    return out
+
+
 def classifier(found: DataFrame, threshold: float = 0.5):  # noqa: ANN201
     """The span classifier fitted on candidates: a function from ``found`` to spans.
 
     Spans have rank (of the kind), start, end, kind and score.
     """
-    table = found.select(F.explode("found").alias("c")).groupBy("c.rank", "c.votes").count().collect()
-    by_kind = scores({(r["rank"], r["votes"]): r["count"] for r in table})
-    lookup = F.array(*(F.array(*map(F.lit, row)) for row in by_kind))
-    score = lambda x: F.get(F.get(lookup, x["rank"]), x["votes"])
+    # At most kinds x 2 ** labelers x 2 ** features rows, whatever the corpus.
+    table = found.select(F.explode("found").alias("c")).groupBy("c.rank", "c.votes", "c.shape").count().collect()
+    weights = trained({(r["rank"], r["votes"], r["shape"]): r["count"] for r in table})
+    lookup = F.array(*(F.array(*map(F.lit, row)) for row in weights))
     names = F.array(*map(F.lit, KINDS))
 
+    def score(x: Column) -> Column:
+        own = F.get(lookup, x["rank"])
+        total = sum((F.when(x["shape"].bitwiseAND(1 << j) != 0, F.get(own, F.lit(j + 1))).otherwise(0.0) for j in range(len(FEATURES))), F.get(own, F.lit(0)))
+        return 1 / (1 + F.exp(-total))
+
     def spans(of: Column) -> Column:
-        kept = F.filter(of, lambda x: (x["rank"] < BASE) | (score(x) > threshold))
-        return F.transform(kept, lambda x: F.struct(x["rank"], x["start"], x["end"], F.get(names, x["rank"]).alias("kind"), score(x).alias("score")))
+        scored = F.transform(of, lambda x: F.struct(x["rank"], x["start"], x["end"], F.get(names, x["rank"]).alias("kind"), score(x).alias("score")))
+        return F.filter(scored, lambda x: (x["rank"] < BASE) | (x["score"] > threshold))
 
     return spans
 

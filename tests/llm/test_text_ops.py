@@ -129,7 +129,7 @@ def test_redaction(docs):
     clean = pii.redacted(docs, length_col="n_words")
     assert clean.columns == docs.columns and clean.schema["row"].dataType == docs.schema["row"].dataType
     got = {r["doc_id"]: r for r in clean.collect()}
-    assert got[9]["text"] == "mail me at [email] or [email][email], call [phone]; host [ip] and 999.1.1.1 card [card]." or "[email]" in got[9]["text"]
+    assert got[9]["text"] == "mail me at [email] or [email][email], call [phone]; host [ip] and 999.1.1.1 card [card]."
     assert "4111" not in got[9]["text"] and got[9]["n_words"] == len(got[9]["text"])
     assert got[0]["text"] is None and got[4]["text"] == "one"
 
@@ -137,7 +137,7 @@ def test_redaction(docs):
 def test_reliabilities():
     counts = {(0, 0b111): 80, (0, 0b011): 15, (4, 0b000): 90, (4, 0b110): 10}
     rates, prior = pii.reliabilities(counts)
-    assert all(t > f for t, f in rates)
+    assert all(t > f for t, f in rates[: pii.FOR]) and all(t < f for t, f in rates[pii.FOR :])
     assert pii.posterior(4, 0b110, rates, prior) > pii.posterior(4, 0, rates, prior)
     assert pii.reliabilities({})[1][0] > 0.5
 
@@ -168,6 +168,62 @@ def test_scores_by_kind():
             assert all(got[v | 1 << j] >= got[v] for v in range(8) for j in range(3))
 
 
+def test_reliabilities_plain():
+    """Expectation-maximisation and the classifier against a plain restatement, over single candidates."""
+    rng = np.random.default_rng(3)
+    kind, n = 4, 600
+    true = rng.random(n) < 0.6
+    shape = rng.integers(0, 1 << len(pii.FEATURES), n) & np.where(true, 0b0001110001, 0b0110101111)
+    votes = (rng.random((n, 4)) < np.where(true[:, None], [0.9, 0.7, 0.5, 0.01], [0.3, 0.3, 0.05, 0.3])).astype(int)
+    code = votes @ (1 << np.arange(4))
+    counts: dict = {}
+    for v, f in zip(code.tolist(), shape.tolist()):
+        counts[kind, v, f] = counts.get((kind, v, f), 0) + 1
+    t, f, prior = np.array([0.8, 0.8, 0.8, 0.02]), np.array([0.2, 0.2, 0.2, 0.15]), 0.3
+    for _ in range(50):
+        odds = np.log(prior / (1 - prior)) + (votes * np.log(t / f) + (1 - votes) * np.log((1 - t) / (1 - f))).sum(axis=1)
+        p = 1 / (1 + np.exp(-odds))
+        t = (np.array([1.6, 1.6, 1.6, 0.04]) + p @ votes) / (2 + p.sum())
+        f = (np.array([0.4, 0.4, 0.4, 0.3]) + (1 - p) @ votes) / (2 + (1 - p).sum())
+        t, f = np.append(np.maximum(t[:3], 0.55), min(t[3], 0.05)), np.append(np.minimum(f[:3], 0.45), max(f[3], 0.15))
+        prior = (1.5 + p.sum()) / (5 + n)
+    by_votes: dict = {}
+    for (k, v, _), c in counts.items():
+        by_votes[k, v] = by_votes.get((k, v), 0) + c
+    rates, priors = pii.reliabilities(by_votes)
+    assert np.allclose(rates, np.stack([t, f], 1), atol=1e-9) and abs(priors[kind] - prior) < 1e-9
+    odds = np.log(prior / (1 - prior)) + (votes * np.log(t / f) + (1 - votes) * np.log((1 - t) / (1 - f))).sum(axis=1)
+    soft = 1 / (1 + np.exp(-odds))
+    x = np.concatenate([np.ones((n, 1)), shape[:, None] >> np.arange(len(pii.FEATURES)) & 1], axis=1)
+    start = np.array(pii.weights_of_labelers(kind, rates, priors))
+    w = start.copy()
+    for _ in range(100):
+        s = 1 / (1 + np.exp(-x @ w))
+        w -= 0.5 * np.linalg.solve(x.T @ (x * (s * (1 - s))[:, None]) + pii.HELD * np.eye(len(w)), x.T @ (s - soft) + pii.HELD * (w - start))
+    got = np.array(pii.trained(counts)[kind])
+    assert np.abs(got - w).max() < 0.02
+    # Held out: drawn anew, true and false candidates are told apart better than by the bias alone.
+    true = rng.random(2000) < 0.6
+    shape = rng.integers(0, 1 << len(pii.FEATURES), 2000) & np.where(true, 0b0001110001, 0b0110101111)
+    score = got[0] + (shape[:, None] >> np.arange(len(pii.FEATURES)) & 1) @ got[1:]
+    assert ((score > 0) == true).mean() > 0.85
+
+
+def test_pii_look_alikes(spark):
+    """Numbers of people are added beside order numbers, versions and dates of the same form, which are not."""
+    rng = random.Random(14)
+    a, b, c = (lambda: rng.randint(220, 299)), (lambda: rng.randint(10, 99)), (lambda: rng.randint(1000, 9999))
+    own = [f"my social security number is {a()}-{b()}-{c()}" for _ in range(60)] + [f"call my cell phone at ({a()}) {a()}-{c()} tonight" for _ in range(60)]
+    like = [f"the order number {a()}-{b()}-{c()} was shipped" for _ in range(60)] + [f"see part no. {a()}-{a()}-{c()} of the batch" for _ in range(60)]
+    like += [f"released on date 2{a()}-{b()}-{c()}" for _ in range(20)]
+    base = [f"mail to x{k}@mail{k}.org from 93.184.{k % 200}.7" for k in range(300)]
+    texts = own + like + base
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.pii_report(df).collect()}
+    assert [got[i] for i in range(len(own))] == ["ssn"] * 60 + ["local_phone"] * 60
+    assert [got[len(own) + i] for i in range(len(like))] == [""] * len(like)
+
+
 def test_pii_formats(spark):
     """The format labeler judges every kind; no kind has a constant vote."""
     good = ["a@b.org", "1.2.3.4", "4111 1111 1111 1111", "+49 (30) 123-4567", "(212) 555-0147", "212 555-0147", "212.555.0147", "219-45-1234"]
