@@ -176,11 +176,13 @@ def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
     schema: str,
+    size: int = 0,
 ) -> DataFrame:
     """Applies a columnar Python function to every Arrow batch of ``df``.
 
     ``make`` runs once a task and returns the function, which turns a dict of
-    column lists into a dict of output column lists.
+    column lists into a dict of output column lists. With ``size``, batches are put
+    together to about as many bytes.
     """
     short_batches(df.sparkSession)
     out = StructType.fromDDL(schema)
@@ -189,7 +191,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(out)
         step = make()
-        for batch in batches:
+        for batch in full_batches(batches, size) if size else batches:
             got = step({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             arrays = [pa.array(got[n], type=arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -235,7 +237,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
     return df.mapInArrow(run, out)
 
 
-def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]]) -> DataFrame:
+def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]], size: int = 0) -> DataFrame:
     """Rows of ``df`` that a Python function of some columns keeps.
 
     All columns pass as they are, whatever their names and types.
@@ -245,7 +247,7 @@ def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
-        for batch in batches:
+        for batch in full_batches(batches, size) if size else batches:
             mask = keep({c: batch.column(k).to_pylist() for c, k in zip(columns, at)})
             yield batch.filter(pa.array(mask, pa.bool_()))
 

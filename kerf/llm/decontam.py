@@ -1,33 +1,47 @@
-"""Finds passages of test items in documents with one Aho-Corasick automaton.
+"""Finds passages of test items in documents with an Aho-Corasick automaton.
 
 Texts are normalised byte by byte: A-Z to lower case, everything outside 0-9, a-z and
-non-ASCII to white space; words are what is left. A pattern is 10 consecutive words
-of an item, or a whole item of fewer. One pass over a document finds every
-occurrence of every pattern; only for documents with hits are word positions mapped
-back to code points of the original text.
-
-Test items are broadcast in blocks of bounded size: up to ``block_chars`` characters
-of items make one automaton, and more items make more scans, each over all
-documents, whose hits are united. So neither memory nor the broadcast grows with the
-benchmark.
+non-ASCII to white space; words are what is left. A window is 10 consecutive words of an
+item, or a whole item of fewer. The automaton holds every fifth run of six words of each
+item: one of them lies in each window, and it has about as many nodes as the items have
+bytes, where whole windows would have sixty times as many. One pass over a document finds
+all runs; where one occurs, the words around it are compared with the item's, and what
+agrees over a window or more is hit. Only then are word positions mapped back to code
+points of the original text.
+
+Documents are read once, whatever the benchmark's size, and no text is shuffled. Items lie
+in shared storage; a Python worker builds the automaton once and keeps it between tasks.
+Beyond ``block_chars`` characters of items there are several automata, of which a worker
+holds one at a time: it takes them one after the other over each ``SPOOL`` bytes of
+documents. So neither memory nor anything sent around grows with the benchmark.
 
 Null or wordless documents have no words and are clean; null or wordless items have
-no patterns. Items with equal texts are all reported. Repeated document rows give
+no windows. Items with equal texts are all reported. Repeated document rows give
 repeated results. A null item id counts for hits but isn't listed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerf.llm.common import filter_rows, id_and_text, map_rows, materialize
+from kerf.llm.common import BATCH_BYTES, filter_rows, id_and_text, map_rows, shared_dir
 
 WINDOW = 10
+#: Words from the start of one run that the automaton holds to the next.
+STRIDE = 5
+#: Characters of items in one automaton.
+BLOCK_CHARS = 8_000_000
+#: Bytes of documents that are held where several automata take turns.
+SPOOL = 64 << 20
 _SPACE = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else 0x20 for c in bytes(range(256)).lower())
 SCHEMA = "doc_id long, n_words long, hit_words array<int>, spans array<struct<start:int,end:int>>, items array<long>"
 
@@ -37,41 +51,80 @@ def normalised(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_SPACE)
 
 
-def patterns(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> dict[bytes, tuple[int, set]]:
-    """Normalised window -> its number of words, ids of the items that have it."""
-    out: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        words = normalised(text or "").split()
-        n = min(window, len(words))
-        for k in range(len(words) - n + 1 if n else 0):
-            out.setdefault(b" %s " % b" ".join(words[k : k + n]), (n, set()))[1].add(item)
-    return out
-
-
-def automaton(found: dict[bytes, tuple[int, set]]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for text, value in found.items():
-        out.add_word(text.decode("latin-1"), (len(text), *value))
-    out.make_automaton()
-    return out
-
-
-def scan(scanner: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[int], list[tuple[int, int]], list[int]]:
-    """Words in the text, numbers of hit words, spans of code points, item ids."""
-    plain = normalised(text or "")
-    words = plain.split()
-    if not words or scanner is None:
-        return len(words), [], [], []
-    joined = b" %s " % b" ".join(words)
-    hits = list(scanner.iter(joined.decode("latin-1")))
-    if not hits:
-        return len(words), [], [], []
-    # A pattern's last blank is the one after its last word: count blanks up to there.
-    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
-    last = np.searchsorted(blanks, [end for end, _ in hits])
-    mark = np.zeros(len(words) + 1, np.int64)
-    np.add.at(mark, last - [v[1] for _, v in hits], 1)
-    np.add.at(mark, last, -1)
+class Matcher:
+    """Finds where words agree with a window of any of the items."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, stride: int = STRIDE) -> None:
+        stride = min(stride, window)
+        self.window = window
+        same: dict[bytes, bytes] = {}
+        self.items = [(i, [same.setdefault(w, w) for w in normalised(t or "").split()]) for i, t in items]
+        runs: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (_, words) in enumerate(self.items):
+            n = len(words)
+            if n < window:
+                starts, size = range(min(n, 1)), n
+            else:
+                size = window - stride + 1
+                starts = range(0, n - size + 1, stride)
+            for at in starts:
+                runs.setdefault(b" %s " % b" ".join(words[at : at + size]), []).append((k, at))
+        self.places = list(runs.values())
+        self.automaton = None
+        if runs:
+            self.automaton = ahocorasick.Automaton()
+            for number, run in enumerate(runs):
+                self.automaton.add_word(run.decode("latin-1"), (number, run.count(b" ") - 1))
+            self.automaton.make_automaton()
+
+    def find(self, words: list[bytes], joined: bytes, mark: np.ndarray, found: set) -> None:
+        """Marks the words that are hit: +1 in ``mark`` where a run of them begins, -1 where it ends."""
+        if self.automaton is None:
+            return
+        hits = list(self.automaton.iter(joined.decode("latin-1")))
+        if not hits:
+            return
+        # A run's last blank is the one after its last word: count blanks up to there.
+        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+        last = np.searchsorted(blanks, [end for end, _ in hits]).tolist()
+        total = len(words)
+        done: dict[tuple[int, int], int] = {}
+        for end, (_, (number, size)) in zip(last, hits):
+            for k, at in self.places[number]:
+                start = end - size
+                # What agreed with the item at this distance is known up to there.
+                if done.get((k, start - at), -1) >= end:
+                    continue
+                item, own = self.items[k]
+                a, b, c, d = start, at, end, at + size
+                while a and b and words[a - 1] == own[b - 1]:
+                    a, b = a - 1, b - 1
+                while c < total and d < len(own) and words[c] == own[d]:
+                    c, d = c + 1, d + 1
+                done[k, start - at] = c
+                if c - a >= min(self.window, len(own)):
+                    mark[a] += 1
+                    mark[c] -= 1
+                    found.add(item)
+
+
+def scan(matchers: Iterator[Matcher], texts: list[str | None]) -> list[tuple[int, list[int], list[tuple[int, int]], list[int]]]:
+    """Words in each text, numbers of hit words, spans of code points, item ids."""
+    plain = [normalised(t or "") for t in texts]
+    words = [p.split() for p in plain]
+    joined = [b" %s " % b" ".join(w) for w in words]
+    marks: list[np.ndarray | None] = [None] * len(texts)
+    found: list[set] = [set() for _ in texts]
+    for matcher in matchers:
+        for k, w in enumerate(words):
+            if w:
+                mark = np.zeros(len(w) + 1, np.int64) if marks[k] is None else marks[k]
+                matcher.find(w, joined[k], mark, found[k])
+                marks[k] = mark if mark.any() else None
+    return [(len(w), *_mapped(p, m, f)) if m is not None else (len(w), [], [], []) for p, w, m, f in zip(plain, words, marks, found)]
+
+
+def _mapped(plain: bytes, mark: np.ndarray, found: set) -> tuple[list[int], list[tuple[int, int]], list[int]]:
     is_hit = np.cumsum(mark)[:-1] > 0
     raw = np.frombuffer(plain, np.uint8)
     in_word = np.concatenate([[0], raw != 0x20, [0]]).astype(np.int8)
@@ -80,74 +133,73 @@ def scan(scanner: ahocorasick.Automaton | None, text: str | None) -> tuple[int,
     begins, ends = chars[np.flatnonzero(edge == 1)], chars[np.flatnonzero(edge == -1)]
     runs = np.diff(np.concatenate([[0], is_hit, [0]]).astype(np.int8))
     spans = list(zip(begins[np.flatnonzero(runs == 1)].tolist(), ends[np.flatnonzero(runs == -1) - 1].tolist()))
-    items = sorted({i for _, v in hits for i in v[2] if i is not None})
-    return len(words), np.flatnonzero(is_hit).tolist(), spans, items
-
+    return np.flatnonzero(is_hit).tolist(), spans, sorted(i for i in found if i is not None)
 
-def _scan_block(docs: DataFrame, items: list[tuple[int | None, str | None]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    def make() -> Callable[[dict[str, list]], dict[str, list]]:
-        found = patterns(shared.value, window)
-        scanner = automaton(found) if found else None
+@lru_cache(maxsize=1)
+def _matcher(folder: str, block: int, window: int) -> Matcher:
+    """The automaton of a block of items; a worker holds one."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    items: list[tuple[int | None, str | None]] = []
+    for info in fs.get_file_info(pafs.FileSelector(f"{root}/block={block}", allow_not_found=True)):
+        if info.base_name.endswith(".parquet"):
+            with fs.open_input_file(info.path) as source:
+                got = pq.read_table(source, columns=["item_id", "text"])
+            items += zip(got.column("item_id").to_pylist(), got.column("text").to_pylist())
+    return Matcher(items, window)
 
-        def step(cols: dict[str, list]) -> dict[str, list]:
-            got = [scan(scanner, t) for t in cols["text"]]
-            spans = [[{"start": a, "end": b} for a, b in g[2]] for g in got]
-            out = {"n_words": [g[0] for g in got], "hit_words": [g[1] for g in got], "spans": spans, "items": [g[3] for g in got]}
-            return out | {k: cols[k] for k in cols if k != "text"}
 
-        return step
+class Items:
+    """Test items in shared storage, in blocks of about ``block_chars`` characters at most."""
 
-    extra = "" if "row" not in docs.columns else ", row long"
-    return map_rows(docs, make, SCHEMA + extra)
+    def __init__(self, benchmark: DataFrame, window: int, block_chars: int, id_col: str = "item_id", text_col: str = "text") -> None:
+        items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+        total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+        n = -(-2 * total // block_chars) if total > block_chars else 1
+        self.folder, self.blocks, self.window = shared_dir(benchmark.sparkSession, "items"), n, window
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        dealt.repartition(min(n, 1000), "block").write.partitionBy("block").parquet(self.folder)
 
+    @property
+    def size(self) -> int:
+        """Bytes of documents that are worth a turn of all automata."""
+        return BATCH_BYTES if self.blocks == 1 else SPOOL
 
-def blocks(benchmark: DataFrame, block_chars: int, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
-    """The test items cut into blocks whose texts have about ``block_chars`` characters at most."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
-    if n == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    def scanner(self) -> Callable[[list[str | None]], list[tuple]]:
+        folder, blocks, window = self.folder, self.blocks, self.window
+        return lambda texts: scan((_matcher(folder, k, window) for k in range(blocks)), texts)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, n_words, hit_words, spans, items`` of each row of ``docs``.
 
     ``hit_words`` are numbers of words within an occurrence of a window, ``spans``
     the same as code points [start, end) of the original text, ``items`` sorted ids.
     """
-    parts = blocks(benchmark, block_chars)
-    rows = id_and_text(docs)
-    if len(parts) == 1:
-        return _scan_block(rows, [tuple(r) for r in parts[0].collect()], window)
-    # Rows are told apart by number: ids may repeat.
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    hits = None
-    for part in parts:
-        got = materialize(_scan_block(rows, [tuple(r) for r in part.collect()], window), "decontam")
-        hits = got if hits is None else hits.unionByName(got)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return hits.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), union("hit_words").alias("hit_words"), union("spans").alias("spans"), union("items").alias("items")
-    ).drop("row")
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = 200_000) -> DataFrame:
+    items = Items(benchmark, window, block_chars)
+
+    def make() -> Callable[[dict[str, list]], dict[str, list]]:
+        find = items.scanner()
+
+        def step(cols: dict[str, list]) -> dict[str, list]:
+            got = find(cols["text"])
+            spans = [[{"start": a, "end": b} for a, b in g[2]] for g in got]
+            return {"doc_id": cols["doc_id"], "n_words": [g[0] for g in got], "hit_words": [g[1] for g in got], "spans": spans, "items": [g[3] for g in got]}
+
+        return step
+
+    return map_rows(id_and_text(docs), make, SCHEMA, items.size)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of ``docs``, with all their columns, that hold no window of any item."""
-    out = docs
-    for part in blocks(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    items = Items(benchmark, window, block_chars)
 
-        def make(shared=shared):  # noqa: ANN001, ANN202
-            found = patterns(shared.value, window)
-            scanner = automaton(found) if found else None
-            return lambda cols: [not scan(scanner, t)[1] for t in cols["text"]]
+    def make() -> Callable[[dict[str, list]], list[bool]]:
+        find = items.scanner()
+        return lambda cols: [not g[1] for g in find(cols["text"])]
 
-        out = filter_rows(out, ["text"], make)
-    return out
+    return filter_rows(docs, ["text"], make, items.size)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

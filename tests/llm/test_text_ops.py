@@ -253,8 +253,8 @@ def test_ownership(spark):
 
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame(ITEMS + ITEMS[:1], "item_id long, text string")
-    for chars in (200_000, 20):
-        got = by_id(decontam.contamination_report(docs, items) if chars > 99 else _report(decontam.contamination(docs, items, block_chars=chars)))
+    for chars in (decontam.BLOCK_CHARS, 20):
+        got = by_id(decontam.contamination_report(docs, items) if chars > 20 else _report(decontam.contamination(docs, items, block_chars=chars)))
         for i, text in enumerate(TEXTS):
             words, hit, found = brute.decontaminate(text, ITEMS)
             assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) == (words, hit, len(found), brute.sha(",".join(found))), (i, chars)
@@ -267,6 +267,39 @@ def test_decontamination(spark, docs, none):
     assert decontam.contamination_report(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_matcher_random():
+    """Windows that overlap, repeat, share words and touch the ends, of any length and stride."""
+    rng = random.Random(21)
+    text = lambda n, kinds: " ".join(rng.choice("abcd"[:kinds]) for _ in range(n))
+    for t in range(300):
+        items = [(i, text(rng.randint(0, 25), 2 + t % 3)) for i in range(4)]
+        docs = [text(rng.randint(0, 60), 2 + t % 3) + " " + rng.choice(items)[1] + " " + text(rng.randint(0, 5), 2 + t % 3) for _ in range(4)]
+        for doc, got in zip(docs, decontam.scan([decontam.Matcher(items[:2]), decontam.Matcher(items[2:])], docs)):
+            words, hit, found = brute.decontaminate(doc, items)
+            assert (got[0], len(got[1]), sorted(map(str, got[3]))) == (words, hit, found)
+
+
+def test_large_benchmark(spark):
+    """Ten megabytes of items: one read of the documents, each planted passage is found."""
+    rng = random.Random(23)
+    lexicon = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    items = [(i, " ".join(rng.choices(lexicon, k=40))) for i in range(40_000)]
+    assert sum(len(t) for _, t in items) > 10_000_000
+    docs = []
+    for d in range(60):
+        words = rng.choices(lexicon, k=200)
+        if d % 2:
+            words[50:65] = items[d * 601][1].split()[3:18]
+        docs.append((d, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    read = decontam.contamination(frame, spark.createDataFrame(items, "item_id long, text string"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") == 1
+    got = {r["doc_id"]: r for r in read.collect()}
+    for d, _ in docs:
+        assert got[d]["items"] == ([d * 601] if d % 2 else []) and got[d]["hit_words"] == (list(range(50, 65)) if d % 2 else [])
+
+
 def _report(got):
     listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return got.select("doc_id", "n_words", F.size("hit_words").alias("n_hit"), F.size("items").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"))
