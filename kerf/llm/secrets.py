@@ -72,7 +72,6 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-
 def scan(docs: DataFrame, repository: str | Column, owner: str | Column) -> DataFrame:
     """``row, doc_id, repository, owner, found`` of each row of ``docs``."""
     col = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -94,18 +93,21 @@ def scan(docs: DataFrame, repository: str | Column, owner: str | Column) -> Data
     return map_rows(rows, make, f"row long, doc_id long, repository string, owner string, found {CANDIDATES}")
 
 
-def secret_spans(docs: DataFrame, repository: str | Column = "source", owner: str | Column = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, repository: str | Column = "doc_id", owner: str | Column = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """``doc_id, spans`` of each row of ``docs``.
 
     ``spans`` is an array of kind, start, end (code points), repositories, owners and
-    ``live``. Owners are counted over the whole corpus.
+    ``live``. Both are counted over the whole corpus. Where rows have no column of their
+    repository, each document counts as one.
     """
     found = materialize(scan(docs, repository, owner), "secrets")
     each = found.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("c"))
     # Distinct first, then counts: both combine on the map side, so a value that is everywhere is no hot key.
-    owned = (
+    # Structs keep null apart from the empty string. Written, so that Spark can split a value that is everywhere where it joins.
+    owned = materialize(
         each.select(F.col("c.value").alias("value"), "repository", "owner").distinct()
-        .groupBy("value").agg(F.count_distinct(F.coalesce("repository", F.lit(""))).alias("repositories"), F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"))
+        .groupBy("value").agg(F.count_distinct(F.struct("repository")).alias("repositories"), F.count_distinct(F.struct("owner")).alias("owners")),
+        "owned",
     )
     live = F.col("owners") <= max_owners
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("c.kind"))
@@ -131,4 +133,6 @@ def secret_report(docs: DataFrame) -> DataFrame:
         F.array_join(F.transform("spans", text), ",").alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["owners"])), F.lit(0)).cast("long").alias("most_owners"),
     )
