@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are short.
 BATCH_ROWS = 256
@@ -132,11 +132,14 @@ class Fetch:
 
         dealt.mapInArrow(write, kind).write.format("noop").mode("overwrite").save()
 
-    def rows_with(self, columns: list[str]) -> DataFrame:
-        """``columns`` of the wanted rows and what came with ``wanted``, a row for each wanted one."""
+    def rows_with(self, columns: list[str], others: bool = False) -> DataFrame:
+        """``columns`` of the wanted rows and what came with ``wanted``, a row for each wanted one.
+
+        With ``others``, all rows come, with nulls where nothing was wanted; a row may be wanted once.
+        """
         folder, given = self.folder, [f.name for f in self.given]
         some = self.rows.select("row", *columns)
-        out = StructType([some.schema[c] for c in columns] + self.given)
+        out = StructType([some.schema[c] for c in columns] + [StructField(f.name, f.dataType, True) for f in self.given])
         short_batches(some.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +158,23 @@ class Fetch:
                         with fs.open_input_stream(path) as source:
                             wanted = pa.ipc.open_stream(source).read_all().combine_chunks()
                         place = wanted.column(0).to_numpy()
-                if wanted is False:
+                if wanted is False and not others:
+                    continue
+                at = np.zeros(0, np.int64) if wanted is False else place
+                a, b = np.searchsorted(at, [row[0], row[-1] + 1])
+                if others:
+                    hit = np.full(len(row), -1)
+                    hit[np.searchsorted(row, at[a:b])] = np.arange(a, b)
+                    own = pa.array(np.maximum(hit, 0), mask=hit < 0)
+                    mine = [pa.nulls(len(row), f.type) if wanted is False else wanted.column(f.name).combine_chunks().take(own) for f in list(arrow)[len(columns) :]]
+                    cols = [batch.column(k + 1) for k in range(len(columns))] + mine
+                elif a < b:
+                    take = pa.array(np.searchsorted(row, at[a:b]))
+                    cols = [batch.column(k + 1).take(take) for k in range(len(columns))] + [wanted.column(c).slice(a, b - a).combine_chunks() for c in given]
+                else:
                     continue
-                a, b = np.searchsorted(place, [row[0], row[-1] + 1])
-                if a < b:
-                    mine = wanted.slice(a, b - a)
-                    take = pa.array(np.searchsorted(row, place[a:b]))
-                    cols = [batch.column(k + 1).take(take) for k in range(len(columns))] + [mine.column(c).combine_chunks() for c in given]
-                    cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow)], schema=arrow)
+                cols = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow)], schema=arrow)
 
         return some.mapInArrow(run, out)
 

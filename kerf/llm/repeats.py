@@ -5,20 +5,25 @@ strings have equal anchors, so the strings of a document fall into runs that sha
 an anchor, and a run's bytes make a segment. Segments meet by the gram of their
 anchor; grams that occur once, most of them, are dropped after a count.
 
-* Equal segments are found by their hash: all but the first are repeats in full.
 * Where a gram has different segments, one of each kind is sent to a shard. A shard
   is a text of many segments; its suffix array is built by induced sorting, and
   permuted common prefixes tell which suffixes share 100 bytes with the one before.
   In each run of such suffixes all but the first in order are repeats.
-* A gram with more kinds of segments than ``hot`` doesn't go to one task: its strings
-  are hashed one by one, and the first of each is found by aggregation.
+* Further copies of a kind would stand next to it in the suffix array and share all their
+  bytes with it, so all their strings are repeats of its strings; they aren't sent, since
+  one text may be a third of all rows. They are found by the hash of the kind's bytes.
+* A gram with more kinds of segments than ``hot`` is too much for a task. Its strings are
+  told apart by more of the symbols around the anchor, half of those that are left at each
+  level: 38 after it where a string has them, else 38 before, and so on to the whole
+  string. Equal strings agree on all of them. What falls apart so goes the same way again.
 
 So each repeated string is found exactly once, wherever its copies are, and no group
 has to fit in one task. Spans found are united by document and cut out.
 
 Strings never cross documents. First means smaller ``doc_id`` (null is least), then
-the smaller row number, then the earlier start. ``docs`` must give the same rows in
-the same partitions each time, as tables do: its texts are read several times.
+the smaller row number, then the earlier start. Texts are read several times and rows
+told apart by number, so ``docs`` is written to shared storage first where it isn't read
+from tables or made of rows at hand; texts themselves are never shuffled.
 Null text counts as empty. Documents of fewer than ``width`` bytes lose nothing.
 """
 
@@ -34,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import discard, free_shuffles, id_and_text, map_rows, materialize, short_batches
+from kerf.llm.common import Fetch, discard, free_shuffles, id_and_text, map_rows, materialize, short_batches, stable
 from kerf.llm.neardup import mix
-from kerf.llm.suffixarray import shared_prefix, suffix_array
+from kerf.llm.suffixarray import permuted_prefixes, suffix_array
 
 WIDTH = 100
 GRAM = 24
 #: Kinds of segments that a gram may have to be compared in a shard.
-HOT = 20_000
+HOT = 2_000
 #: Bytes of a shard, about.
 SHARD = 1_000_000
 #: Bytes whose anchors are found at a time; with the overlap below 2 ** 20.
@@ -81,8 +86,8 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], onward[w - 1 : w - 1 + n])
 
 
-def runs(data: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, start, count): the strings that start at start, start + 1, ... share an anchor.
+def runs(data: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, start, count, place of the anchor): the strings that start at start, start + 1, ... share an anchor.
 
     ``ends`` are the ends of the documents that ``data`` is made of; strings lie within one.
     """
@@ -99,17 +104,17 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.nda
         turn = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1])]))
         count = np.diff(np.concatenate([turn, [m]]))
         good = ok[turn]
-        out.append((h[anchor[turn[good]]], turn[good] + at, count[good]))
+        out.append((h[anchor[turn[good]]], turn[good] + at, count[good], anchor[turn[good]] + at))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-SEGMENTS = "g long, s long, doc_id long, row long, start int, n int"
+SEGMENTS = "g long, s long, doc_id long, row long, start int, n int, anchor int"
 
 
 def segments(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All segments: gram of the anchor, hash of the bytes, document, first string and number of strings."""
+    """All segments: gram of the anchor, hash of the bytes, document, first string, number of strings, place of the anchor."""
     short_batches(rows.sparkSession)
     out = StructType.fromDDL(SEGMENTS)
 
@@ -119,7 +124,7 @@ def segments(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             joined = b"".join(raw)
             ends = np.cumsum([len(r) for r in raw])
-            gram, start, n = runs(np.frombuffer(joined, np.uint8), ends, width)
+            gram, start, n, anchor = runs(np.frombuffer(joined, np.uint8), ends, width)
             doc = np.searchsorted(ends, start, side="right")
             stop = start + n + width - 1
             content = np.array([xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
@@ -133,6 +138,7 @@ def segments(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                     batch.column("row").take(take),
                     pa.array((start - begins[doc]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
+                    pa.array((anchor - begins[doc]).astype(np.int32)),
                 ],
                 schema=arrow,
             )
@@ -152,19 +158,16 @@ def repeats_in_shard(parts: list[tuple[tuple, int, bytes]], width: int = WIDTH)
     begin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     between = np.zeros(len(text), bool)
     between[begin + size] = True
-    symbols = np.where(between, 1, text.astype(np.int64) + 2)
-    sa = suffix_array(np.concatenate([symbols, [0]]))
+    symbols = np.concatenate([np.where(between, 1, text.astype(np.int64) + 2), [0]])
+    sa = suffix_array(symbols)
+    shared = permuted_prefixes(symbols, sa)
     n = np.array([parts[k][1] for k in order])
     # Only suffixes with ``width`` bytes count. Others can't stand between two that share as many.
-    owner = np.full(len(text) + 1, -1)
+    owner = np.full(len(symbols), -1)
     starts = np.repeat(begin - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
     owner[starts] = np.repeat(np.arange(len(parts)), n)
     sa = sa[owner[sa] >= 0]
-    before = np.full(len(text), -1)
-    before[sa[1:]] = sa[:-1]
-    here = starts[before[starts] >= 0]
-    same = np.zeros(len(text), bool)
-    same[here] = shared_prefix(text, here, before[here], width)
+    same = shared >= width
     head = np.flatnonzero(~same[sa])
     # Parts are in order within the shard, so a smaller place in its text is an earlier string.
     first = np.minimum.reduceat(sa, head) if len(sa) else sa
@@ -212,46 +215,66 @@ def _in_shards(contents: DataFrame, width: int) -> DataFrame:
 
 
 def _contents(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The bytes of the segments in ``wanted``, gathered with one join by document."""
-    lists = wanted.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("g", "start", "n")).alias("cuts"))
-    joined = rows.join(lists, F.col("row") == F.col("at")).select("doc_id", "row", "text", "cuts")
+    """The bytes of the segments in ``wanted``, each fetched where its document is read."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("g", "start", "n", "anchor")).alias("cuts"))
+    joined = Fetch(rows, lists.withColumnRenamed("row", "at").withColumn("row", F.col("at")), "at", "cuts").rows_with(["doc_id", "text"])
 
     def make():  # noqa: ANN202
         def step(cols: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("g", "doc_id", "row", "start", "n", "bytes")}
+            out: dict[str, list] = {k: [] for k in ("g", "doc_id", "row", "start", "n", "anchor", "bytes")}
             for doc, row, text, cuts in zip(cols["doc_id"], cols["row"], cols["text"], cols["cuts"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for c in cuts:
                     a, n = c["start"], c["n"]
-                    for k, v in zip(out, (c["g"], doc, row, a, n, raw[a : a + n + width - 1])):
+                    for k, v in zip(out, (c["g"], doc, row, a, n, c["anchor"], raw[a : a + n + width - 1])):
                         out[k].append(v)
             return out
 
         return step
 
-    return map_rows(joined, make, "g long, doc_id long, row long, start int, n int, bytes binary")
+    return map_rows(joined, make, "g long, doc_id long, row long, start int, n int, anchor int, bytes binary")
 
 
-def _one_by_one(contents: DataFrame, width: int) -> DataFrame:
-    """Repeats among the strings of hot grams, by hash and aggregation."""
+def reach(level: int, width: int = WIDTH) -> list[tuple[int, int]]:
+    """For a string whose anchor begins at each of its places: the symbols before and after the anchor that tell it apart."""
+    out = []
+    for at in range(width - GRAM + 1):
+        before = after = 0
+        for _ in range(level):
+            half = -(-(width - GRAM - before - after) // 2)
+            if width - GRAM - at - after >= half:
+                after += half
+            else:
+                before += half
+        out.append((before, after))
+    return out
+
+
+def _finer(contents: DataFrame, level: int, width: int) -> DataFrame:
+    """The segments of hot grams, cut and told apart by as many symbols around the anchor as ``level`` asks for."""
+    known = reach(level, width)
 
     def make():  # noqa: ANN202
         def step(cols: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("hi", "lo", "doc_id", "row", "start")}
-            for doc, row, start, n, raw in zip(*(cols[k] for k in ("doc_id", "row", "start", "n", "bytes"))):
-                for k in range(n):
-                    h = xxhash.xxh3_128_intdigest(raw[k : k + width])
-                    for name, v in zip(out, ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, row, start + k)):
+            out: dict[str, list] = {k.split()[0]: [] for k in SEGMENTS.split(", ")}
+            for doc, row, start, n, anchor, raw in zip(*(cols[k] for k in ("doc_id", "row", "start", "n", "anchor", "bytes"))):
+                p, k = anchor - start, 0
+                while k < n:
+                    before, after = known[p - k]
+                    to = k + 1
+                    while to < n and known[p - to] == (before, after):
+                        to += 1
+                    key = b"%d %d " % (before, after) + raw[p - before : p + GRAM + after]
+                    content = raw[k : to + width - 1]
+                    hashed = (xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in (key, content))
+                    for name, v in zip(out, (*hashed, doc, row, start + k, to - k, anchor)):
                         out[name].append(v)
+                    k = to
             return out
 
         return step
 
-    strings = map_rows(contents, make, "hi long, lo long, doc_id long, row long, start int")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start")
-    firsts = strings.groupBy(F.col("hi").alias("h"), F.col("lo").alias("l")).agg(F.min(place).alias("first"))
-    repeated = strings.join(firsts, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
-    return repeated.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).select("row", "start", F.lit(1).alias("n"))
+    return map_rows(contents, make, SEGMENTS)
 
 
 def repeated_strings(rows: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
@@ -261,29 +284,40 @@ def repeated_strings(rows: DataFrame, width: int = WIDTH, hot: int = HOT) -> Dat
     # Counting first moves eight bytes a segment, with partial counts; then only repeated grams move in full.
     often = materialize(every.groupBy("g").count().where("count > 1").select(F.col("g").alias("k")), "grams")
     free_shuffles(spark)
-    alike = materialize(every.join(often, F.col("g") == F.col("k")).select("g", "s", "doc_id", "row", "start", "n"), "segments")
+    alike = materialize(every.join(often, F.col("g") == F.col("k")).drop("k"), "segments")
     free_shuffles(spark)
     discard(often)
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start", "n")
+    found, level = None, 0
+    while True:
+        copies, several = _kinds(alike)
+        discard(alike)
+        free_shuffles(spark)
+        shards = materialize(_in_shards(_contents(rows, several.where(F.col("kinds") <= hot), width), width), "shards")
+        free_shuffles(spark)
+        found = copies.unionAll(shards) if found is None else found.unionAll(copies).unionAll(shards)
+        more = several.where(F.col("kinds") > hot)
+        # At the last level all symbols are known, and a gram has one kind.
+        if more.isEmpty():
+            discard(several)
+            return found
+        level += 1
+        alike = materialize(_finer(_contents(rows, more, width), level, width), "finer")
+        discard(several)
+
+
+def _kinds(alike: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies of a kind but the first, as repeats; and the first of each kind of grams that have several kinds."""
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start", "n", "anchor")
     kinds = materialize(alike.groupBy("g", "s").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "kinds")
     firsts = kinds.where("copies > 1").select(F.col("g").alias("k"), F.col("s").alias("t"), F.col("first.row").alias("r"), F.col("first.start").alias("a"))
     copies = alike.join(firsts, (F.col("g") == F.col("k")) & (F.col("s") == F.col("t")))
     copies = copies.where((F.col("row") != F.col("r")) | (F.col("start") != F.col("a"))).select("row", "start", "n")
-    found = materialize(copies, "copies")
-    free_shuffles(spark)
-    discard(alike)
+    copies = materialize(copies, "copies")
     number = kinds.groupBy(F.col("g").alias("k")).agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = kinds.join(number, F.col("g") == F.col("k"))
-    several = several.select("g", "kinds", "first.row", "first.start", "first.n")
+    several = kinds.join(number, F.col("g") == F.col("k")).select("g", "kinds", *(f"first.{c}" for c in ("row", "start", "n", "anchor")))
     several = materialize(several, "several")
-    shards = _in_shards(_contents(rows, several.where(F.col("kinds") <= hot), width), width)
-    found = found.unionAll(materialize(shards, "shards"))
-    free_shuffles(spark)
-    if not (more := several.where(F.col("kinds") > hot)).isEmpty():
-        found = found.unionAll(materialize(_one_by_one(materialize(_contents(rows, more, width), "hot"), width), "hot-repeats"))
     discard(kinds)
-    discard(several)
-    return found
+    return copies, several
 
 
 def cut(raw: bytes, spans: list, width: int = WIDTH) -> tuple[bytes, int, int]:
@@ -301,11 +335,11 @@ def cut(raw: bytes, spans: list, width: int = WIDTH) -> tuple[bytes, int, int]:
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of each row of ``docs``."""
-    rows = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = stable(id_and_text(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
     found = repeated_strings(rows, width, hot)
     # Lists are bounded by the length of a document.
     lists = found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = rows.join(lists, F.col("row") == F.col("at"), "left").select("doc_id", "text", "spans")
+    joined = Fetch(rows, lists, "at", "spans").rows_with(["doc_id", "text"], others=True)
 
     def make():  # noqa: ANN202
         def step(cols: dict[str, list]) -> dict[str, list]:

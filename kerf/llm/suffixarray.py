@@ -166,23 +166,35 @@ def suffix_array(text: np.ndarray, k: int | None = None) -> np.ndarray:
     return work.sort(order)
 
 
-def shared_prefix(data: np.ndarray, at: np.ndarray, before: np.ndarray, width: int) -> np.ndarray:
-    """For each place of the text in ``at``, whether ``width`` symbols equal those at ``before``.
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each place of ``text``, symbols that its suffix shares with the one before it in ``sa``.
 
-    This is the permuted common prefix, cut at ``width``: places come in the order of
-    the text, ``before`` is the suffix that precedes each in the suffix array. Eight
-    symbols are compared at a time, by which later ones start from what is left.
+    Values come in the order of the text. Where the symbols before a place and before its
+    predecessor are equal, the pair stands one place to the left as well, and the value is
+    one less than there: it is carried on. Only at the other places are symbols compared,
+    four at a time; their values sum to n log n at most, however repetitive the text.
     """
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(len(data), np.uint64)
-    for j in range(8):
-        word |= padded[j : j + len(data)].astype(np.uint64) << np.uint64(8 * j)
-    live = np.arange(len(at))
+    n = len(text)
+    before = np.full(n, -1)
+    before[sa[1:]] = sa[:-1]
+    fresh = np.ones(n, bool)
+    inner = np.flatnonzero(before[1:] > 0) + 1
+    fresh[inner] = text[inner - 1] != text[before[inner] - 1]
+    padded = np.concatenate([text, np.zeros(8, text.dtype)]).astype(np.uint64)
+    four = padded[: n + 4].copy()
+    for j in range(1, 4):
+        four |= padded[j : n + 4 + j] << np.uint64(16 * j)
+    value = np.zeros(n, np.int64)
+    live = np.flatnonzero(fresh & (before >= 0))
     k = 0
-    while k < width and len(live):
-        step = k if k + 8 <= width else max(0, width - 8)
-        live = live[word[at[live] + step] == word[before[live] + step]]
-        k += 8
-    out = np.zeros(len(at), bool)
-    out[live] = True
-    return out
+    while len(live):
+        apart = four[live + k] ^ four[before[live] + k]
+        ends = apart != 0
+        last = apart[ends]
+        same = sum(((last & np.uint64((1 << 16 * j) - 1)) == 0).astype(np.int64) for j in (1, 2, 3))
+        value[live[ends]] = k + same
+        live = live[~ends]
+        k += 4
+    place = np.arange(n)
+    start = np.maximum.accumulate(np.where(fresh, place, 0))
+    return value[start] - (place - start)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerf.llm import graph, neardup, repeats
-from kerf.llm.suffixarray import suffix_array
+from kerf.llm.suffixarray import permuted_prefixes, suffix_array
 from tests.llm import brute
 
 
@@ -176,7 +176,13 @@ def test_suffix_array():
         x = rng.integers(1, rng.choice([2, 3, 5, 20]) + 1, rng.integers(0, 60))
         x = np.tile(x[: max(1, len(x) // 6)], 7) if t % 4 == 0 else x
         s = np.concatenate([x, [0]])
-        assert suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s.tolist()[i:])
+        order = sorted(range(len(s)), key=lambda i: s.tolist()[i:])
+        assert suffix_array(s).tolist() == order
+        shared = np.zeros(len(s), int)
+        for a, b in zip(order[1:], order):
+            while s[a + shared[a]] == s[b + shared[a]]:
+                shared[a] += 1
+        assert permuted_prefixes(s, suffix_array(s)).tolist() == shared.tolist()
 
 
 def passages(seed: int) -> list[tuple[int, str | None]]:
@@ -190,8 +196,16 @@ def passages(seed: int) -> list[tuple[int, str | None]]:
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_reach():
+    """Each level knows more symbols, the last one all; a string has the symbols that are asked of it."""
+    for level in range(8):
+        for at, (before, after) in enumerate(repeats.reach(level)):
+            assert before <= at and after <= 76 - at and (level < 7 or before + after == 76)
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 40, 1])
 def test_repeats(spark, hot):
+    """Whole, and with grams so hot that they are split by their neighbours, to the last level."""
     rows = passages(2)
     got = repeats.without_repeats(frame(spark, rows), hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
     assert sorted(map(tuple, got)) == sorted(brute.repeats(rows))
@@ -214,8 +228,9 @@ def test_runs_cover_every_string():
     rng = random.Random(7)
     text = ("".join(rng.choice("ab") for _ in range(700)) + "q" * 300) * 2
     data = np.frombuffer(text.encode(), np.uint8)
-    gram, start, n = repeats.runs(data, np.array([900, len(data)]))
+    gram, start, n, anchor = repeats.runs(data, np.array([900, len(data)]))
     owner = {s + k: int(g) for g, s, c in zip(gram, start, n) for k in range(c)}
+    assert all(s + c - 1 <= p <= s + 76 and repeats.grams(data[p : p + 24])[0] == g for g, s, c, p in zip(gram, start, n, anchor))
     assert set(owner) == {i for i in range(len(data) - 99) if i + 100 <= 900 or i >= 900}
     by_text: dict[str, set] = {}
     for i, g in owner.items():
