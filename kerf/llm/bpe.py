@@ -49,7 +49,7 @@ class Bpe:
     """Encoder and decoder of one byte-level vocabulary file."""
 
     #: Entries kept of the memo of pair compatibility.
-    PAIRS = 1_000_000
+    PAIRS = 250_000
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -81,7 +81,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["content"]}
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pre_token = regex.compile(PRE_TOKEN)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         # Decoding: all tokens' bytes in one table, with offsets by id.
         by_id = {i: bytes(map(ord, t)) for i, t in zip(self.ids, as_latin)}
         by_id |= {i: s.encode() for s, i in self.special.items()}
@@ -98,7 +98,7 @@ class Bpe:
         have a merge that comes before the ones that were undone, it would have
         happened first and the pair could not have come out.
         """
-        key = (a, b)
+        key = a * len(self.split) + b
         known = self.fits.get(key)
         if known is not None:
             return known
@@ -193,9 +193,14 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str =
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             ids, bounds = pieces(batch.column("text"))
             raw = coder.decode(ids)
-            ends = np.concatenate([[0], np.cumsum(coder.sizes[ids])])[bounds].tolist()
-            decoded = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            return [batch.column("doc_id"), pa.ListArray.from_arrays(bounds.astype(np.int32), ids.view(np.int32)), pa.array(decoded, pa.string())]
+            ends = np.concatenate([[0], np.cumsum(coder.sizes[ids])])[bounds]
+            decoded = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            try:
+                decoded.validate(full=True)
+            except pa.ArrowInvalid:
+                # Ids that don't end where characters do, which no text of valid characters has.
+                decoded = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.large_string())
+            return [batch.column("doc_id"), pa.ListArray.from_arrays(bounds.astype(np.int32), ids.view(np.int32)), decoded]
 
         return step
 

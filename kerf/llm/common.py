@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -19,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 #: Rows in an Arrow batch sent to Python. Texts may be long, so batches are short.
 BATCH_ROWS = 256
 #: Bytes of a batch where work on a batch has a cost of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -132,11 +133,16 @@ class Fetch:
 
         dealt.mapInArrow(write, kind).write.format("noop").mode("overwrite").save()
 
-    def rows_with(self, columns: list[str], others: bool = False) -> DataFrame:
+    def rows_with(
+        self, columns: list[str], others: bool = False, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]] | None = None, schema: str | None = None
+    ) -> DataFrame:
         """``columns`` of the wanted rows and what came with ``wanted``, a row for each wanted one.
 
-        With ``others``, all rows come, with nulls where nothing was wanted; a row may be wanted once.
+        With ``others``, all rows come, with nulls where nothing was wanted; a row may be wanted
+        once. With ``make`` and ``schema``, rows go through a function as in ``map_rows``, in
+        the same worker.
         """
+        made = StructType.fromDDL(schema) if schema else None
         folder, given = self.folder, [f.name for f in self.given]
         some = self.rows.select("row", *columns)
         out = StructType([some.schema[c] for c in columns] + [StructField(f.name, f.dataType, True) for f in self.given])
@@ -144,6 +150,8 @@ class Fetch:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrow = to_arrow_schema(out)
+            given_out = to_arrow_schema(made) if made else None
+            step = make() if make else None
             wanted = None
             for batch in batches:
                 row = batch.column(0).to_numpy()
@@ -174,15 +182,34 @@ class Fetch:
                 else:
                     continue
                 cols = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+                if step:
+                    got = step({f.name: c.to_pylist() for f, c in zip(arrow, cols)})
+                    yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in given_out], schema=given_out)
+                    continue
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow)], schema=arrow)
 
-        return some.mapInArrow(run, out)
+        return some.mapInArrow(lambda batches: released(run(batches)), made or out)
 
 
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at a task's end, freed memory goes back to the system, as workers live on between tasks."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],
@@ -207,7 +234,7 @@ def map_rows(
             arrays = [pa.array(got[n], type=arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lambda batches: released(run(batches)), out)
 
 
 def full_batches(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -226,6 +253,8 @@ def full_batches(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) ->
         if total >= size:
             yield joined()
             held, total = [], 0
+            # What a large batch took is freed by now, and the next one needn't add to it.
+            give_back()
     if held:
         yield joined()
 
@@ -245,7 +274,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
             arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(step(batch), arrow)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lambda batches: released(run(batches)), out)
 
 
 def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[dict[str, list]], list[bool]]], size: int = 0) -> DataFrame:
@@ -262,7 +291,7 @@ def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[
             mask = keep({c: batch.column(k).to_pylist() for c, k in zip(columns, at)})
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), df.schema)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerf.llm.common import BATCH_BYTES, filter_rows, id_and_text, map_rows, shared_dir
+from kerf.llm.common import filter_rows, id_and_text, map_rows, shared_dir
 
 WINDOW = 10
 #: Words from the start of one run that the automaton holds to the next.
@@ -162,8 +162,8 @@ class Items:
 
     @property
     def size(self) -> int:
-        """Bytes of documents that are worth a turn of all automata."""
-        return BATCH_BYTES if self.blocks == 1 else SPOOL
+        """Bytes of documents that are worth a turn of all automata; one automaton takes batches as they come."""
+        return 0 if self.blocks == 1 else SPOOL
 
     def scanner(self) -> Callable[[list[str | None]], list[tuple]]:
         folder, blocks, window = self.folder, self.blocks, self.window

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import Fetch, discard, id_and_text, map_rows, materialize, short_batches, stable
+from kerf.llm.common import Fetch, discard, id_and_text, map_rows, materialize, released, short_batches, stable
 from kerf.llm.graph import components
 
 WIDTH = 5
@@ -221,7 +221,7 @@ def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[dict
         if done:
             yield emit()
 
-    return dealt.mapInArrow(run, out)
+    return dealt.mapInArrow(lambda batches: released(run(batches)), out)
 
 
 class _Forest:

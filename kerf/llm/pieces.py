@@ -58,12 +58,23 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+#: Items that are gathered at a time, which bounds what the places of each take.
+GATHERED = 1 << 18
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``flat[a : a + n]`` for each of ``start`` and ``size``, one after the other."""
     ends = np.cumsum(size)
-    if not len(ends):
-        return flat[:0]
-    return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, flat.dtype)
+    shift = start - ends + size
+    stops = np.unique(np.minimum(np.searchsorted(ends, np.arange(GATHERED, total + GATHERED, GATHERED)) + 1, len(ends))).tolist()
+    a = done = 0
+    for b in stops:
+        to = int(ends[b - 1])
+        out[done:to] = flat[np.repeat(shift[a:b], size[a:b]) + np.arange(done, to)]
+        a, done = b, to
+    return out
 
 
 class _Table:
@@ -98,7 +109,7 @@ class PieceCoder:
     young one again. Only a batch's own pieces can exceed the bound.
     """
 
-    def __init__(self, encode_many: EncodeMany, limit: int = 500_000) -> None:
+    def __init__(self, encode_many: EncodeMany, limit: int = 250_000) -> None:
         self.encode_many, self.limit = encode_many, limit
         self.young, self.old = _Table(), _Table()
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import Fetch, discard, free_shuffles, id_and_text, map_rows, materialize, short_batches, stable
+from kerf.llm.common import Fetch, discard, free_shuffles, id_and_text, map_rows, materialize, released, short_batches, stable
 from kerf.llm.neardup import mix
 from kerf.llm.suffixarray import permuted_prefixes, suffix_array
 
@@ -143,7 +143,7 @@ def segments(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                 schema=arrow,
             )
 
-    return rows.select("doc_id", "row", "text").mapInArrow(run, out)
+    return rows.select("doc_id", "row", "text").mapInArrow(lambda batches: released(run(batches)), out)
 
 
 def repeats_in_shard(parts: list[tuple[tuple, int, bytes]], width: int = WIDTH) -> list[tuple[int, int, int]]:
@@ -211,13 +211,13 @@ def _in_shards(contents: DataFrame, width: int) -> DataFrame:
         if held:
             yield solve()
 
-    return dealt.mapInArrow(run, out)
+    return dealt.mapInArrow(lambda batches: released(run(batches)), out)
 
 
 def _contents(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The bytes of the segments in ``wanted``, each fetched where its document is read."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("g", "start", "n", "anchor")).alias("cuts"))
-    joined = Fetch(rows, lists.withColumnRenamed("row", "at").withColumn("row", F.col("at")), "at", "cuts").rows_with(["doc_id", "text"])
+    fetch = Fetch(rows, lists.withColumnRenamed("row", "at").withColumn("row", F.col("at")), "at", "cuts")
 
     def make():  # noqa: ANN202
         def step(cols: dict[str, list]) -> dict[str, list]:
@@ -232,7 +232,7 @@ def _contents(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
         return step
 
-    return map_rows(joined, make, "g long, doc_id long, row long, start int, n int, anchor int, bytes binary")
+    return fetch.rows_with(["doc_id", "text"], make=make, schema="g long, doc_id long, row long, start int, n int, anchor int, bytes binary")
 
 
 def reach(level: int, width: int = WIDTH) -> list[tuple[int, int]]:
@@ -301,7 +301,9 @@ def repeated_strings(rows: DataFrame, width: int = WIDTH, hot: int = HOT) -> Dat
             discard(several)
             return found
         level += 1
-        alike = materialize(_finer(_contents(rows, more, width), level, width), "finer")
+        hot_ones = materialize(_contents(rows, more, width), "hot")
+        alike = materialize(_finer(hot_ones, level, width), "finer")
+        discard(hot_ones)
         discard(several)
 
 
@@ -339,7 +341,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     found = repeated_strings(rows, width, hot)
     # Lists are bounded by the length of a document.
     lists = found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = Fetch(rows, lists, "at", "spans").rows_with(["doc_id", "text"], others=True)
+    fetch = Fetch(rows, lists, "at", "spans")
 
     def make():  # noqa: ANN202
         def step(cols: dict[str, list]) -> dict[str, list]:
@@ -355,7 +357,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
         return step
 
-    return map_rows(joined, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return fetch.rows_with(["doc_id", "text"], others=True, make=make, schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from kerf.llm.bpe import default_vocabulary
-from kerf.llm.common import full_batches, id_and_text, materialize, shared_dir, short_batches
+from kerf.llm.common import full_batches, id_and_text, materialize, released, shared_dir, short_batches
 from kerf.llm.pieces import ASCII_WHITE, PieceCoder
 
 END_ID = 2
@@ -228,7 +228,7 @@ def write_token_files(
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
         files.close()
 
-    index = materialize(dealt.drop("tie").mapInArrow(run, out), "token-index")
+    index = materialize(dealt.drop("tie").mapInArrow(lambda batches: released(run(batches)), out), "token-index")
     _delete_orphans(folder)
     return index
 
