@@ -216,7 +216,9 @@ def _in_shards(contents: DataFrame, width: int) -> DataFrame:
 
 def _contents(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The bytes of the segments in ``wanted``, each fetched where its document is read."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("g", "start", "n", "anchor")).alias("cuts"))
+    # Two whole numbers a segment: its gram, and start, number of strings and distance of the anchor in one.
+    packed = F.shiftleft(F.col("start").cast("long"), 24) + F.shiftleft(F.col("n").cast("long"), 12) + (F.col("anchor") - F.col("start"))
+    lists = wanted.groupBy("row").agg(F.flatten(F.collect_list(F.array("g", packed))).alias("cuts"))
     fetch = Fetch(rows, lists.withColumnRenamed("row", "at").withColumn("row", F.col("at")), "at", "cuts")
 
     def make():  # noqa: ANN202
@@ -224,9 +226,9 @@ def _contents(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("g", "doc_id", "row", "start", "n", "anchor", "bytes")}
             for doc, row, text, cuts in zip(cols["doc_id"], cols["row"], cols["text"], cols["cuts"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                for c in cuts:
-                    a, n = c["start"], c["n"]
-                    for k, v in zip(out, (c["g"], doc, row, a, n, c["anchor"], raw[a : a + n + width - 1])):
+                for g, c in zip(cuts[::2], cuts[1::2]):
+                    a, n = c >> 24, c >> 12 & 0xFFF
+                    for k, v in zip(out, (g, doc, row, a, n, a + (c & 0xFFF), raw[a : a + n + width - 1])):
                         out[k].append(v)
             return out
 
@@ -322,14 +324,17 @@ def _kinds(alike: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, several
 
 
-def cut(raw: bytes, spans: list, width: int = WIDTH) -> tuple[bytes, int, int]:
-    """What is left, the number of bytes removed and of maximal runs removed."""
+def cut(raw: bytes, spans: list[int] | None, width: int = WIDTH) -> tuple[bytes, int, int]:
+    """What is left, the number of bytes removed and of maximal runs removed.
+
+    A span is the first string's start and, in the lower 32 bits, the number of strings.
+    """
     if not spans:
         return raw, 0, 0
-    mark = np.zeros(len(raw) + 1, np.int64)
-    start = np.array([s["start"] for s in spans])
-    np.add.at(mark, start, 1)
-    np.add.at(mark, start + [s["n"] + width - 1 for s in spans], -1)
+    packed = np.array(spans, np.int64)
+    start, n = packed >> 32, packed & 0xFFFFFFFF
+    size = len(raw) + 1
+    mark = np.bincount(start, minlength=size) - np.bincount(start + n + width - 1, minlength=size)
     gone = np.cumsum(mark)[:-1] > 0
     data = np.frombuffer(raw, np.uint8)
     return data[~gone].tobytes(), int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
@@ -340,7 +345,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     rows = stable(id_and_text(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
     found = repeated_strings(rows, width, hot)
     # Lists are bounded by the length of a document.
-    lists = found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    lists = found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("spans"))
     fetch = Fetch(rows, lists, "at", "spans")
 
     def make():  # noqa: ANN202

@@ -153,7 +153,10 @@ def suffix_array(text: np.ndarray, k: int | None = None) -> np.ndarray:
     n = len(text)
     if n < 3:
         return np.arange(n)[::-1].copy()
-    work = _Induced(text, int(text.max()) + 1 if k is None else k)
+    k = int(text.max()) + 1 if k is None else k
+    # Short symbols are sorted by radix.
+    text = text.astype(np.uint16 if k <= 1 << 16 else np.int32)
+    work = _Induced(text, k)
     lms = work.lms
     seeds = lms[np.argsort(text[lms], kind="stable")]
     sa = work.sort(seeds)
