@@ -83,6 +83,11 @@ def box_contains(lo: Point, hi: Point, p: Point) -> Column:
     return p[0].between(lo[0], hi[0]) & p[1].between(lo[1], hi[1]) & p[2].between(lo[2], hi[2])
 
 
+def box_moved(lo: Point, hi: Point, by: Point) -> tuple[Point, Point]:
+    """The box moved by an offset."""
+    return add(lo, by), add(hi, by)
+
+
 def box_expanded(lo: Point, hi: Point, p: Point) -> tuple[Point, Point]:
     return tuple(F.least(a, c) for a, c in zip(lo, p)), tuple(F.greatest(b, c) for b, c in zip(hi, p))
 

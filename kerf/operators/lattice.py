@@ -154,10 +154,33 @@ def edited(cut: DataFrame, edits: DataFrame, grid: Grid) -> DataFrame:
     return last.where(~F.col("material")).select(*KEY, "first_cut")
 
 
+def edits_at(points: DataFrame, grid: Grid) -> DataFrame:
+    """Edits for :func:`edited` from rows of job_id, seq, wx, wy, wz (coordinates) and material."""
+    return points.select("job_id", "seq", *(grid.index(F.col(f"w{n}"), k).alias(n) for k, n in enumerate(AXES)), "material")
+
+
 def octree_counts(cut: DataFrame, bits: int) -> DataFrame:
-    """Removed cells by node of the octree, from the root (level 0) down to single cells."""
+    """Removed cells by node of the octree, from the root (level 0) down to single cells.
+
+    A node's number is a prefix of the path, by shifts. Nodes of the finest level are
+    counted first, so that coarser levels add up counts and not cells.
+    """
     path = g.morton(F.col("x"), F.col("y"), F.col("z"), bits)
-    levels = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.struct(k.alias("level"), path.alias("path")))
-    each = cut.select("job_id", F.inline(levels))
-    node = F.floor(F.col("path") / F.pow(F.lit(8.0), F.lit(bits) - F.col("level"))).cast("long")
-    return each.groupBy("job_id", "level", node.alias("node")).agg(F.count("*").alias("empty"))
+    finest = cut.groupBy("job_id", path.alias("path")).agg(F.count("*").alias("n"))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("path", 3 * (bits - k)).alias("node")) for k in range(bits + 1)))
+    return finest.select("job_id", "n", F.inline(levels)).groupBy("job_id", "level", "node").agg(F.sum("n").alias("empty"))
+
+
+def coloured(cells: DataFrame, grid: Grid) -> DataFrame:
+    """x, y, z of cells to draw with their centre and colour by height."""
+    at = [grid.world(F.col(n), k) for k, n in enumerate(AXES)]
+    red, green, blue = g.height_colour(at[2], F.lit(float(grid.lo[2])), F.lit(float(grid.hi[2])))
+    return cells.select(*AXES, *(c.alias(f"w{n}") for c, n in zip(at, AXES)), red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
+def listed(cells: DataFrame, grid: Grid, by_octree: bool = False) -> DataFrame:
+    """Cells in the order in which they are listed: by z, y, x, or by octree path."""
+    if not by_octree:
+        return cells.orderBy("z", "y", "x")
+    bits = max(1, max(grid.dims) - 1).bit_length()
+    return cells.orderBy(g.morton(F.col("x"), F.col("y"), F.col("z"), bits))

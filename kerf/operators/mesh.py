@@ -82,13 +82,11 @@ def vertices(quads_: DataFrame, grid: Grid) -> DataFrame:
 
     Where opposite normals cancel, the normal is null.
     """
-    nx, ny, _ = grid.dims
     each = quads_.select(F.explode(F.array("v0", "v1", "v2", "v3")).alias("vid"), "nx", "ny", "nz")
     sums = each.groupBy("vid").agg(*(F.sum(f"n{n}").alias(f"n{n}") for n in AXES), F.count("*").alias("uses"))
-    place = (F.col("vid") % (nx + 1), F.floor(F.col("vid") / (nx + 1)) % (ny + 1), F.floor(F.col("vid") / ((nx + 1) * (ny + 1))))
     unit = g.normalized(g.point("n"))
     return sums.select(
-        "vid", *((F.lit(float(grid.lo[k])) + p * F.lit(float(grid.res))).alias(n) for k, (n, p) in enumerate(zip(AXES, place))), *(c.alias(f"n{n}") for c, n in zip(unit, AXES)), "uses"
+        "vid", *(c.alias(n) for n, c in zip(AXES, _corner(F.col("vid"), grid))), *(c.alias(f"n{n}") for c, n in zip(unit, AXES)), "uses"
     )
 
 
@@ -98,18 +96,26 @@ def welded(points: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     return points.groupBy(*key).agg(*(F.first(n).alias(n) for n in AXES), *(F.sum(f"n{n}").alias(f"n{n}") for n in AXES), F.count("*").alias("uses"))
 
 
-def facets(triangles_: DataFrame, vertices_: DataFrame, averaged: bool = False) -> DataFrame:
+def _corner(vid: Column, grid: Grid) -> g.Point:
+    """Coordinates of a corner, from its id."""
+    nx, ny, _ = grid.dims
+    place = (vid % (nx + 1), F.floor(vid / (nx + 1)) % (ny + 1), F.floor(vid / ((nx + 1) * (ny + 1))))
+    return tuple(F.lit(float(grid.lo[k])) + p * F.lit(float(grid.res)) for k, p in enumerate(place))
+
+
+def facets(triangles_: DataFrame, grid: Grid, vertices_: DataFrame | None = None) -> DataFrame:
     """tid, v1x .. v3z and nx, ny, nz of each triangle.
 
-    The normal is the triangle's own, or with ``averaged`` that of its first vertex.
+    Coordinates follow from the ids, so nothing is joined. The normal is the triangle's own, or
+    with ``vertices_`` that of its first vertex, where it has one.
     """
-    out = triangles_
-    for i in range(3):
-        cols = [F.col(n).alias(f"v{i + 1}{n}") for n in AXES] + ([F.col(f"n{n}").alias(f"_n{n}") for n in AXES] if i == 0 else [])
-        out = out.join(vertices_.select(F.col("vid").alias(f"i{i}"), *cols), f"i{i}")
+    at = {f"v{i + 1}{n}": c for i in range(3) for n, c in zip(AXES, _corner(F.col(f"i{i}"), grid))}
+    out = triangles_.withColumns(at)
     a, b, c = (g.point(f"v{i}") for i in (1, 2, 3))
-    own = g.normalized(g.cross(g.subtract(b, a), g.subtract(c, a)), g.const(0, 1, 0))
-    normal = [F.coalesce(f"_n{n}", o) if averaged else o for n, o in zip(AXES, own)]
+    normal = g.normalized(g.cross(g.subtract(b, a), g.subtract(c, a)), g.const(0, 1, 0))
+    if vertices_ is not None:
+        out = out.join(vertices_.select(F.col("vid").alias("i0"), *(F.col(f"n{n}").alias(f"_n{n}") for n in AXES)), "i0")
+        normal = tuple(F.coalesce(f"_n{n}", o) for n, o in zip(AXES, normal))
     return out.select("tid", *(c.alias(f"n{n}") for c, n in zip(normal, AXES)), *(f"v{i}{n}" for i in (1, 2, 3) for n in AXES))
 
 

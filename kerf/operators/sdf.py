@@ -166,3 +166,48 @@ def octree_leaves(field: DataFrame, grid: Grid, level: int) -> DataFrame:
     some = field.groupBy(*cube).agg(F.min(d).alias("least"), F.max(d).alias("greatest"))
     even = (F.signum("least") == F.signum("greatest")) & (F.col("greatest") - F.col("least") < float(grid.res))
     return some.withColumns({"value": (F.col("least") + F.col("greatest")) / 2, "leaf": even})
+
+
+def nearest_surface(cells: DataFrame, grid: Grid, radius: int, band: float = BAND) -> DataFrame:
+    """x, y, z, d and the nearest surface cell sx, sy, sz (of equals the first by z, y, x) of each of ``cells`` (x, y, z, material).
+
+    Straight distance to the nearest surface cell (see :func:`surface6`) within ``radius`` cells
+    along each axis, in millimetres and cut at ``band``; at the band where there is none. Only
+    surface cells spread to their surroundings, so work grows with the surface.
+    """
+    around = F.array(*(F.struct(*(F.lit(o).alias(f"o{n}") for o, n in zip(offset, AXES))) for offset in product(range(-radius, radius + 1), repeat=3)))
+    flagged = surface6(cells, grid)
+    spread = flagged.where("surface").select(*(F.col(n).alias(f"s{n}") for n in AXES), F.inline(around))
+    square = sum((F.col(f"o{n}") * F.col(f"o{n}") for n in AXES), F.lit(0))
+    place = F.struct(square.alias("d2"), *(F.col(f"s{n}") for n in reversed(AXES)))
+    near = spread.groupBy(*((F.col(f"s{n}") + F.col(f"o{n}")).alias(n) for n in AXES)).agg(F.min(place).alias("_near"))
+    far = F.coalesce(F.sqrt(F.col("_near.d2").cast("double")) * float(grid.res), F.lit(float(band)))
+    d = F.least(far, F.lit(float(band))) * F.when(F.col("material"), 1.0).otherwise(-1.0)
+    return cells.join(near, list(AXES), "left").select(*AXES, d.alias("d"), *(F.col(f"_near.s{n}").alias(f"s{n}") for n in AXES))
+
+
+def octree(field: DataFrame, grid: Grid, top: int) -> DataFrame:
+    """Leaves of the octree over a field: level, cx, cy, cz, value.
+
+    From cells upwards, eight leaves become one where their values have one sign and differ by
+    less than the resolution, up to cubes of ``2 ** top`` cells. A leaf's value is the mean of
+    its least and greatest. At most as many leaves are grouped as there were a level below.
+    """
+    cells = [F.col(n).alias(f"c{n}") for n in AXES]
+    open_ = field.select(*cells, F.col("d").alias("least"), F.col("d").alias("greatest"))
+    done = None
+    for level in range(top + 1):
+        names = [f"c{n}" for n in AXES]
+        value = ((F.col("least") + F.col("greatest")) / 2).alias("value")
+        if level == top:
+            last = open_.select(F.lit(level).alias("level"), *names, value)
+            return last if done is None else done.unionByName(last)
+        parent = [F.shiftright(n, 1).alias(f"p{n}") for n in names]
+        both = open_.withColumns({f"p{n}": F.shiftright(n, 1) for n in names})
+        up = open_.groupBy(*parent).agg(F.min("least").alias("lo"), F.max("greatest").alias("hi"), F.count("*").alias("n"))
+        even = (F.col("n") == 8) & (F.signum("lo") == F.signum("hi")) & (F.col("hi") - F.col("lo") < float(grid.res))
+        joined = both.join(up.withColumn("even", even), [f"p{n}" for n in names])
+        stay = joined.where(~F.col("even")).select(F.lit(level).alias("level"), *names, value)
+        done = stay if done is None else done.unionByName(stay)
+        open_ = up.where(even).select(*(F.col(f"p{n}").alias(n) for n in names), F.col("lo").alias("least"), F.col("hi").alias("greatest"))
+    return done

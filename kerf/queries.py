@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerf import scenarios
 from kerf.functions import gcode, geometry as g
 from kerf.grid import Grid
 from kerf.operators import lattice, mesh, sdf
@@ -149,8 +150,8 @@ UNION ALL {cols('CAST(i + 10 AS INT)', at, (at[0], at[1], f'{at[2]} + {n}'))} FR
 PRIMS3_SQL = _prims3()
 
 
-def _prims5() -> str:
-    r, n, res = TOOL5.radius, TOOL5.length, BED.res
+def _prims5(res: float = BED.res, shaft: str = "cylinder") -> str:
+    r, n = TOOL5.radius, TOOL5.length
     turn = "(seq * 3) % 60 AS a1, (seq * 5) % 45 AS b1"
     base = f"SELECT *, sqrt((x1-x0)*(x1-x0) + (y1-y0)*(y1-y0) + (z1-z0)*(z1-z0)) AS way, {turn} FROM ({SEGMENTS_SQL})"
     lagged = f"SELECT *, coalesce(lag(a1) OVER w, 0) AS a0, coalesce(lag(b1) OVER w, 0) AS b0 FROM ({base}) WINDOW w AS (PARTITION BY job_id ORDER BY seq)"
@@ -160,7 +161,7 @@ def _prims5() -> str:
     each = f"SELECT job_id, seq, i, {at}, {turned} FROM (SELECT s.*, unnest(range(0, n + 1)) AS i FROM ({counted}) s)"
     return f"""WITH e AS ({each})
 SELECT job_id, seq, CAST(2 * i AS INT) AS part, 'sphere' AS shape, x AS ax, y AS ay, z AS az, x AS bx, y AS by_, z AS bz, {r} AS r FROM e
-UNION ALL SELECT job_id, seq, CAST(2 * i + 1 AS INT), 'cylinder', x, y, z, x + sin(b) * {n}, y - cos(b) * sin(a) * {n}, z + cos(b) * cos(a) * {n}, {r} FROM e"""
+UNION ALL SELECT job_id, seq, CAST(2 * i + 1 AS INT), '{shaft}', x, y, z, x + sin(b) * {n}, y - cos(b) * sin(a) * {n}, z + cos(b) * cos(a) * {n}, {r} FROM e"""
 
 
 def _hits(prims: str, grid: Grid) -> str:
@@ -611,7 +612,7 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT {_TID} + h AS tid, CAST(nx AS DOUBLE) AS nx, CAST(ny AS DOUBLE) AS ny, CAST(nz AS DOUBLE) AS nz FROM (SELECT DISTINCT x, y, z, side, nx, ny, nz FROM ({CORNER_ROWS})), (SELECT CAST(i AS INT) AS h FROM range(2) t(i))""")
 def facet_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     quads = mesh.quads(face_table(spark, sf_dir), CUBE)
-    got = mesh.facets(mesh.triangles(quads), mesh.vertices(quads, CUBE))
+    got = mesh.facets(mesh.triangles(quads), CUBE)
     return got.select("tid", *(tidy(F.col(f"n{n}")).alias(f"n{n}") for n in "xyz"))
 
 
@@ -652,6 +653,128 @@ def dc_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.dual_quads(flat, CUBE).select("x", "y", "z", "axis")
 
 
+# Further forms of the operators above
+
+@query(f"""SELECT ok, ln, wx + 1.5 AS x0, wy - 2 AS y0, wz + 0.25 AS z0, wx + 4.5 AS x1, wy AS y1, wz + 2.25 AS z1 FROM ({POINTS_SQL})""")
+def box_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = g.point("w")
+    lo, hi = g.box_moved(p, g.add(p, g.const(3, 2, 2)), g.const(1.5, -2, 0.25))
+    return points(spark, sf_dir).select("ok", "ln", *(c.alias(f"{n}{k}") for k, box in enumerate((lo, hi)) for n, c in zip("xyz", box)))
+
+
+@query(f"""WITH e AS (SELECT x, y, z, first_cut AS seq, false AS material FROM ({SPHERE_CUT}) UNION ALL
+  SELECT CAST(trunc(wx) AS INT), CAST(trunc(wy) AS INT), CAST(trunc(wz) AS INT), ok * 10 + ln + 1000000, (ok + ln) % 2 = 0 FROM ({POINTS_SQL}) WHERE trunc(wx) BETWEEN 0 AND 63 AND trunc(wy) BETWEEN 0 AND 63 AND trunc(wz) BETWEEN 0 AND 63)
+SELECT x, y, z, max(seq) AS first_cut FROM e GROUP BY x, y, z HAVING NOT arg_max(material, seq)""")
+def edited_at_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.col("ok") * 10 + F.col("ln") + 1_000_000
+    edits = points(spark, sf_dir).select(F.lit(0).cast("long").alias("job_id"), seq.alias("seq"), "wx", "wy", "wz", ((F.col("ok") + F.col("ln")) % 2 == 0).alias("material"))
+    return lattice.edited(sphere_cells(spark, sf_dir), lattice.edits_at(edits, CUBE), CUBE).select("x", "y", "z", "first_cut")
+
+
+#: A tool that stands at each sphere's centre: a ball, and a shaft of 8 above it.
+STANDING = Tool(6.0, 8.0, True)
+
+
+def _standing_sql(shaft: str) -> str:
+    ball = f"SELECT job_id, seq, 'sphere' AS shape, cx AS ax, cy AS ay, cz AS az, cx AS bx, cy AS by_, cz AS bz, 3.0::DOUBLE AS r FROM ({SPHERES_SQL})"
+    return f"{ball} UNION ALL SELECT job_id, seq, '{shaft}', cx, cy, cz, cx, cy, cz + 8, 3.0::DOUBLE FROM ({SPHERES_SQL})"
+
+
+def standing(spark: SparkSession, sf_dir: str, field: bool) -> DataFrame:
+    at = derived(spark, sf_dir, SPHERES_SQL, "part").select("job_id", "seq", *(F.col(f"c{n}").alias(n) for n in "xyz"))
+    return toolpath.primitives_point(at, STANDING, field)
+
+
+@query(_first(_standing_sql("cylinder"), CUBE))
+def point_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.removed(standing(spark, sf_dir, False), CUBE)
+
+
+def _below_band(prims: str, grid: Grid, band: float) -> str:
+    """SQL for the least signed distance of spheres and capsules, over the cells of each one's index box."""
+    n, lo, res = grid.dims, grid.lo, grid.res
+    cell = lambda v, k: f"CAST(trunc(({v} - ({lo[k]})) / {res}) AS INT)"
+    box = ", ".join(
+        f"greatest(0, CASE WHEN shape = 'sphere' THEN {cell(f'a{v}', k)} - CAST(ceil(r / {res}) AS INT) ELSE {cell(f'(least(a{v}, b{c}) - r)', k)} END) AS l{v}, "
+        f"least({n[k] - 1}, CASE WHEN shape = 'sphere' THEN {cell(f'a{v}', k)} + CAST(ceil(r / {res}) AS INT) ELSE {cell(f'(greatest(a{v}, b{c}) + r)', k)} END) AS h{v}"
+        for k, (v, c) in enumerate(zip("xyz", ("x", "y_", "z")))
+    )
+    cells = f"SELECT * FROM (SELECT *, {box} FROM ({prims}) p) q, LATERAL (SELECT unnest(range(lx, hx + 1)) AS x) ux, LATERAL (SELECT unnest(range(ly, hy + 1)) AS y) uy, LATERAL (SELECT unnest(range(lz, hz + 1)) AS z) uz"
+    at = ", ".join(f"({lo[k]}) + ({v} + 0.5) * {res} AS p{v}" for k, v in enumerate("xyz"))
+    along = "((px-ax)*(bx-ax) + (py-ay)*(by_-ay) + (pz-az)*(bz-az))"
+    t = f"SELECT *, CASE WHEN shape = 'sphere' THEN 0.0 ELSE greatest(0.0, least(1.0, {along} / ((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) + (bz-az)*(bz-az)))) END AS t FROM (SELECT *, {at} FROM ({cells}))"
+    off = " + ".join(f"pow(p{v} - (a{v} + t * (b{c} - a{v})), 2)" for v, c in zip("xyz", ("x", "y_", "z")))
+    d = f"SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, sqrt({off}) - r AS d FROM ({t})"
+    return f"SELECT x, y, z, round(min(d), 6) + 0.0 AS d FROM ({d}) WHERE d < {band} GROUP BY x, y, z"
+
+
+@query(_below_band(_standing_sql("capsule"), CUBE, BAND))
+def point_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sdf.from_primitives(standing(spark, sf_dir, True), CUBE, BAND).select("x", "y", "z", tidy(F.col("d")).alias("d"))
+
+
+@query(_below_band(f"SELECT *, 'capsule' AS shape FROM ({RODS_SQL})", CUBE, BAND))
+def sdf_capsule_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sdf.from_primitives(rods(spark, sf_dir, "capsule"), CUBE, BAND).select("x", "y", "z", tidy(F.col("d")).alias("d"))
+
+
+@query(f"{_ROUNDED_SQL} ({PRIMS3_SQL.replace(chr(39) + 'cylinder' + chr(39), chr(39) + 'capsule' + chr(39))})")
+def primitives_3axis_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As distance fields take them: shapes are rounded and steps half a radius, which is the same here."""
+    return _rounded(toolpath.primitives_3axis(segments(spark, sf_dir), TOOL, BED.res, field=True))
+
+
+@query(f"{_ROUNDED_SQL} ({_prims5(2.5 * BED.res, 'capsule')})")
+def primitives_5axis_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(toolpath.primitives_5axis(toolpath.segments(five_axis(spark, sf_dir)), TOOL5, BED.res, field=True))
+
+
+@query(f"SELECT x, y, z, x + 0.5 AS wx, y + 0.5 AS wy, z + 0.5 AS wz, (z + 0.5) / 64 AS red, 0.0 AS green, 1 - (z + 0.5) / 64 AS blue FROM ({CELLS_SQL}) WHERE material")
+def coloured_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.coloured(lattice.occupied(spark, sphere_cells(spark, sf_dir), CUBE), CUBE)
+
+
+def _nearest_sql() -> str:
+    around = " OR ".join(f"coalesce(lag(material) OVER w{n} <> material, true) OR coalesce(lead(material) OVER w{n} <> material, true)" for n in "xyz")
+    windows = ", ".join(f"w{n} AS (PARTITION BY {', '.join(m for m in 'xyz' if m != n)} ORDER BY {n})" for n in "xyz")
+    return f"""WITH s AS MATERIALIZED (SELECT x, y, z, material, ({around}) AS surface FROM ({CELLS_SQL}) WINDOW {windows}),
+o AS (SELECT CAST(a.i AS INT) AS ox, CAST(b.i AS INT) AS oy, CAST(c.i AS INT) AS oz, CAST(a.i*a.i + b.i*b.i + c.i*c.i AS INT) AS d2 FROM range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i)),
+n AS (SELECT x + ox AS x, y + oy AS y, z + oz AS z, min(d2) AS d2, min(struct_pack(d := d2, z := z, y := y, x := x)) AS m FROM s, o WHERE surface GROUP BY 1, 2, 3)
+SELECT s.x, s.y, s.z, round(least(10.0, coalesce(sqrt(n.d2), 10.0)) * CASE WHEN material THEN 1 ELSE -1 END, 6) + 0.0 AS d, coalesce(n.m.x, -1) AS sx, coalesce(n.m.y, -1) AS sy, coalesce(n.m.z, -1) AS sz
+FROM s LEFT JOIN n ON n.x = s.x AND n.y = s.y AND n.z = s.z"""
+
+
+@query(_nearest_sql())
+def nearest_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sdf.nearest_surface(lattice.dense(spark, sphere_cells(spark, sf_dir), CUBE), CUBE, 2, BAND)
+    return got.select("x", "y", "z", tidy(F.col("d")).alias("d"), *(F.coalesce(f"s{n}", F.lit(-1)).alias(f"s{n}") for n in "xyz"))
+
+
+def _octree_sql() -> str:
+    """Leaves by what holds for whole cubes: a cube merges where it is even; a leaf is one that merges and whose parent doesn't."""
+    cube = lambda k: f"SELECT x >> {k} AS cx, y >> {k} AS cy, z >> {k} AS cz, min(d) AS lo, max(d) AS hi, {'true' if k == 0 else 'sign(min(d)) = sign(max(d)) AND max(d) - min(d) < 1'} AS even FROM f GROUP BY 1, 2, 3"
+    leaves = [f"SELECT {k} AS level, a.cx, a.cy, a.cz, round((a.lo + a.hi) / 2, 6) + 0.0 AS value FROM n{k} a JOIN n{k + 1} b ON b.cx = a.cx >> 1 AND b.cy = a.cy >> 1 AND b.cz = a.cz >> 1 WHERE a.even AND NOT b.even" for k in range(3)]
+    leaves.append("SELECT 3 AS level, cx, cy, cz, round((lo + hi) / 2, 6) + 0.0 AS value FROM n3 WHERE even")
+    return f"WITH f AS MATERIALIZED ({FIELD_SQL}), {', '.join(f'n{k} AS MATERIALIZED ({cube(k)})' for k in range(4))} {' UNION ALL '.join(leaves)}"
+
+
+@query(_octree_sql())
+def octree_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sdf.octree(field_of(spark, sf_dir), CUBE, 3).withColumn("value", tidy(F.col("value")))
+
+
+@query(
+    _below_band(
+        """SELECT 'sphere' AS shape, 0.0 AS ax, 0.0 AS ay, 0.0 AS az, 0.0 AS bx, 0.0 AS by_, 0.0 AS bz, 50.0::DOUBLE AS r UNION ALL SELECT 'capsule', -40, 0, 50, 40, 0, 50, 10
+UNION ALL SELECT 'capsule', 50, -40, 0, 50, 40, 0, 10 UNION ALL SELECT 'capsule', 0, 50, -40, 0, 50, 40, 10""",
+        Grid.centred((100, 100, 100), 1.0), 2.0,
+    )
+)
+def demo_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads no table: a fixed scene."""
+    return scenarios.demo_scene(spark).select("x", "y", "z", tidy(F.col("d")).alias("d"))
+
+
 # Over time
 
 

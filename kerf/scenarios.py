@@ -37,3 +37,19 @@ SCENARIOS: dict[str, Callable[[SparkSession], DataFrame]] = {
     ),
     "field_million": _field,
 }
+
+
+#: A block of 100 mm with a ball of 50 mm and three rods of 10 mm taken away.
+DEMO_GRID = Grid.centred((100, 100, 100), 1.0)
+DEMO_BAND = 2.0
+DEMO_SHAPES = (
+    ("sphere", (0, 0, 0), (0, 0, 0), 50),
+    ("capsule", (-40, 0, 50), (40, 0, 50), 10),
+    ("capsule", (50, -40, 0), (50, 40, 0), 10),
+    ("capsule", (0, 50, -40), (0, 50, 40), 10),
+)
+
+
+def demo_scene(spark: SparkSession) -> DataFrame:
+    """The demo's distance field: cells below the band."""
+    return sdf.from_primitives(shapes(spark, *DEMO_SHAPES), DEMO_GRID, DEMO_BAND)

@@ -1,4 +1,9 @@
-"""One stock, its tools and its toolpath, behind one object. All methods are lazy but the exports."""
+"""One stock, its tools and its toolpath, behind one object.
+
+``execute`` runs one job, to know where the commands end; all else but counts and exports
+is lazy. Each list of commands is a branch of the plan, so many short lists are better
+put together before they are executed.
+"""
 
 from __future__ import annotations
 
@@ -78,7 +83,7 @@ class Simulation:
 
     def facets(self, averaged: bool = False) -> DataFrame:
         quads = mesh.quads(mesh.faces(self.spark, self.removed(), self.grid), self.grid)
-        return mesh.facets(mesh.triangles(quads), mesh.vertices(quads, self.grid), averaged)
+        return mesh.facets(mesh.triangles(quads), self.grid, mesh.vertices(quads, self.grid) if averaged else None)
 
     def smooth_facets(self, band: float = sdf.BAND) -> DataFrame:
         return mesh.dual_triangles(mesh.dual_quads(mesh.dual_vertices(self.field(band), self.grid, band), self.grid))

@@ -1,7 +1,7 @@
 """Toolpaths that arrive over time.
 
-Removal is monotone, so a micro-batch only adds: its removed cells are merged by the
-least ``seq``. What a program's lines leave behind from batch to batch, the modal
+Removal is monotone, so a micro-batch only adds: its removed cells are kept as they come
+and merged by the least ``seq`` where they are read. What a program's lines leave behind from batch to batch, the modal
 position, is the only state that has to be ordered; it is kept by job.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,25 +22,35 @@ WORDS = "job_id long, seq long, code int, x double, y double, z double, f double
 MODAL = "job_id long, seq long, kind string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, feed double"
 
 
-def modal_stream(words: DataFrame, start: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+def modal_stream(words: DataFrame, start: tuple[float, float, float] = (0.0, 0.0, 0.0), idle_ms: int | None = None) -> DataFrame:
     """Segments from a stream of rows as :data:`WORDS`; positions survive from batch to batch.
 
-    Rows of a job must come in batches in the order of ``seq``; within a batch they are sorted.
+    Rows of a job must come in batches in the order of ``seq``; within a batch they are
+    sorted. With ``idle_ms``, a job without rows for so long is over: its position is
+    forgotten, and if more rows come it begins at ``start`` again.
     """
+    names = [c.split()[0] for c in MODAL.split(", ")]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = list(state.get) if state.exists else list(start)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for r in rows.itertuples(index=False):
-            before = list(at)
-            at = [b if v is None or v != v else float(v) for v, b in zip((r.x, r.y, r.z), at)]
-            feed = 0.0 if r.code == 0 or r.f is None or r.f != r.f else float(r.f)
-            out.append((key[0], r.seq, "G0" if r.code == 0 else "G1", *before, *at, feed))
-        state.update(tuple(at))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MODAL.split(", ")])
-
-    return words.groupBy("job_id").applyInPandasWithState(step, MODAL, "x double, y double, z double", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at = pd.Series(list(state.get) if state.exists else list(start), index=list(AXES), dtype="float64")
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        # The position before the first row fills what no row of the batch has said yet.
+        ends = pd.concat([at.to_frame().T, rows[list(AXES)].astype("float64")], ignore_index=True).ffill()
+        rapid = (rows["code"] == 0).to_numpy()
+        out = pd.DataFrame({"job_id": key[0], "seq": rows["seq"].to_numpy(), "kind": np.where(rapid, "G0", "G1")})
+        for n in AXES:
+            out[f"{n}0"], out[f"{n}1"] = ends[n].to_numpy()[:-1], ends[n].to_numpy()[1:]
+        out["feed"] = np.where(rapid, 0.0, rows["f"].astype("float64").fillna(0.0).to_numpy())
+        state.update(tuple(float(ends[n].iloc[-1]) for n in AXES))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield out[names]
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return words.groupBy("job_id").applyInPandasWithState(step, MODAL, "x double, y double, z double", "append", timeout)
 
 
 def dirty_region(cut: DataFrame) -> DataFrame:
@@ -53,31 +64,94 @@ def merged(known: DataFrame | None, cut: DataFrame) -> DataFrame:
 
 
 class RemovedTable:
-    """A table of removed cells that micro-batches are merged into, one version a batch.
+    """Removed cells that micro-batches add to, in a folder of shared storage.
 
-    A batch that is replayed after a failure writes its version again; a version is
-    read only once it is whole. Readers get the last one.
+    A batch is written as its own part, ``cuts/batch=N``, so work grows with the batch and
+    not with what is known. Each time the number of batches has doubled, the parts are put
+    together as ``whole/batch=N``. What is there is told by the folder alone, by the marker
+    that Spark writes last: an object made anew on the same folder, as after a restart,
+    goes on from there. A batch that is replayed replaces its part and changes nothing else.
     """
 
+    #: Batches after which parts are put together for the first time.
+    FIRST_WHOLE = 8
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.version = -1
 
-    def read(self) -> DataFrame | None:
-        return None if self.version < 0 else self.spark.read.parquet(f"{self.folder}/v={self.version}")
+    def _written(self, kind: str) -> list[int]:
+        """Numbers of the batches whose part or whole is complete."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath() for s in fs.listStatus(path)]
+        done = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
+
+    @property
+    def version(self) -> int:
+        """The last batch that was added, -1 if none."""
+        return max(self._written("cuts"), default=-1)
+
+    def read(self, until: int | None = None) -> DataFrame | None:
+        """Removed cells after the batch ``until``, by default after the last; None where there are none."""
+        fits = lambda n: until is None or n <= until
+        whole = max(filter(fits, self._written("whole")), default=-1)
+        paths = [f"{self.folder}/cuts/batch={n}" for n in self._written("cuts") if n > whole and fits(n)]
+        paths += [f"{self.folder}/whole/batch={whole}"] if whole >= 0 else []
+        if not paths:
+            return None
+        return merged(None, self.spark.read.parquet(*paths))
 
     def add(self, cut: DataFrame, batch: int) -> DataFrame:
-        """Merges a batch; returns its dirty region."""
-        merged(self.read() if self.version != batch else self._before(batch), cut).write.mode("overwrite").parquet(f"{self.folder}/v={batch}")
-        self.previous, self.version = (self.version if self.version != batch else self.previous), batch
-        return dirty_region(cut)
+        """Adds a batch; returns its dirty region."""
+        part = f"{self.folder}/cuts/batch={batch}"
+        cut.write.mode("overwrite").parquet(part)
+        wholes = self._written("whole")
+        # A batch that was put together already and comes again has brought the same cells.
+        if batch + 1 >= max(self.FIRST_WHOLE, 2 * (max(wholes, default=-1) + 1)):
+            self.read(batch).write.mode("overwrite").parquet(f"{self.folder}/whole/batch={batch}")
+        return dirty_region(self.spark.read.schema(cut.schema).parquet(part))
+
+
+class BoundField:
+    """A distance field that follows a table of one job's removed cells, batch by batch.
+
+    Each batch computes the field anew around its dirty region alone and writes a version;
+    the last whole version before a batch is read from the folder, so that replays and
+    restarts give the same field. Versions before the last two are deleted.
+    """
 
-    def _before(self, batch: int) -> DataFrame | None:
-        return None if self.previous < 0 else self.spark.read.parquet(f"{self.folder}/v={self.previous}")
+    def __init__(self, table: RemovedTable, grid: Grid, folder: str, band: int = sdf.BAND) -> None:
+        self.table, self.grid, self.band = table, grid, band
+        self.versions = RemovedTable(table.spark, folder)
+
+    def read(self, until: int | None = None) -> DataFrame:
+        """The field after the batch ``until``, by default after the last; of solid stock where there was none."""
+        done = [n for n in self.versions._written("field") if until is None or n <= until]
+        if not done:
+            return sdf.from_cells(lattice.lattice(self.table.spark, self.grid).withColumn("material", F.lit(True)), self.grid, self.band)
+        return self.table.spark.read.parquet(f"{self.versions.folder}/field/batch={done[-1]}")
+
+    def update(self, dirty: DataFrame, batch: int) -> None:
+        """Called with each batch's dirty region; see :func:`listen`."""
+        box = dirty.agg(*(F.min(f"min_{n}").alias(f"min_{n}") for n in AXES), *(F.max(f"max_{n}").alias(f"max_{n}") for n in AXES)).first()
+        field = self.read(batch - 1)
+        if box["min_x"] is not None:
+            cells = lattice.dense(self.table.spark, self.table.read(batch), self.grid)
+            field = updated_field(field, cells, self.grid, (tuple(box[f"min_{n}"] for n in AXES), tuple(box[f"max_{n}"] for n in AXES)), self.band)
+        field.write.mode("overwrite").parquet(f"{self.versions.folder}/field/batch={batch}")
+        for old in [n for n in self.versions._written("field") if n < batch][:-1]:
+            path = self.table.spark._jvm.org.apache.hadoop.fs.Path(f"{self.versions.folder}/field/batch={old}")
+            path.getFileSystem(self.table.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def listen(primitives: DataFrame, grid: Grid, table: RemovedTable, on_change: Callable[[DataFrame, int], None] | None = None):  # noqa: ANN201
-    """A writer (not started) that merges a stream of primitives and reports each batch's dirty region."""
+    """A writer (not started) that merges a stream of primitives and reports each batch's dirty region.
+
+    ``on_change`` may be ``BoundField.update``: the field is then bound to the cells until the query is stopped.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         dirty = table.add(lattice.removed(df, grid), number)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from kerf.grid import Grid
 from kerf.operators import lattice as L
 from kerf.operators import mesh as M
 from kerf.operators import sdf as S
+from kerf.plans.toolpath import COMMANDS, Tool
+from kerf.simulation import Simulation
 from kerf.sources import stl
 from tests.test_lattice import shapes
 
@@ -86,7 +89,7 @@ def test_faces_and_stl(spark, ball, tmp_path):
     quads = M.quads(faces, BALL)
     triangles, vertices = M.triangles(quads), M.vertices(quads, BALL)
     assert triangles.count() == triangles.select("tid").distinct().count() == 7296
-    facets = M.facets(triangles, vertices)
+    facets = M.facets(triangles, BALL)
     n = stl.write(facets, str(tmp_path / "ball.stl"))
     raw = (tmp_path / "ball.stl").read_bytes()
     assert n == 7296 and len(raw) == 84 + 50 * 7296 == 364_884 and struct.unpack("<I", raw[80:84]) == (7296,)
@@ -99,7 +102,7 @@ def test_faces_and_stl(spark, ball, tmp_path):
 
 
 def test_empty_stl(spark, ball):
-    none = M.facets(M.triangles(M.quads(M.faces(spark, ball, BALL).where("false"), BALL)), M.vertices(M.quads(M.faces(spark, ball, BALL), BALL), BALL))
+    none = M.facets(M.triangles(M.quads(M.faces(spark, ball, BALL).where("false"), BALL)), BALL)
     assert len(stl.to_bytes(none)) == 84
 
 
@@ -119,3 +122,43 @@ def test_dual_ball(field):
     assert quads.count() == 3648
     assert M.dual_triangles(quads).count() > 7000
     assert vertices.where(F.abs(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2 - 1) > 1e-6).count() == 0
+
+
+def test_smooth_export(spark, tmp_path):
+    """The smooth mesh goes to a file: wound one way, along the field's gradient into the material, and as many bytes as it has triangles."""
+    sim = Simulation(spark, Grid.centred((12, 12, 12), 1.0), Tool(4, 10, ball=True), start=(0, 0, 20))
+    sim.execute(spark.createDataFrame([(0, 0, "G1", 0.0, 0.0, 3.0, None, None, None, 100.0)], COMMANDS))
+    n = sim.export_stl(str(tmp_path / "a.stl"), smooth=True)
+    raw = (tmp_path / "a.stl").read_bytes()
+    assert n > 100 and len(raw) == 84 + 50 * n and int.from_bytes(raw[80:84], "little") == n
+    tri = np.frombuffer(raw[84:], np.dtype([("f", "<f4", (12,)), ("z", "<u2")]))["f"].reshape(-1, 4, 3)
+    # What the triangles enclose, with the sign of inward ones: less than the block and a cell around it.
+    volume = np.einsum("ij,ij->i", tri[:, 1], np.cross(tri[:, 2], tri[:, 3])).sum() / 6
+    assert -(13**3) < volume < -(9**3)
+    assert len(sim.stl_bytes()) % 50 == 84 % 50
+    direct = sim.direct_field(5)
+    assert direct.count() > 0 and direct.where("d >= 5").count() == 0
+    assert sim.facets(averaged=True).count() == sim.facets().count()
+
+
+def test_nearest_and_octree(spark):
+    """Against plain loops, on a small block."""
+    rng = np.random.default_rng(5)
+    solid = rng.random((8, 8, 8)) < 0.9
+    grid = Grid((0, 0, 0), (8, 8, 8), 1.0)
+    cells = spark.createDataFrame([(x, y, z, bool(solid[x, y, z])) for x in range(8) for y in range(8) for z in range(8)], "x int, y int, z int, material boolean")
+    surface = []
+    for x, y, z in np.ndindex(8, 8, 8):
+        near = [(x + dx, y + dy, z + dz) for dx, dy, dz in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]
+        if any(not all(0 <= c < 8 for c in p) or solid[p] != solid[x, y, z] for p in near):
+            surface.append((x, y, z))
+    for r in S.nearest_surface(cells, grid, 1, 10).collect():
+        some = [sum((a - b) ** 2 for a, b in zip(s, r[:3])) for s in surface if max(abs(a - b) for a, b in zip(s, r[:3])) <= 1]
+        want = min(some) ** 0.5 if some else 10.0
+        assert abs(r["d"] - (want if solid[r["x"], r["y"], r["z"]] else -want)) < 1e-12
+    field = cells.selectExpr("x", "y", "z", "CASE WHEN x < 4 THEN 3.0D ELSE x * 2.0D END AS d")
+    leaves = S.octree(field, grid, 3).groupBy("level").count().collect()
+    assert {r["level"]: r["count"] for r in leaves} == {2: 4, 0: 256}
+    listed = [tuple(r) for r in L.listed(cells.select("x", "y", "z"), grid).limit(9).collect()]
+    assert listed == [(k, 0, 0) for k in range(8)] + [(0, 1, 0)]
+    assert [tuple(r) for r in L.listed(cells.select("x", "y", "z"), grid, by_octree=True).limit(4).collect()] == [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0)]

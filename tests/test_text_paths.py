@@ -167,6 +167,60 @@ def test_removed_table(spark, tmp_path):
     assert table.read().count() == lattice.removed(whole, grid).count()
 
 
+def test_removed_table_restarts(spark, tmp_path, monkeypatch):
+    """An object made anew on the folder goes on; replays, of old batches too, change nothing; parts are put together."""
+    from kerf.scenarios import shapes
+
+    monkeypatch.setattr(incremental.RemovedTable, "FIRST_WHOLE", 2)
+    grid = Grid.centred((30, 12, 12), 1.0)
+    spheres = [("sphere", (x, 0, 0), (0, 0, 0), 2) for x in (-12, -9, -4, 1, 5, 9)]
+    cut = lambda some: lattice.removed(shapes(spark, *some), grid)
+    for k, sphere in enumerate(spheres):
+        incremental.RemovedTable(spark, str(tmp_path / "t")).add(cut([sphere]), k)
+        table = incremental.RemovedTable(spark, str(tmp_path / "t"))
+        assert table.version == k and table.read().count() == cut(spheres[: k + 1]).count()
+    for k in (5, 4):
+        incremental.RemovedTable(spark, str(tmp_path / "t")).add(cut([spheres[k]]), k)
+    # A part that was never finished isn't read.
+    (tmp_path / "t" / "cuts" / "batch=9").mkdir()
+    table = incremental.RemovedTable(spark, str(tmp_path / "t"))
+    assert table.version == 5 and table.read().count() == cut(spheres).count()
+    assert table._written("whole") == [1, 3] and table.read(2).count() == cut(spheres[:3]).count()
+    assert incremental.RemovedTable(spark, str(tmp_path / "none")).read() is None
+
+
+def test_bound_field(spark, tmp_path):
+    """A stream of primitives, stopped and started again, keeps the bound field as one computed from all cells."""
+    from kerf.operators import sdf
+    from kerf.scenarios import PRIMITIVE, shapes
+
+    grid, source = Grid.centred((16, 12, 12), 1.0), tmp_path / "in"
+    spheres = [("sphere", (x, 0, 0), (0, 0, 0), 2) for x in (-5, 0, 4)]
+    for k, part in enumerate((spheres[:1], spheres[1:2], spheres[2:])):
+        shapes(spark, *part).coalesce(1).write.mode("append").parquet(str(source))
+        table = incremental.RemovedTable(spark, str(tmp_path / "cells"))
+        field = incremental.BoundField(table, grid, str(tmp_path / "field"), 3)
+        seen = []
+
+        def on_change(dirty, number, field=field, seen=seen):  # noqa: ANN001, ANN202
+            seen.append(dirty.first()["job_id"])
+            field.update(dirty, number)
+
+        stream = spark.readStream.schema(PRIMITIVE).option("maxFilesPerTrigger", 1).parquet(str(source))
+        q = incremental.listen(stream, grid, table, on_change).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        assert seen == [0]
+        cut = lattice.removed(shapes(spark, *spheres[: k + 1]), grid)
+        assert table.read().count() == cut.count()
+        want = sdf.from_cells(lattice.dense(spark, cut, grid), grid, 3).withColumnRenamed("d", "e")
+        got = field.read()
+        assert got.count() == grid.cells and got.join(want, ["x", "y", "z"]).where("abs(d - e) > 1e-9").count() == 0
+    assert incremental.BoundField(incremental.RemovedTable(spark, str(tmp_path / "x")), grid, str(tmp_path / "y"), 3).read().count() == grid.cells
+
+
 def test_updated_field(spark):
     from kerf.operators import sdf
     from kerf.scenarios import shapes
