@@ -217,12 +217,17 @@ def _field_sql() -> str:
 
 
 FIELD_SQL = _field_sql()
-SIDES_SQL = " UNION ALL ".join(f"SELECT {k} AS side, {n[0]} AS dx, {n[1]} AS dy, {n[2]} AS dz" for k, (n, _) in enumerate(mesh.SIDES))
+#: Written out, so that they don't follow the operator's own tables: each side's outward normal, and its corners in the order of winding.
+SIDES_SQL = "SELECT * FROM (VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) v(side, dx, dy, dz)"
 FACES_SQL = f"""SELECT m.x, m.y, m.z, s.side FROM (SELECT * FROM ({CELLS_SQL}) WHERE material) m CROSS JOIN ({SIDES_SQL}) s
   LEFT JOIN (SELECT * FROM ({CELLS_SQL}) WHERE material) n ON n.x = m.x + s.dx AND n.y = m.y + s.dy AND n.z = m.z + s.dz WHERE n.x IS NULL"""
-CORNERS_SQL = " UNION ALL ".join(
-    f"SELECT {k} AS side, {i} AS corner, {c[0]} AS ox, {c[1]} AS oy, {c[2]} AS oz, {n[0]} AS nx, {n[1]} AS ny, {n[2]} AS nz" for k, (n, cs) in enumerate(mesh.SIDES) for i, c in enumerate(cs)
-)
+CORNERS_SQL = """SELECT * FROM (VALUES
+  (0, 0, 0, 0, 0, -1, 0, 0), (0, 1, 0, 0, 1, -1, 0, 0), (0, 2, 0, 1, 1, -1, 0, 0), (0, 3, 0, 1, 0, -1, 0, 0),
+  (1, 0, 1, 0, 0, 1, 0, 0), (1, 1, 1, 1, 0, 1, 0, 0), (1, 2, 1, 1, 1, 1, 0, 0), (1, 3, 1, 0, 1, 1, 0, 0),
+  (2, 0, 0, 0, 0, 0, -1, 0), (2, 1, 1, 0, 0, 0, -1, 0), (2, 2, 1, 0, 1, 0, -1, 0), (2, 3, 0, 0, 1, 0, -1, 0),
+  (3, 0, 0, 1, 0, 0, 1, 0), (3, 1, 0, 1, 1, 0, 1, 0), (3, 2, 1, 1, 1, 0, 1, 0), (3, 3, 1, 1, 0, 0, 1, 0),
+  (4, 0, 0, 0, 0, 0, 0, -1), (4, 1, 0, 1, 0, 0, 0, -1), (4, 2, 1, 1, 0, 0, 0, -1), (4, 3, 1, 0, 0, 0, 0, -1),
+  (5, 0, 0, 0, 1, 0, 0, 1), (5, 1, 1, 0, 1, 0, 0, 1), (5, 2, 1, 1, 1, 0, 0, 1), (5, 3, 0, 1, 1, 0, 0, 1)) v(side, corner, ox, oy, oz, nx, ny, nz)"""
 #: A small lattice for dual contours: the field around the parts' spheres.
 NODE_SQL = f"""SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z, CASE
   WHEN a.i BETWEEN 0 AND 63 AND b.i BETWEEN 0 AND 63 AND c.i BETWEEN 0 AND 63 THEN f.d
@@ -625,9 +630,9 @@ def dc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dual_vertex_sql() -> str:
     """Mean of crossings over the twelve edges, by coordinates."""
     parts = []
-    for a, b in mesh.EDGES:
+    for a, b in ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7)):
         t = f"(c{a} / (c{a} - c{b}))"
-        at = ", ".join(f"{n} + {mesh.CORNERS[a][k]} + {t} * {mesh.CORNERS[b][k] - mesh.CORNERS[a][k]} AS w{n}" for k, n in enumerate("xyz"))
+        at = ", ".join(f"{n} + {a >> k & 1} + {t} * {(b >> k & 1) - (a >> k & 1)} AS w{n}" for k, n in enumerate("xyz"))
         parts.append(f"SELECT x, y, z, {at} FROM cells WHERE (c{a} > 0) <> (c{b} > 0)")
     return f"WITH cells AS MATERIALIZED ({DUAL_CELLS_SQL}) SELECT x, y, z, avg(wx) AS px, avg(wy) AS py, avg(wz) AS pz FROM ({' UNION ALL '.join(parts)}) GROUP BY x, y, z"
 
@@ -640,7 +645,8 @@ def dc_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dual_quads_sql() -> str:
     rings = []
-    for axis, ring in enumerate(mesh.AROUND):
+    yz, zx, xy = ((0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 0, 1)), ((0, 0, 0), (0, 0, 1), (1, 0, 1), (1, 0, 0)), ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0))
+    for axis, ring in enumerate((yz, zx, xy)):
         joins = " ".join(f"JOIN c c{i} ON c{i}.x = c0.x + {o[0]} AND c{i}.y = c0.y + {o[1]} AND c{i}.z = c0.z + {o[2]}" for i, o in enumerate(ring) if i)
         rings.append(f"SELECT c0.x, c0.y, c0.z, {axis} AS axis FROM c c0 {joins} WHERE c0.x < 64 AND c0.y < 64 AND c0.z < 64")
     return f"WITH c AS MATERIALIZED (SELECT x, y, z FROM ({DUAL_CELLS_SQL})) {' UNION ALL '.join(rings)}"
