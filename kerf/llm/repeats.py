@@ -317,10 +317,12 @@ def _kinds(alike: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = alike.join(firsts, (F.col("g") == F.col("k")) & (F.col("s") == F.col("t")))
     copies = copies.where((F.col("row") != F.col("r")) | (F.col("start") != F.col("a"))).select("row", "start", "n")
     copies = materialize(copies, "copies")
-    number = kinds.groupBy(F.col("g").alias("k")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    # Written, so that Spark can split a gram of very many kinds where it joins.
+    number = materialize(kinds.groupBy(F.col("g").alias("k")).agg(F.count("*").alias("kinds")).where("kinds > 1"), "number")
     several = kinds.join(number, F.col("g") == F.col("k")).select("g", "kinds", *(f"first.{c}" for c in ("row", "start", "n", "anchor")))
     several = materialize(several, "several")
     discard(kinds)
+    discard(number)
     return copies, several
 
 

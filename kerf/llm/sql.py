@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from kerf.llm import rules
-
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
 #: All pairs that share a shingle are counted, so links are exact; components by repeated least labels.
@@ -32,9 +30,13 @@ SELECT h.doc_id, CAST(len(h.x) // 2 AS BIGINT) AS n_bytes, coalesce(t.gone, 0) A
 FROM h LEFT JOIN t ON t.doc_id = h.doc_id LEFT JOIN k ON k.doc_id = h.doc_id"""
 
 
-def _failures() -> str:
-    return " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(rules.RULES.values()))
-
+#: Written out, so that they don't follow the operator's own rules: the bits of the rules that failed.
+FAILURES = """CASE WHEN n_words < 50 THEN 1 ELSE 0 END
+  + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+  + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 4 ELSE 0 END
+  + CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END
+  + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
+  + CASE WHEN n_upper > n_lower THEN 32 ELSE 0 END"""
 
 RULE_LEDGER = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(text='text')} AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -46,8 +48,8 @@ f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_str
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words,
   len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, len(text) - len(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower
   FROM w LEFT JOIN m ON m.doc_id = w.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {rules.policy('base').mask} <> 0 AS base_failed,
-  failures & {rules.policy('web').mask} = 0 AS kept, failures FROM (SELECT *, CAST({_failures()} AS BIGINT) AS failures FROM f)"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
+  failures & 63 = 0 AS kept, failures FROM (SELECT *, CAST({FAILURES} AS BIGINT) AS failures FROM f)"""
 
 _LETTERS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
