@@ -4,6 +4,8 @@ From cells, the fixpoint of sweeping is a closed form: material is 0.1 at a surf
 and 0.5 elsewhere; an empty cell is 0.1 plus the number of steps to the nearest empty
 surface cell, cut at the band. Steps separate by axis, so six running minima give
 them, each over one line of cells: windows stay small and there are as many as lines.
+Cells are dealt by one coordinate, so that lines along two axes are whole: three
+exchanges make all windows.
 
 From primitives, a cell's value is the least signed distance of all whose index box
 holds it, and at most the band: one aggregation.
@@ -27,14 +29,21 @@ def _line(axis: str, keys: list[str]):  # noqa: ANN202
     return Window.partitionBy(*keys, *(a for a in AXES if a != axis)).orderBy(axis)
 
 
+def _slabs(df: DataFrame, axis: str, keys: list[str]) -> DataFrame:
+    """Rows dealt by one coordinate: lines along both other axes are whole then, and windows over them move nothing."""
+    return df.repartition(*keys, axis)
+
+
 def surface(cells: DataFrame, grid: Grid, keys: list[str] | None = None) -> DataFrame:
     """``cells`` (x, y, z, material) with ``surface``: one of 26 neighbours differs; outside is empty.
 
-    Least and greatest of three neighbours, one axis after the other.
+    Least and greatest of three neighbours, one axis after the other; rows end up dealt by y.
     """
     keys = keys or []
     df = cells.withColumn("_m", F.col("material").cast("int")).withColumns({"_lo": F.col("_m"), "_hi": F.col("_m")})
-    for k, a in enumerate(AXES):
+    for a in ("y", "z", "x"):
+        k = AXES.index(a)
+        df = _slabs(df, "y" if a == "x" else "x", keys) if a != "z" else df
         w = _line(a, keys).rowsBetween(-1, 1)
         edge = (F.col(a) == 0) | (F.col(a) == grid.dims[k] - 1)
         df = df.withColumns({"_lo": F.when(edge, F.lit(0)).otherwise(F.min("_lo").over(w)), "_hi": F.max("_hi").over(w)})
@@ -45,13 +54,14 @@ def surface(cells: DataFrame, grid: Grid, keys: list[str] | None = None) -> Data
 def surface6(cells: DataFrame, grid: Grid, keys: list[str] | None = None) -> DataFrame:
     """As :func:`surface` with 6 neighbours, where a cell at the lattice's edge always is one."""
     keys = keys or []
-    differs = F.lit(False)
-    for k, a in enumerate(AXES):
-        w = _line(a, keys)
+    df = cells.withColumn("surface", F.lit(False))
+    for a in ("y", "z", "x"):
+        df = _slabs(df, "y" if a == "x" else "x", keys) if a != "z" else df
+        w, differs = _line(a, keys), F.col("surface")
         for f in (F.lag, F.lead):
             differs = differs | (f("material").over(w) != F.col("material"))
-        differs = F.coalesce(differs, F.lit(True)) | (F.col(a) == 0) | (F.col(a) == grid.dims[k] - 1)
-    return cells.withColumn("surface", differs)
+        df = df.withColumn("surface", F.coalesce(differs, F.lit(True)) | (F.col(a) == 0) | (F.col(a) == grid.dims[AXES.index(a)] - 1))
+    return df
 
 
 def from_cells(cells: DataFrame, grid: Grid, band: float = BAND, keys: list[str] | None = None) -> DataFrame:
@@ -63,7 +73,9 @@ def from_cells(cells: DataFrame, grid: Grid, band: float = BAND, keys: list[str]
     df = surface(cells, grid, keys)
     far = float(sum(grid.dims) + band + 1)
     df = df.withColumn("_f", F.when(F.col("surface") & ~F.col("material"), 0.0).otherwise(far))
-    for a in AXES:
+    # The surface's rows are dealt by y, so lines along x and z are whole; one more exchange makes those along y.
+    for a in ("x", "z", "y"):
+        df = _slabs(df, "x", keys) if a == "y" else df
         w = _line(a, keys)
         onward = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         back = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)

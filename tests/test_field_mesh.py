@@ -162,3 +162,11 @@ def test_nearest_and_octree(spark):
     listed = [tuple(r) for r in L.listed(cells.select("x", "y", "z"), grid).limit(9).collect()]
     assert listed == [(k, 0, 0) for k in range(8)] + [(0, 1, 0)]
     assert [tuple(r) for r in L.listed(cells.select("x", "y", "z"), grid, by_octree=True).limit(4).collect()] == [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0)]
+
+
+def test_field_exchanges(spark):
+    """Three exchanges make the field's windows, whatever the order of the cells."""
+    grid = Grid((0, 0, 0), (6, 5, 4), 1.0)
+    cells = spark.createDataFrame([(x, y, z, (x + y * z) % 5 > 0) for x in range(6) for y in range(5) for z in range(4)], "x int, y int, z int, material boolean")
+    plan = S.from_cells(cells, grid)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 3
