@@ -99,9 +99,12 @@ def from_primitives(primitives: DataFrame, grid: Grid, band: float = BAND, salt:
     A capsule without length takes nothing away.
     """
     p, a, b, r = centre(grid), g.point("a"), g.point("b"), F.col("r")
-    sphere = F.col("shape") == "sphere"
-    some = primitives.where(sphere | (g.distance(a, b) >= g.SHORTEST_AXIS))
-    value = F.when(sphere, g.sphere_distance(p, a, r)).otherwise(g.capsule_distance(p, a, b, r))
+    some = primitives.where((F.col("shape") == "sphere") | (g.distance(a, b) >= g.SHORTEST_AXIS))
+    # A sphere is a capsule without an axis; the axis is prepared, so what is computed for each cell is short.
+    u = tuple(F.coalesce(f"u{n}", F.lit(0.0)) for n in AXES)
+    near_end = g.subtract(p, a)
+    t = F.when(F.col("point"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.col("axis"), g.dot(near_end, u))))
+    value = g.length(g.subtract(near_end, g.scale(u, t))) - r
     near = cells_in_boxes(index_box(some, grid, about_centre=True), salt).withColumn("_v", value).where(F.col("_v") < float(band))
     least = near.groupBy("job_id", "tx", "ty", "tz", *AXES).agg(F.min("_v").alias("d"))
     return least.select("job_id", *AXES, "d")
