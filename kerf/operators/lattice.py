@@ -2,9 +2,9 @@
 
 The stock is implicit: only removed cells are rows. A primitive is cut into the tiles
 its box touches, a few small rows; these are dealt by tile, and each task lists the
-cells of its tiles and tests them. As the tile is part of the key, the aggregation by
-cell that follows needs no second exchange. The work of a tile that very many
-primitives hit can be dealt to ``salt`` tasks, whose minima are then combined.
+cells of its tiles and tests them. A tile that very many primitives hit is dealt in
+slices of ``seq``, so no task gets more of a tile than a slice; each finds its minima by
+cell, and only those are exchanged and combined.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from kerf.grid import AXES, Grid
 
 #: Cells along the edge of a tile.
 TILE = 16
+#: Primitives of a tile are dealt in slices of 2^16 numbers of ``seq``.
+SLICE_BITS = 16
 KEY = ["job_id", "x", "y", "z"]
 
 
@@ -53,13 +55,17 @@ def index_box(primitives: DataFrame, grid: Grid, about_centre: bool = False) ->
 
 
 def cells_in_boxes(boxed: DataFrame, salt: int = 1, tile: int = TILE) -> DataFrame:
-    """Every cell of every box: the columns of ``boxed``, tx .. tz and x, y, z."""
+    """Every cell of every box: the columns of ``boxed``, tx .. tz and x, y, z.
+
+    ``salt`` deals each slice of a tile to further tasks.
+    """
     n = int(boxed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = boxed
     for a in AXES:
         span = F.sequence(F.floor(F.col(f"lo_{a}") / tile).cast("int"), F.floor(F.col(f"hi_{a}") / tile).cast("int"))
         tiles = tiles.withColumn(f"t{a}", F.explode(span))
-    keys = ["job_id", "tx", "ty", "tz"]
+    tiles = tiles.withColumn("_slice", F.shiftright("seq", SLICE_BITS))
+    keys = ["job_id", "tx", "ty", "tz", "_slice"]
     if salt > 1:
         tiles = tiles.withColumn("_salt", F.pmod(F.xxhash64("seq", "part"), F.lit(salt)).cast("int"))
         keys.append("_salt")
@@ -67,7 +73,7 @@ def cells_in_boxes(boxed: DataFrame, salt: int = 1, tile: int = TILE) -> DataFra
     for a in ("z", "y", "x"):
         first, last = F.greatest(F.col(f"lo_{a}"), F.col(f"t{a}") * tile), F.least(F.col(f"hi_{a}"), F.col(f"t{a}") * tile + tile - 1)
         cells = cells.withColumn(a, F.explode(F.sequence(first, last)))
-    return cells.drop("_salt")
+    return cells.drop("_slice", "_salt")
 
 
 def centre(grid: Grid) -> g.Point:

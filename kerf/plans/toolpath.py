@@ -1,20 +1,24 @@
 """From commands to segments to primitives.
 
-Order matters only here, and only within a job: windows are partitioned by job, so
-jobs run in parallel. Everything after is a set.
+Order matters only here, and only within a job. A job is cut into ranges of ``seq``, and
+ahead of each goes a row of what the ranges before it left behind; so jobs and ranges run in
+parallel, and only one row a range is put in order over the whole job. Everything after is a set.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kerf.functions import geometry as g
 
 COMMANDS = "job_id long, seq long, kind string, x double, y double, z double, a double, b double, c double, feed double"
 Vec = tuple[float, float, float]
+#: Commands are put in order within ranges of 2^20 numbers of ``seq``.
+RANGE_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -34,16 +38,35 @@ class Tool:
         return self.diameter / 2
 
 
+def _by_range(rows: DataFrame, ends: list[Column], known: Callable[[WindowSpec], list[Column]]) -> tuple[DataFrame, WindowSpec]:
+    """``rows`` with a row ahead of each range of a job, where ``_own`` is false, and the window over a range.
+
+    ``ends`` sum up a range. ``known`` makes of them, over the ranges before, the columns of
+    the row ahead; columns of ``rows`` that it doesn't name are null there.
+    """
+    rows = rows.withColumns({"_range": F.shiftright("seq", RANGE_BITS), "_own": F.lit(True)})
+    before = Window.partitionBy("job_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("job_id", "_range").agg(*ends).select("job_id", "_range", F.lit(False).alias("_own"), *known(before))
+    return rows.unionByName(ahead, allowMissingColumns=True), Window.partitionBy("job_id", "_range").orderBy("_own", "seq")
+
+
+def _last_known(n: str) -> Column:
+    """The last value of a range that isn't null."""
+    return F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq"))).alias(n)
+
+
 def modal(words: DataFrame, start: Vec = (0.0, 0.0, 0.0)) -> DataFrame:
     """Commands from rows of job_id, seq, code, x, y, z, f: an axis without a word stays where it was.
 
     The feed isn't carried on, and is 0 for rapid moves.
     """
-    w = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = words.select("job_id", "seq", "code", *"xyzf")
+    rows, w = _by_range(rows, [_last_known(n) for n in "xyz"], lambda before: [F.last(n, ignorenulls=True).over(before).alias(n) for n in "xyz"])
+    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     none = F.lit(None).cast("double")
-    axes = [F.coalesce(F.last(n, ignorenulls=True).over(w), F.lit(float(s))).alias(n) for n, s in zip("xyz", start)]
-    return words.select(
-        "job_id", "seq", F.when(F.col("code") == 0, "G0").otherwise("G1").alias("kind"), *axes,
+    axes = {n: F.coalesce(F.last(n, ignorenulls=True).over(w), F.lit(float(s))) for n, s in zip("xyz", start)}
+    return rows.withColumns(axes).where("_own").select(
+        "job_id", "seq", F.when(F.col("code") == 0, "G0").otherwise("G1").alias("kind"), *"xyz",
         none.alias("a"), none.alias("b"), none.alias("c"), F.when(F.col("code") == 1, F.coalesce("f", F.lit(0.0))).otherwise(0.0).alias("feed"),
     )
 
@@ -53,21 +76,29 @@ def segments(commands: DataFrame, start: Vec = (0.0, 0.0, 0.0), orientation: Vec
 
     A command starts where the last one ended. Only 5-axis commands turn the tool.
     """
-    w = Window.partitionBy("job_id").orderBy("seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     five = F.col("kind").endswith("_5")
-    ends = [F.col(n).alias(f"{n}1") for n in "xyz"]
-    starts = [F.coalesce(F.lag(n).over(w), F.lit(float(s))).alias(f"{n}0") for n, s in zip("xyz", start)]
-    turned = {n: F.when(five, F.coalesce(n, F.lit(0.0))) for n in "abc"}
-    turn0 = [F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(float(s))).alias(f"{n}0") for (n, c), s in zip(turned.items(), orientation)]
-    out = commands.select("job_id", "seq", "kind", "feed", *starts, *ends, *turn0, *(c.alias(f"{n}1") for n, c in turned.items()))
-    return out.withColumns({f"{n}1": F.coalesce(f"{n}1", f"{n}0") for n in "abc"})
+    turned = [F.when(five, F.coalesce(n, F.lit(0.0))).alias(f"_{n}") for n in "abc"]
+    rows = commands.select("job_id", "seq", "kind", "feed", F.struct(*"xyz").alias("_at"), *turned)
+    rows, w = _by_range(
+        rows,
+        [F.max_by("_at", "seq").alias("_at"), *(_last_known(f"_{n}") for n in "abc")],
+        lambda before: [F.last("_at").over(before).alias("_at"), *(F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_{n}") for n in "abc")],
+    )
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = {f"{n}0": F.lag("_at").over(w)[n] for n in "xyz"} | {f"{n}0": F.last(f"_{n}", ignorenulls=True).over(before) for n in "abc"}
+    out = rows.withColumns({n: F.coalesce(c, F.lit(float(s))) for (n, c), s in zip(starts.items(), (*start, *orientation))}).where("_own")
+    ends = [F.col("_at")[n].alias(f"{n}1") for n in "xyz"]
+    turns = [F.coalesce(f"_{n}", f"{n}0").alias(f"{n}1") for n in "abc"]
+    return out.select("job_id", "seq", "kind", "feed", *(f"{n}0" for n in "xyz"), *ends, *(f"{n}0" for n in "abc"), *turns)
 
 
 def steps(commands: DataFrame, done: int, count: int) -> DataFrame:
     """The next ``count`` commands after the first ``done`` of each job, by rank within the job."""
-    w = Window.partitionBy("job_id").orderBy("seq")
-    return commands.withColumn("_k", F.row_number().over(w)).where((F.col("_k") > done) & (F.col("_k") <= done + count)).drop("_k")
+    rows, w = _by_range(commands, [F.count("*").alias("_k")], lambda before: [F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k")])
+    # The row ahead is the first of its range and counts the commands before it.
+    rank = F.first("_k", ignorenulls=True).over(w) + F.row_number().over(w) - 1
+    taken = rows.withColumn("_k", rank).where(F.col("_own") & (F.col("_k") > done) & (F.col("_k") <= done + count))
+    return taken.select(*commands.columns)
 
 
 def progress(commands: DataFrame, done: int) -> DataFrame:

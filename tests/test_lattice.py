@@ -130,3 +130,34 @@ def test_5axis(spark):
     last = prims.orderBy(F.desc("part")).first()
     assert (round(last["bx"], 9), round(last["bz"], 9)) == (10.0, 0.0)
     assert L.removed(prims, grid).count() > 0
+
+
+def test_ranges_of_a_job(spark, monkeypatch):
+    """A job cut into ranges and a tile cut into slices give what they give whole, in more than one task."""
+    n = 300
+    words = spark.range(n).select(
+        F.lit(7).cast("long").alias("job_id"), (F.col("id") * 3 - 200).alias("seq"), (F.col("id") % 3).cast("int").alias("code"),
+        *(F.when(F.col("id") % k == 0, (F.col("id") * m % 5).cast("double")).alias(a) for a, k, m in (("x", 4, 3), ("y", 50, 7), ("z", 140, 11))), F.lit(None).cast("double").alias("f"),
+    )
+    grid, tool = Grid.centred((12, 12, 12), 1.0), Tool(2, 4)
+
+    def results():
+        commands_ = T.modal(words, (1.0, 2.0, 3.0))
+        turned = commands_.withColumns({"kind": F.when(F.col("seq") % 7 == 0, "G1_5").otherwise(F.col("kind")), "a": F.col("seq").cast("double")})
+        segs = T.segments(turned, (4.0, 5.0, 6.0), (7.0, 8.0, 9.0))
+        cut_ = L.removed(T.primitives(segs, tool, 1.0), grid)
+        return [commands_, segs, T.steps(commands_, 90, 120), cut_]
+
+    rows = lambda dfs: [sorted(map(tuple, df.collect()), key=repr) for df in dfs]
+    whole = rows(results())
+    assert [len(r) for r in whole[:3]] == [n, n, 120]
+    monkeypatch.setattr(T, "RANGE_BITS", 5)
+    monkeypatch.setattr(L, "SLICE_BITS", 5)
+    dfs = results()
+    assert rows(dfs) == whole
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in T.modal(words), T.segments(T.modal(words)), L.hits(T.primitives(T.segments(T.modal(words)), tool, 1.0), Grid.centred((4, 4, 4), 1.0)):
+            assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
