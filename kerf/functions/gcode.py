@@ -7,6 +7,9 @@ an error. Parameters of a code keep their order; of several with one name the fi
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,32 @@ PARAMETER = "struct<type:string,identifier:string,dval:double,ival:int,tval:stri
 _SPACE = "[\\s]+"
 
 
+@dataclass(frozen=True)
+class Dialect:
+    """What machines write differently: letters of codes with their type of line, and the marks of a line.
+
+    Letters of codes and ``number`` are single characters.
+    """
+
+    codes: tuple[tuple[str, str], ...] = (("G", "GCode"), ("M", "MCode"))
+    comment: str = ";"
+    opening: str = "("
+    closing: str = ")"
+    number: str = "N"
+    control: str = ":"
+
+    @property
+    def code_start(self) -> str:
+        return "^[" + "".join(re.escape(c) for c, _ in self.codes) + "]"
+
+    @property
+    def types(self) -> list[str]:
+        return [t for _, t in self.codes]
+
+
+USUAL = Dialect()
+
+
 def number_type(s: Column) -> Column:
     """Integer, Decimal or NaN. A sign may only be a leading minus; no exponent."""
     return F.when(s.rlike("^-?[0-9]+$"), "Integer").when(s.rlike("^-?(?=[.]?[0-9])[0-9]*[.][0-9]*$"), "Decimal").otherwise("NaN")
@@ -31,7 +60,7 @@ def _parameter(kind: Column, identifier: Column, value: Column | None) -> Column
     )
 
 
-def parameter(token: Column) -> Column:
+def parameter(token: Column, dialect: Dialect = USUAL) -> Column:
     """A token after the code: name=value, a code, a name with a number, a name, or text."""
 
     def valued(identifier: Column, value: Column) -> Column:
@@ -50,7 +79,7 @@ def parameter(token: Column) -> Column:
     alone = _parameter(F.lit("NoValue"), token, None)
     text = _parameter(F.lit("TextValue"), F.lit(None).cast("string"), token)
     return (
-        F.when(at > 0, equals).when(token.rlike("^[GM]"), code).when(token.rlike(split), number).when(F.length(token) == 1, alone).otherwise(text)
+        F.when(at > 0, equals).when(token.rlike(dialect.code_start), code).when(token.rlike(split), number).when(F.length(token) == 1, alone).otherwise(text)
     )
 
 
@@ -62,10 +91,10 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def parsed(lines: DataFrame, text: str = "text") -> DataFrame:
+def parsed(lines: DataFrame, text: str = "text", dialect: Dialect = USUAL) -> DataFrame:
     """``lines`` with type, n, code, params, comment and orig of each line."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    semicolon, opening, closing = F.instr(raw, ";"), F.instr(raw, "("), F.instr(raw, ")")
+    semicolon, opening, closing = F.instr(raw, dialect.comment), F.instr(raw, dialect.opening), F.instr(raw, dialect.closing)
     # Places count from 1: a comment at the very start is no trailing one.
     cut = F.when(semicolon > 0, semicolon).when((opening > 0) & (closing > 1), opening).otherwise(0)
     body = F.when(cut > 1, F.substring(raw, F.lit(1), cut - 1)).otherwise(raw)
@@ -74,33 +103,31 @@ def parsed(lines: DataFrame, text: str = "text") -> DataFrame:
     t0, t1 = F.get("_t", 0), F.get("_t", 1)
     whole = lambda t: F.substring(t, F.lit(2), F.length(t)).try_cast("int")
     strict = lambda t: F.when(t.rlike("^.[+-]?[0-9]+$"), whole(t))
-    is_n, is_gm, is_control = t0.startswith("N"), t0.rlike("^[GM]"), t0.startswith(":")
+    is_n, is_gm, is_control = t0.startswith(dialect.number), t0.rlike(dialect.code_start), t0.startswith(dialect.control)
     leading = F.when(is_n, t1).when(is_gm, t0)
-    code = F.when(leading.rlike("^[GM]"), strict(leading))
+    code = F.when(leading.rlike(dialect.code_start), strict(leading))
     number = F.when(is_n | is_gm, strict(t0))
-    broken = (is_n & (t1.isNull() | strict(t0).isNull() | (t1.rlike("^[GM]") & strict(t1).isNull()))) | (is_gm & strict(t0).isNull())
-    control = F.lower(F.substring(t0, F.lit(2), F.length(t0)))
+    broken = (is_n & (t1.isNull() | strict(t0).isNull() | (t1.rlike(dialect.code_start) & strict(t1).isNull()))) | (is_gm & strict(t0).isNull())
+    control = F.lower(F.substring(t0, F.lit(len(dialect.control) + 1), F.length(t0)))
+    kind = F.when(F.col("_raw").startswith(dialect.comment), "Comment").when(F.size("_t") == 0, "Blank")
+    kind = kind.when(t0.startswith(dialect.comment), "Comment").when(broken, "UnknownString")
+    for letter, line_type in dialect.codes:
+        kind = kind.when(leading.startswith(letter), line_type)
     kind = (
-        F.when(F.col("_raw").startswith(";"), "Comment")
-        .when(F.size("_t") == 0, "Blank")
-        .when(t0.startswith(";"), "Comment")
-        .when(broken, "UnknownString")
-        .when(leading.startswith("G"), "GCode")
-        .when(leading.startswith("M"), "MCode")
-        .when(is_n, "UnknownCode")
+        kind.when(is_n, "UnknownCode")
         .when(is_control, F.when(control == "if", "If").when(control == "else", "Else").when(control == "endif", "EndIf").otherwise("UnknownControl"))
         .otherwise("UnknownString")
     )
     df = bound(df, type=kind, _code=code, _n=number)
-    has_code, has_list = F.col("type").isin("GCode", "MCode"), F.col("type").isin("GCode", "MCode", "UnknownCode", "If", "Else", "EndIf", "UnknownControl")
+    has_code, has_list = F.col("type").isin(*dialect.types), F.col("type").isin(*dialect.types, "UnknownCode", "If", "Else", "EndIf", "UnknownControl")
     skip = F.when(has_code & is_n, 2).otherwise(1)
     rest = F.when(F.size("_t") > skip, F.slice("_t", skip + 1, F.size("_t") - skip)).otherwise(F.array().cast("array<string>"))
-    comment = F.when(F.col("type") == "Comment", F.substring(F.col("_raw"), F.greatest(F.instr("_raw", ";"), F.lit(1)), F.length("_raw")))
+    comment = F.when(F.col("type") == "Comment", F.substring(F.col("_raw"), F.greatest(F.instr("_raw", dialect.comment), F.lit(1)), F.length("_raw")))
     out = bound(
         df,
-        n=F.when(F.col("type").isin("GCode", "MCode", "UnknownCode"), F.col("_n")),
+        n=F.when(F.col("type").isin(*dialect.types, "UnknownCode"), F.col("_n")),
         code=F.when(has_code, F.col("_code")),
-        params=F.when(has_list, F.transform(rest, parameter)).otherwise(F.array().cast(f"array<{PARAMETER}>")),
+        params=F.when(has_list, F.transform(rest, lambda t: parameter(t, dialect))).otherwise(F.array().cast(f"array<{PARAMETER}>")),
         comment=comment.when(F.col("_cut") > 1, F.substring(F.col("_raw"), F.col("_cut"), F.length("_raw"))),
         orig=F.when(F.col("type") != "Blank", F.col("_body")),
     )

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerf.functions.gcode import bound, find_number, parsed
+from kerf.functions.gcode import USUAL, Dialect, bound, find_number, parsed
 from kerf.plans.toolpath import COMMANDS, modal
 
 Move = tuple  # (kind, x, y, z) or (kind, x, y, z, a, b, c), and feed by name in command()
@@ -27,16 +27,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(lines).alias("line_no", "text"))
 
 
-def moves(lines: DataFrame, job: str = "file", order: str = "line_no") -> DataFrame:
+def moves(lines: DataFrame, job: str = "file", order: str = "line_no", dialect: Dialect = USUAL) -> DataFrame:
     """G0 and G1 lines as rows of job_id, seq, code and the words X, Y, Z and F that they have."""
-    read = parsed(lines.select(F.col(job).alias("job_id"), F.col(order).alias("seq"), "text"))
+    read = parsed(lines.select(F.col(job).alias("job_id"), F.col(order).alias("seq"), "text"), dialect=dialect)
     words = bound(read, **{n.lower(): find_number(F.col("params"), n) for n in "XYZF"})
     return words.where((F.col("type") == "GCode") & F.col("code").isin(0, 1)).select("job_id", "seq", "code", *"xyzf")
 
 
-def read_program(spark: SparkSession, path: str, start: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+def read_program(spark: SparkSession, path: str, start: tuple[float, float, float] = (0.0, 0.0, 0.0), dialect: Dialect = USUAL) -> DataFrame:
     """Commands of all programs under ``path``; each is a job of its own."""
-    return modal(moves(read_lines(spark, path)), start)
+    return modal(moves(read_lines(spark, path), dialect=dialect), start)
 
 
 def command(kind: str, x: float, y: float, z: float, a: float | None = None, b: float | None = None, c: float | None = None, feed: float = 0.0) -> tuple:

@@ -64,6 +64,20 @@ def test_lines(spark):
     assert gcode.lines_of_type(gcode.parsed(df), "GCode").count() == 4
 
 
+def test_dialect(spark):
+    lines = ["G1 X1 % slow", "% all", "L5 G1 Y2", "H7 A1", "#else", "N5 G1", "M3"]
+    other = gcode.Dialect(codes=(("G", "GCode"), ("H", "Head")), comment="%", number="L", control="#")
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no int, text string")
+    got = {r["text"]: (r["type"], r["n"], r["code"], len(r["params"]), r["comment"]) for r in gcode.parsed(df, dialect=other).collect()}
+    assert got == {
+        "G1 X1 % slow": ("GCode", 1, 1, 1, "% slow"), "% all": ("Comment", None, None, 0, "% all"), "L5 G1 Y2": ("GCode", 5, 1, 1, None),
+        "H7 A1": ("Head", 7, 7, 1, None), "#else": ("Else", None, None, 0, None), "N5 G1": ("UnknownString", None, None, 0, None),
+        "M3": ("UnknownString", None, None, 0, None),
+    }
+    read = files.moves(df.withColumn("file", F.lit("a")), dialect=other).orderBy("seq").collect()
+    assert [(r["seq"], r["x"], r["y"]) for r in read] == [(0, 1, None), (2, None, 2)]
+
+
 def test_configuration(spark, tmp_path):
     (tmp_path / "m.xml").write_text(
         "<machine><name>five</name><axes>"
