@@ -63,8 +63,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Edges with a null end don't count. Each round is written to shared storage. Rounds grow
     with the logarithm of the number of vertices. Loops and repeated edges don't matter.
     """
-    now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b AND isnotnull(a + b)")
-    now = materialize(_contracted(now.where("a <> b")).distinct(), name)
+    now = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
+    now = materialize(_contracted(now).distinct(), name)
     while not _settled(now):
         now = materialize(_stars(now), name)
     roots = now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()

@@ -63,4 +63,40 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FRO
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.k, '')) AS items_sha256,
   coalesce(c.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_near_duplicates": NEAR, "op2_repeats": REPEATS, "op4_rules": RULE_LEDGER, "op9_decontaminate": DECONTAMINATE}
+#: Three rounds written out; the remainder is made positive first, so that division is by floor.
+CLUSTERS = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS id
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)),
+""" + "".join(
+    f"""a{k} AS (SELECT id, any_value(v) AS v, min(d * 16 + c) AS dc FROM (SELECT id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM v, c{k}) GROUP BY id),
+s{k} AS (SELECT dc % 16 AS c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT v, dc, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY 1, 2),
+c{k + 1} AS (SELECT c.c, coalesce(n.m, c.m) AS m FROM c{k} c LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{k} GROUP BY c) n ON n.c = c.c),
+"""
+    for k in range(3)
+) + """a3 AS (SELECT id, min(d * 16 + c) AS dc FROM (SELECT id, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c3) GROUP BY id)
+SELECT vec_id, CAST(dc % 16 AS INTEGER) AS cluster, CAST(dc // 16 AS BIGINT) AS distance, CAST(sum(dc // 16) OVER (PARTITION BY dc % 16) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dc // 16) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a3 JOIN v ON v.id = a3.id JOIN c3 ON c3.c = dc % 16"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_APART = "CAST(((p - q) * (p - q)) // (p + q) AS BIGINT)"
+
+#: Every group has every kept term of its language, written out.
+DIVERGENCE = rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(ts)) AS t FROM d) GROUP BY 1, 2 HAVING count(*) >= 10),
+n AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS t FROM d) SEMI JOIN k USING (lang, t) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+gn AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY 1, 2),
+ln AS (SELECT lang, t, sum(n) AS n FROM n GROUP BY 1, 2),
+lt AS (SELECT lang, sum(n) AS total FROM ln GROUP BY 1),
+p AS (SELECT g.lang, g.source, k.t, coalesce(n.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (coalesce(gn.total, 0) + 2 * v.v) AS BIGINT) AS p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.t = k.t),
+q AS (SELECT ln.lang, ln.t, CAST(1 + (1000000000::HUGEINT * (ln.n + 2)) // (lt.total + 2 * v.v) AS BIGINT) AS q FROM ln JOIN lt USING (lang) JOIN v USING (lang)),
+pv AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+tops AS (SELECT lang, source, 'term' AS part, t AS item, {_APART} AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM tops)) WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES: dict[str, str] = {"op1_near_duplicates": NEAR, "op2_repeats": REPEATS, "op4_rules": RULE_LEDGER, "op9_decontaminate": DECONTAMINATE, "op11_ball_clusters": CLUSTERS, "op13_source_divergence": DIVERGENCE}
