@@ -39,7 +39,7 @@ ASSIGN = re.compile("(" + _any_case("password|passwd|secret|token|api_?key") + "
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 PEM = re.compile("-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
-JWT = re.compile("eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}")
+JWT = re.compile("(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}")
 LONG = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 CANDIDATES = "array<struct<kind:string,start:int,end:int,value:long>>"
 
@@ -65,9 +65,14 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
         found += [("pem", m.start(), m.end(), m[0]) for m in PEM.finditer(text)]
     if "eyJ" in text:
         found += [("jwt", m.start(), m.end(), m[0]) for m in JWT.finditer(text)]
-    base = [(a, b) for _, a, b, _ in found]
+    taken = sorted((a, b) for _, a, b, _ in found)
+    at, upto = 0, 0
     for m in LONG.finditer(text):
-        if _mixed(m[0]) and not any(a < m.end() and m.start() < b for a, b in base) and entropy(m[0]) >= MIN_ENTROPY:
+        # Long strings come by their starts, so one walk over both lists tells which touch what is found.
+        while at < len(taken) and taken[at][0] < m.end():
+            upto = max(upto, taken[at][1])
+            at += 1
+        if upto <= m.start() and _mixed(m[0]) and entropy(m[0]) >= MIN_ENTROPY:
             found.append(("entropy", m.start(), m.end(), m[0]))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
