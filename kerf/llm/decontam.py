@@ -2,12 +2,16 @@
 
 Texts are normalised byte by byte: A-Z to lower case, everything outside 0-9, a-z and
 non-ASCII to white space; words are what is left. A window is 10 consecutive words of an
-item, or a whole item of fewer. The automaton holds every fifth run of six words of each
-item: one of them lies in each window, and it has about as many nodes as the items have
-bytes, where whole windows would have sixty times as many. One pass over a document finds
-all runs; where one occurs, the words around it are compared with the item's, and what
-agrees over a window or more is hit. Only then are word positions mapped back to code
-points of the original text.
+item, or a whole item of fewer. The automaton holds runs of six words of each item, so
+chosen that one lies in each window: of the next five the one that the fewest items have,
+the last of these, so that it is every fifth where all are as rare. So it has about as
+many nodes as the items have bytes, where whole windows would have sixty times as many,
+and phrases that many items begin with aren't searched where a rarer one is near. One
+pass over a document finds all runs; where one occurs, the words around it are compared
+with the item's, and what agrees over a window or more is hit. A run that more than
+``MANY`` places of items have is looked up by the windows around it instead, so its cost
+doesn't follow their number. Only then are word positions mapped back to code points of
+the original text.
 
 Documents are read once, whatever the benchmark's size, and no text is shuffled. Items lie
 in shared storage; a Python worker builds the automaton once and keeps it between tasks.
@@ -22,6 +26,7 @@ repeated results. A null item id counts for hits but isn't listed.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -36,8 +41,10 @@ from pyspark.sql import functions as F
 from kerf.llm.common import filter_rows, id_and_text, map_rows, shared_dir
 
 WINDOW = 10
-#: Words from the start of one run that the automaton holds to the next.
+#: Words from the start of one run that the automaton holds to the next, at most.
 STRIDE = 5
+#: Places of items that are compared one by one where a run occurs.
+MANY = 8
 #: Characters of items in one automaton.
 BLOCK_CHARS = 8_000_000
 #: Bytes of documents that are held where several automata take turns.
@@ -59,17 +66,30 @@ class Matcher:
         self.window = window
         same: dict[bytes, bytes] = {}
         self.items = [(i, [same.setdefault(w, w) for w in normalised(t or "").split()]) for i, t in items]
+        size = window - stride + 1
+        run_at = lambda words, at: b" %s " % b" ".join(words[at : at + min(size, len(words))])
+        often: Counter[bytes] = Counter()
+        for _, words in self.items:
+            if len(words) >= window:
+                often.update({run_at(words, at) for at in range(len(words) - size + 1)})
         runs: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(self.items):
-            n = len(words)
-            if n < window:
-                starts, size = range(min(n, 1)), n
-            else:
-                size = window - stride + 1
-                starts = range(0, n - size + 1, stride)
-            for at in starts:
-                runs.setdefault(b" %s " % b" ".join(words[at : at + size]), []).append((k, at))
+            for at in self._chosen(words, stride, lambda at, words=words: often[run_at(words, at)]):
+                runs.setdefault(run_at(words, at), []).append((k, at))
         self.places = list(runs.values())
+        #: Windows around runs that many places have, with their items.
+        self.windows: dict[bytes, set[int]] = {}
+        self.hot: set[int] = set()
+        for number, places in enumerate(self.places):
+            long = [(k, at) for k, at in places if len(self.items[k][1]) >= window]
+            if len(long) <= MANY:
+                continue
+            for k, at in long:
+                words = self.items[k][1]
+                for a in range(max(0, at + size - window), min(at, len(words) - window) + 1):
+                    self.windows.setdefault(b" ".join(words[a : a + window]), set()).add(k)
+            self.hot.add(number)
+            self.places[number] = [(k, at) for k, at in places if len(self.items[k][1]) < window]
         self.automaton = None
         if runs:
             self.automaton = ahocorasick.Automaton()
@@ -77,6 +97,16 @@ class Matcher:
                 self.automaton.add_word(run.decode("latin-1"), (number, run.count(b" ") - 1))
             self.automaton.make_automaton()
 
+    def _chosen(self, words: list[bytes], stride: int, often: Callable[[int], int]) -> Iterator[int]:
+        """Where runs begin of which each window has one, by how often a run occurs in the benchmark."""
+        if len(words) < self.window:
+            yield from range(min(len(words), 1))
+            return
+        last, ends = -1, len(words) - self.window + stride
+        while last + stride < ends:
+            last = min(range(last + 1, last + stride + 1), key=lambda at: (often(at), -at))
+            yield last
+
     def find(self, words: list[bytes], joined: bytes, mark: np.ndarray, found: set) -> None:
         """Marks the words that are hit: +1 in ``mark`` where a run of them begins, -1 where it ends."""
         if self.automaton is None:
@@ -88,10 +118,18 @@ class Matcher:
         blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
         last = np.searchsorted(blanks, [end for end, _ in hits]).tolist()
         total = len(words)
-        done: dict[tuple[int, int], int] = {}
+        done: dict[tuple[int | None, int], int] = {}
         for end, (_, (number, size)) in zip(last, hits):
+            start = end - size
+            if number in self.hot:
+                for a in range(max(0, end - self.window), min(start, total - self.window) + 1):
+                    items = self.windows.get(b" ".join(words[a : a + self.window])) if (None, a) not in done else None
+                    done[None, a] = 1
+                    if items:
+                        mark[a] += 1
+                        mark[a + self.window] -= 1
+                        found.update(self.items[k][0] for k in items)
             for k, at in self.places[number]:
-                start = end - size
                 # What agreed with the item at this distance is known up to there.
                 if done.get((k, start - at), -1) >= end:
                     continue
