@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -55,15 +56,52 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-#: Steps that give the same rows in the same partitions each time a plan runs.
-_STABLE = {"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View", "DataSourceV2ScanRelation", "RelationV2"}
+#: Steps over one file scan that leave each row where the file has it.
+_STABLE = {"Project", "Filter", "Relation", "LogicalRelation", "SubqueryAlias", "View"}
+#: Bits of a row's place in its file. Above are 30 of the file's number.
+ROW_BITS = 33
+#: Bits of a row's place within what :class:`Fetch` keeps as one file.
+PART_BITS = 17
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df``, or a copy on shared storage where its plan may deal rows anew each time it runs."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    names = {re.match(r"[\s:+|-]*!?(\w+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+|-]*!?\w", line)}
-    return df if names <= _STABLE else materialize(df, "stable")
+def _placed(df: DataFrame) -> tuple[Column, Column] | None:
+    """The file of each row and its place there, where ``df`` is a plain scan of Parquet files."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = [re.match(r"[\s:+|-]*!?(\w+)", line)[1] for line in plan.toString().splitlines() if re.match(r"[\s:+|-]*!?\w", line)]
+    if not set(names) <= _STABLE or sum("Relation" in n for n in names) != 1 or not plan.deterministic():
+        return None
+    try:
+        of_file = df.metadataColumn("_metadata")
+        path, place = of_file["file_path"], of_file["row_index"]
+        df.select(path, place).schema  # noqa: B018  resolves them
+    except AnalysisException:
+        return None
+    return path, place
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a column ``name`` of numbers that stay with their rows whenever and however the plan runs.
+
+    A number is made of a hash of the row's file and the row's place in it, so it doesn't
+    follow from how files are dealt to tasks, which changes with the executors at hand.
+    Files whose hashes agree get numbers of their own. Anything but a scan of Parquet
+    files that reads each once is written to shared storage first.
+    """
+    found = _placed(df)
+    if found:
+        path, place = found
+        file = F.shiftrightunsigned(F.xxhash64(path), 35)
+        files = df.select(path.alias("path"), file.alias("file"), place.alias("place")).groupBy("path", "file").agg(F.count("*").alias("rows"), F.max("place").alias("last"))
+        once = Window.partitionBy("file")
+        # Of a million files about a thousand pairs share 29 bits; only those come here.
+        odd = files.withColumn("same", F.count("*").over(once)).where("same > 1 OR rows > last + 1").select("path", "rows", "last").collect()
+        if any(r["rows"] > r["last"] + 1 for r in odd):
+            found = None
+    if not found:
+        return numbered(materialize(df, "stable"), name)
+    for k, p in enumerate(sorted(r["path"] for r in odd)):
+        file = F.when(path == p, F.lit((1 << 29) + k)).otherwise(file)
+    return df.select("*", F.shiftleft(file.cast("long"), ROW_BITS).bitwiseOR(place).alias(name))
 
 
 def discard(df: DataFrame) -> None:
@@ -86,10 +124,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Fetch:
     """Rows of a DataFrame by number, without a shuffle of that DataFrame.
 
-    ``rows`` is a stable DataFrame with a column ``row`` from ``monotonically_increasing_id``,
-    whose upper bits are the number of the partition. What is wanted of each partition is
-    written to shared storage as one file, and the task that reads the partition picks it up.
-    So only ``wanted`` moves, never texts that nobody asked for.
+    ``rows`` is a DataFrame with a column ``row`` from :func:`numbered`, whose upper bits tell
+    the input file and a range of its rows. What is wanted of each such part is written to
+    shared storage as one file, and whichever task reads the part picks it up. So only
+    ``wanted`` moves, never texts that nobody asked for.
     """
 
     def __init__(self, rows: DataFrame, wanted: DataFrame, at: str, name: str) -> None:
@@ -99,22 +137,23 @@ class Fetch:
         self.folder = folder = shared_dir(spark, name)
         self.given = [f for f in wanted.schema if f.name != at]
         kind = StructType([wanted.schema[at], *self.given])
-        dealt = wanted.select(at, *(f.name for f in self.given)).withColumn("_part", F.shiftright(F.col(at), 33))
+        dealt = wanted.select(at, *(f.name for f in self.given)).withColumn("_part", F.shiftright(F.col(at), PART_BITS))
         dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_part").sortWithinPartitions("_part", at)
         short_batches(spark)
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fs, root = pafs.FileSystem.from_uri(folder)
-            fs.create_dir(root, recursive=True)
             held: list[pa.RecordBatch] = []
             now = None
 
             def close() -> None:
-                own = f"{root}/_own-{now}-{uuid.uuid4().hex}"
+                fs, root = pafs.FileSystem.from_uri(folder)
+                name = _part_file(root, int(now))
+                fs.create_dir(name.rpartition("/")[0], recursive=True)
+                own = f"{name}-{uuid.uuid4().hex}"
                 with fs.open_output_stream(own) as out, pa.ipc.new_stream(out, held[0].schema) as stream:
                     for b in held:
                         stream.write_batch(b)
-                fs.move(own, f"{root}/{now}")
+                fs.move(own, name)
 
             for batch in batches:
                 part = batch.column("_part").to_numpy()
@@ -152,32 +191,29 @@ class Fetch:
             arrow = to_arrow_schema(out)
             given_out = to_arrow_schema(made) if made else None
             step = make() if make else None
-            wanted = None
-            for batch in batches:
+            part, wanted, place = None, None, None
+            for batch in _by_part(batches):
                 row = batch.column(0).to_numpy()
-                if not len(row):
-                    continue
-                if wanted is None:
+                if part != row[0] >> PART_BITS:
+                    part = row[0] >> PART_BITS
                     fs, root = pafs.FileSystem.from_uri(folder)
-                    path = f"{root}/{row[0] >> 33}"
-                    if fs.get_file_info(path).type != pafs.FileType.File:
-                        wanted = False
-                    else:
+                    path = _part_file(root, int(part))
+                    wanted = None
+                    if fs.get_file_info(path).type == pafs.FileType.File:
                         with fs.open_input_stream(path) as source:
                             wanted = pa.ipc.open_stream(source).read_all().combine_chunks()
-                        place = wanted.column(0).to_numpy()
-                if wanted is False and not others:
+                    place = np.zeros(0, np.int64) if wanted is None else wanted.column(0).to_numpy()
+                if wanted is None and not others:
                     continue
-                at = np.zeros(0, np.int64) if wanted is False else place
-                a, b = np.searchsorted(at, [row[0], row[-1] + 1])
+                a, b = np.searchsorted(place, [row[0], row[-1] + 1])
                 if others:
                     hit = np.full(len(row), -1)
-                    hit[np.searchsorted(row, at[a:b])] = np.arange(a, b)
+                    hit[np.searchsorted(row, place[a:b])] = np.arange(a, b)
                     own = pa.array(np.maximum(hit, 0), mask=hit < 0)
-                    mine = [pa.nulls(len(row), f.type) if wanted is False else wanted.column(f.name).combine_chunks().take(own) for f in list(arrow)[len(columns) :]]
+                    mine = [pa.nulls(len(row), f.type) if wanted is None else wanted.column(f.name).combine_chunks().take(own) for f in list(arrow)[len(columns) :]]
                     cols = [batch.column(k + 1) for k in range(len(columns))] + mine
                 elif a < b:
-                    take = pa.array(np.searchsorted(row, at[a:b]))
+                    take = pa.array(np.searchsorted(row, place[a:b]))
                     cols = [batch.column(k + 1).take(take) for k in range(len(columns))] + [wanted.column(c).slice(a, b - a).combine_chunks() for c in given]
                 else:
                     continue
@@ -191,6 +227,20 @@ class Fetch:
         return some.mapInArrow(lambda batches: released(run(batches)), made or out)
 
 
+def _part_file(root: str, part: int) -> str:
+    return f"{root}/{part % 1024}/{part}"
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, with a batch for each part of numbers in the first column."""
+    for batch in batches:
+        part = batch.column(0).to_numpy() >> PART_BITS
+        turn = (np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()
+        for a, b in zip([0, *turn], [*turn, len(part)]):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import Fetch, discard, id_and_text, map_rows, materialize, released, short_batches, stable
+from kerf.llm.common import Fetch, discard, id_and_text, map_rows, materialize, numbered, released, short_batches
 from kerf.llm.graph import components
 
 WIDTH = 5
@@ -477,11 +477,13 @@ def candidate_edges(reps: DataFrame, by: Plan) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, percent: int = PERCENT) -> DataFrame:
     """``doc_id, row, n_shingles, component_id`` of each row of ``docs``.
 
-    ``row`` is the number that ``monotonically_increasing_id`` gives a row of ``docs``, which
-    must be stable, if that number is used elsewhere. Links need a similarity of ``percent`` at least, from 50 to 100.
+    ``row`` is the number of the row. Links need a similarity of ``percent`` at least, from 50 to 100.
     """
+    return _near(numbered(id_and_text(docs, id_col, text_col)), limit, percent)
+
+
+def _near(rows: DataFrame, limit: int, percent: int) -> DataFrame:
     by = plan(percent)
-    rows = stable(id_and_text(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
 
     def make():  # noqa: ANN202
         known = Words()
@@ -525,16 +527,15 @@ def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows that share an id and a component count as one document. Rows whose
     component has no id can't be told apart and all stay.
     """
-    docs = stable(docs)
-    got = near_duplicates(docs, percent=percent)
-    first = F.struct(~F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
-    one = got.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min_by("row", first).alias("row")).select("row")
-    keep = one.unionAll(got.where("component_id IS NULL").select("row"))
     # The row number gets a name that no column has.
     name = "row"
     while name in docs.columns:
         name += "_"
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    rows = numbered(docs, name)
+    got = _near(rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(name).alias("row")), LIMIT, percent)
+    first = F.struct(~F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
+    one = got.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min_by("row", first).alias("row")).select("row")
+    keep = one.unionAll(got.where("component_id IS NULL").select("row"))
     return rows.join(keep.withColumnRenamed("row", name), name, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

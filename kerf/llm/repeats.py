@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kerf.llm.common import Fetch, discard, free_shuffles, id_and_text, map_rows, materialize, released, short_batches, stable
+from kerf.llm.common import Fetch, discard, free_shuffles, id_and_text, map_rows, materialize, numbered, released, short_batches
 from kerf.llm.neardup import mix
 from kerf.llm.suffixarray import permuted_prefixes, suffix_array
 
@@ -344,7 +344,7 @@ def cut(raw: bytes, spans: list[int] | None, width: int = WIDTH) -> tuple[bytes,
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of each row of ``docs``."""
-    rows = stable(id_and_text(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered(id_and_text(docs, id_col, text_col))
     found = repeated_strings(rows, width, hot)
     # Lists are bounded by the length of a document.
     lists = found.groupBy(F.col("row").alias("at")).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("spans"))
