@@ -91,8 +91,8 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def parsed(lines: DataFrame, text: str = "text", dialect: Dialect = USUAL) -> DataFrame:
-    """``lines`` with type, n, code, params, comment and orig of each line."""
+def _classified(lines: DataFrame, text: str, dialect: Dialect) -> DataFrame:
+    """``lines`` with the type of each line and what it is read from; its parameters aren't read yet."""
     raw = F.coalesce(F.col(text), F.lit(""))
     semicolon, opening, closing = F.instr(raw, dialect.comment), F.instr(raw, dialect.opening), F.instr(raw, dialect.closing)
     # Places count from 1: a comment at the very start is no trailing one.
@@ -118,9 +118,40 @@ def parsed(lines: DataFrame, text: str = "text", dialect: Dialect = USUAL) -> Da
         .when(is_control, F.when(control == "if", "If").when(control == "else", "Else").when(control == "endif", "EndIf").otherwise("UnknownControl"))
         .otherwise("UnknownString")
     )
-    df = bound(df, type=kind, _code=code, _n=number)
+    return bound(df, type=kind, _code=code, _n=number, _skip=F.when(F.coalesce(leading.rlike(dialect.code_start), F.lit(False)) & is_n, 2).otherwise(1))
+
+
+def code_words(lines: DataFrame, letters: str, kind: str = "GCode", text: str = "text", dialect: Dialect = USUAL, others: bool = False) -> DataFrame:
+    """``lines`` of one type with ``code`` and, by letter, the number of the first parameter of that name.
+
+    As :func:`find_number` has it of :func:`parsed` lines, without reading any other
+    parameter: a pattern finds the first token of that name. With ``others``, all other
+    lines come as well, with nulls.
+    """
+    df = _classified(lines, text, dialect)
+    of_kind = F.col("type") == kind
+    df = df if others else df.where(of_kind)
+    df = bound(df, code=F.when(of_kind, F.col("_code")), _rest=F.when(of_kind, F.array_join(F.slice("_t", F.col("_skip") + 1, F.size("_t")), " ")))
+    number = "-?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)"
+    read = lambda n: F.regexp_extract("_rest", f"(?:^| ){re.escape(n)}(=[^ ]*|{number}|)(?= |$)", 1)
+    is_code = [c for c, _ in dialect.codes]
+    df = bound(df, **{f"_at_{n}": F.lit("") if n in is_code else read(n) for n in letters})
+    df = bound(df, **{f"_of_{n}": F.when(F.col(f"_at_{n}").startswith("="), F.substring(f"_at_{n}", 2, 1 << 30)).otherwise(F.col(f"_at_{n}")) for n in letters})
+
+    def value(v: Column) -> Column:
+        # A whole number too large for an int is text.
+        is_number = (v != "") & v.rlike("^-?(?=[.]?[0-9])[0-9]*[.]?[0-9]*$") & (v.contains(".") | v.try_cast("int").isNotNull())
+        return F.when(is_number, v.try_cast("double"))
+
+    df = bound(df, **{n.lower(): value(F.col(f"_of_{n}")) for n in letters})
+    return df.drop("_raw", "_cut", "_body", "_t", "_code", "_n", "_skip", "_rest", *(f"_{k}_{n}" for k in ("at", "of") for n in letters))
+
+
+def parsed(lines: DataFrame, text: str = "text", dialect: Dialect = USUAL) -> DataFrame:
+    """``lines`` with type, n, code, params, comment and orig of each line."""
+    df = _classified(lines, text, dialect)
     has_code, has_list = F.col("type").isin(*dialect.types), F.col("type").isin(*dialect.types, "UnknownCode", "If", "Else", "EndIf", "UnknownControl")
-    skip = F.when(has_code & is_n, 2).otherwise(1)
+    skip = F.when(has_code, F.col("_skip")).otherwise(1)
     rest = F.when(F.size("_t") > skip, F.slice("_t", skip + 1, F.size("_t") - skip)).otherwise(F.array().cast("array<string>"))
     comment = F.when(F.col("type") == "Comment", F.substring(F.col("_raw"), F.greatest(F.instr("_raw", dialect.comment), F.lit(1)), F.length("_raw")))
     out = bound(
@@ -131,7 +162,7 @@ def parsed(lines: DataFrame, text: str = "text", dialect: Dialect = USUAL) -> Da
         comment=comment.when(F.col("_cut") > 1, F.substring(F.col("_raw"), F.col("_cut"), F.length("_raw"))),
         orig=F.when(F.col("type") != "Blank", F.col("_body")),
     )
-    return out.drop("_raw", "_cut", "_body", "_t", "_code", "_n")
+    return out.drop("_raw", "_cut", "_body", "_t", "_code", "_n", "_skip")
 
 
 def find(params: Column, identifier: str) -> Column:

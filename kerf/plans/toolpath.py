@@ -1,8 +1,10 @@
 """From commands to segments to primitives.
 
-Order matters only here, and only within a job. A job is cut into ranges of ``seq``, and
-ahead of each goes a row of what the ranges before it left behind; so jobs and ranges run in
-parallel, and only one row a range is put in order over the whole job. Everything after is a set.
+Order matters only here, and only within a job. A job is cut into ranges of ``seq``, which
+are put in order apart from each other; what a range leaves behind is one row, and only
+these rows are put in order over the whole job. Rows and ends of ranges come from one
+exchange, so what stands before, parsing included, is read and done once. Everything
+after is a set.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from kerf.functions import geometry as g
+from kerf.plans.scan import carried, last_known, onward, two_level
 
 COMMANDS = "job_id long, seq long, kind string, x double, y double, z double, a double, b double, c double, feed double"
 Vec = tuple[float, float, float]
@@ -38,37 +41,39 @@ class Tool:
         return self.diameter / 2
 
 
-def _by_range(rows: DataFrame, ends: list[Column], known: Callable[[WindowSpec], list[Column]]) -> tuple[DataFrame, WindowSpec]:
-    """``rows`` with a row ahead of each range of a job, where ``_own`` is false, and the window over a range.
+def _scanned(rows: DataFrame, local: Callable[[WindowSpec], dict[str, Column]], ends: list[Column], before: Callable[[WindowSpec], list[Column]]) -> DataFrame:
+    return two_level(rows.withColumn("_range", F.shiftright("seq", RANGE_BITS)), "job_id", "_range", "seq", local, ends, before)
 
-    ``ends`` sum up a range. ``known`` makes of them, over the ranges before, the columns of
-    the row ahead; columns of ``rows`` that it doesn't name are null there.
-    """
-    rows = rows.withColumns({"_range": F.shiftright("seq", RANGE_BITS), "_own": F.lit(True)})
-    before = Window.partitionBy("job_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = rows.groupBy("job_id", "_range").agg(*ends).select("job_id", "_range", F.lit(False).alias("_own"), *known(before))
-    return rows.unionByName(ahead, allowMissingColumns=True), Window.partitionBy("job_id", "_range").orderBy("_own", "seq")
 
+def move_kind(code: Column) -> Column:
+    return F.when(code == 0, "G0").otherwise("G1").alias("kind")
 
-def _last_known(n: str) -> Column:
-    """The last value of a range that isn't null."""
-    return F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq"))).alias(n)
 
+def feed() -> Column:
+    """The feed isn't carried on, and is 0 for rapid moves."""
+    return F.when(F.col("code") == 1, F.coalesce("f", F.lit(0.0))).otherwise(0.0).alias("feed")
 
-def modal(words: DataFrame, start: Vec = (0.0, 0.0, 0.0)) -> DataFrame:
-    """Commands from rows of job_id, seq, code, x, y, z, f: an axis without a word stays where it was.
 
-    The feed isn't carried on, and is 0 for rapid moves.
-    """
+def modal(words: DataFrame, start: Vec = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Commands from rows of job_id, seq, code, x, y, z, f: an axis without a word stays where it was."""
     rows = words.select("job_id", "seq", "code", *"xyzf")
-    rows, w = _by_range(rows, [_last_known(n) for n in "xyz"], lambda before: [F.last(n, ignorenulls=True).over(before).alias(n) for n in "xyz"])
-    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _scanned(rows, lambda w: {f"_{n}": onward(n, w) for n in "xyz"}, [last_known(n) for n in "xyz"], lambda w: [carried(n, w) for n in "xyz"])
     none = F.lit(None).cast("double")
-    axes = {n: F.coalesce(F.last(n, ignorenulls=True).over(w), F.lit(float(s))) for n, s in zip("xyz", start)}
-    return rows.withColumns(axes).where("_own").select(
-        "job_id", "seq", F.when(F.col("code") == 0, "G0").otherwise("G1").alias("kind"), *"xyz",
-        none.alias("a"), none.alias("b"), none.alias("c"), F.when(F.col("code") == 1, F.coalesce("f", F.lit(0.0))).otherwise(0.0).alias("feed"),
-    )
+    axes = [F.coalesce(f"_{n}", f"_from_{n}", F.lit(float(s))).alias(n) for n, s in zip("xyz", start)]
+    return rows.select("job_id", "seq", move_kind(F.col("code")), *axes, none.alias("a"), none.alias("b"), none.alias("c"), feed())
+
+
+def modal_segments(words: DataFrame, start: Vec = (0.0, 0.0, 0.0)) -> DataFrame:
+    """The segments of :func:`modal`'s commands, in one scan: where an axis was before a row is known with where it is after."""
+    rows = words.select("job_id", "seq", "code", *"xyzf")
+    rows = _scanned(
+        rows,
+        lambda w: {f"_{n}": onward(n, w) for n in "xyz"} | {f"_{n}0": onward(n, w, -1) for n in "xyz"},
+        [last_known(n) for n in "xyz"],
+        lambda w: [carried(n, w) for n in "xyz"],
+    )
+    ends = [F.coalesce(f"_{n}{e}", f"_from_{n}", F.lit(float(s))).alias(f"{n}{e or 1}") for e in ("0", "") for n, s in zip("xyz", start)]
+    return rows.select("job_id", "seq", move_kind(F.col("code")), feed(), *ends, *(F.lit(0.0).alias(f"{n}{e}") for e in "01" for n in "abc"))
 
 
 def segments(commands: DataFrame, start: Vec = (0.0, 0.0, 0.0), orientation: Vec = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -78,27 +83,28 @@ def segments(commands: DataFrame, start: Vec = (0.0, 0.0, 0.0), orientation: Vec
     """
     five = F.col("kind").endswith("_5")
     turned = [F.when(five, F.coalesce(n, F.lit(0.0))).alias(f"_{n}") for n in "abc"]
-    rows = commands.select("job_id", "seq", "kind", "feed", F.struct(*"xyz").alias("_at"), *turned)
-    rows, w = _by_range(
-        rows,
-        [F.max_by("_at", "seq").alias("_at"), *(_last_known(f"_{n}") for n in "abc")],
-        lambda before: [F.last("_at").over(before).alias("_at"), *(F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_{n}") for n in "abc")],
+    at = [F.max_by(n, "seq").alias(f"_end_{n}") for n in "xyz"]
+    rows = _scanned(
+        commands.select("job_id", "seq", "kind", "feed", *"xyz", *turned),
+        lambda w: {"_first": F.row_number().over(w) == 1} | {f"_{n}": F.lag(n).over(w) for n in "xyz"} | {f"_{n}0": onward(f"_{n}", w, -1) for n in "abc"},
+        [*at, *(last_known(f"_{n}") for n in "abc")],
+        lambda w: [*(F.last(f"_end_{n}").over(w).alias(f"_from_{n}") for n in "xyz"), *(carried(f"_{n}", w) for n in "abc")],
     )
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    starts = {f"{n}0": F.lag("_at").over(w)[n] for n in "xyz"} | {f"{n}0": F.last(f"_{n}", ignorenulls=True).over(before) for n in "abc"}
-    out = rows.withColumns({n: F.coalesce(c, F.lit(float(s))) for (n, c), s in zip(starts.items(), (*start, *orientation))}).where("_own")
-    ends = [F.col("_at")[n].alias(f"{n}1") for n in "xyz"]
-    turns = [F.coalesce(f"_{n}", f"{n}0").alias(f"{n}1") for n in "abc"]
-    return out.select("job_id", "seq", "kind", "feed", *(f"{n}0" for n in "xyz"), *ends, *(f"{n}0" for n in "abc"), *turns)
+    starts = [F.coalesce(F.when(F.col("_first"), F.col(f"_from_{n}")).otherwise(F.col(f"_{n}")), F.lit(float(s))).alias(f"{n}0") for n, s in zip("xyz", start)]
+    turns = [F.coalesce(f"_{n}0", f"_from__{n}", F.lit(float(s))) for n, s in zip("abc", orientation)]
+    return rows.select(
+        "job_id", "seq", "kind", "feed", *starts, *(F.col(n).alias(f"{n}1") for n in "xyz"),
+        *(c.alias(f"{n}0") for n, c in zip("abc", turns)), *(F.coalesce(f"_{n}", c).alias(f"{n}1") for n, c in zip("abc", turns)),
+    )
 
 
 def steps(commands: DataFrame, done: int, count: int) -> DataFrame:
     """The next ``count`` commands after the first ``done`` of each job, by rank within the job."""
-    rows, w = _by_range(commands, [F.count("*").alias("_k")], lambda before: [F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k")])
-    # The row ahead is the first of its range and counts the commands before it.
-    rank = F.first("_k", ignorenulls=True).over(w) + F.row_number().over(w) - 1
-    taken = rows.withColumn("_k", rank).where(F.col("_own") & (F.col("_k") > done) & (F.col("_k") <= done + count))
-    return taken.select(*commands.columns)
+    rows = _scanned(
+        commands, lambda w: {"_k": F.row_number().over(w)}, [F.count("*").alias("_n")], lambda w: [F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_ahead")]
+    )
+    rank = F.col("_k") + F.coalesce("_ahead", F.lit(0))
+    return rows.where((rank > done) & (rank <= done + count)).select(*commands.columns)
 
 
 def progress(commands: DataFrame, done: int) -> DataFrame:

@@ -18,7 +18,9 @@ from kerf.grid import Grid
 from kerf.operators import lattice, mesh, sdf
 from kerf.plans import toolpath
 from kerf.plans.toolpath import Tool
-from kerf.sources.gcode import moves
+from kerf.sources import stl
+from kerf.sources.gcode import moves, read_lines, read_program
+from kerf.storage import shared_folder
 from kerf.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,7 +111,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolpath.segments(commands(spark, sf_dir))
+    return toolpath.modal_segments(words(spark, sf_dir).drop("ts"))
 
 
 def five_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +384,32 @@ def gcode_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolpath.modal(moves(text_lines(spark, sf_dir), "job_id", "seq")).select("job_id", "seq", "kind", "x", "z")
 
 
+def program_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The lines of each job as a file in shared storage, in order."""
+    folder = shared_folder(spark, "programs")
+    text_lines(spark, sf_dir).repartition("job_id").sortWithinPartitions("job_id", "seq").select("job_id", "text").write.partitionBy("job_id").text(folder)
+    return folder
+
+
+_JOB_OF = "CAST(regexp_extract({file}, 'job_id=(-?[0-9]+)', 1) AS BIGINT) AS job_id"
+LINES_DUCK = f"SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS line_no FROM ({TEXT_DUCK})"
+
+
+@query(f"SELECT job_id, CAST(line_no AS INT) AS line_no, text FROM ({LINES_DUCK})")
+def program_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to numbered lines; each file is read by as many tasks as it has parts."""
+    return read_lines(spark, program_folder(spark, sf_dir)).selectExpr(_JOB_OF.format(file="file"), "CAST(line_no AS INT) AS line_no", "text")
+
+
+@query(f"""SELECT job_id, CAST(line_no AS INT) AS line_no, CASE WHEN code = 0 THEN 'G0' ELSE 'G1' END AS kind, {', '.join(f"coalesce(last_value(t{n} IGNORE NULLS) OVER w, 0.0) AS {n}" for n in 'xyz')}
+FROM (SELECT *, {', '.join(f"CAST(nullif(regexp_extract(text, ' {n.upper()}=?(-?[0-9.]+)', 1), '') AS DOUBLE) AS t{n}" for n in 'xyz')} FROM ({LINES_DUCK}))
+WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def program_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to commands: read, parsed, numbered and made modal with one exchange of rows."""
+    got = read_program(spark, program_folder(spark, sf_dir))
+    return got.selectExpr(_JOB_OF.format(file="job_id"), "CAST(seq AS INT) AS line_no", "kind", "x", "y", "z")
+
+
 @query(SEGMENTS_SQL)
 def segments_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("job_id", "seq", "kind", "feed", *(f"{n}{k}" for n in "xyz" for k in (0, 1)))
@@ -621,6 +649,17 @@ def facet_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("tid", *(tidy(F.col(f"n{n}")).alias(f"n{n}") for n in "xyz"))
 
 
+_HALF = ", ".join(f"CAST(max(CASE WHEN corner = CASE h WHEN 0 THEN {a} ELSE {b} END THEN v{n} END) AS DOUBLE) AS v{i}{n}" for i, (a, b) in enumerate(((0, 0), (1, 2), (2, 3)), 1) for n in "xyz")
+
+
+@query(f"""SELECT CAST(nx AS DOUBLE) AS nx, CAST(ny AS DOUBLE) AS ny, CAST(nz AS DOUBLE) AS nz, {_HALF} FROM ({CORNER_ROWS}), (SELECT CAST(i AS INT) AS h FROM range(2) t(i)) GROUP BY x, y, z, side, h, nx, ny, nz""")
+def stl_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface written in parts with one commit, and its records read back."""
+    folder = shared_folder(spark, "stl")
+    stl.write_parts(mesh.facets(mesh.triangles(mesh.quads(face_table(spark, sf_dir), CUBE)), CUBE), folder)
+    return stl.read(spark, folder).select(*((F.col(c).cast("double") + 0.0).alias(c) for c in stl.FIELDS))
+
+
 @query(f"SELECT x, y, z, {', '.join(f'round(c{k}, 6) + 0.0 AS c{k}' for k in range(8))} FROM ({DUAL_CELLS_SQL})")
 def dc_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mesh.dual_cells(field_of(spark, sf_dir), CUBE, BAND)

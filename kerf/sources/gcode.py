@@ -5,38 +5,68 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
-from kerf.functions.gcode import USUAL, Dialect, bound, find_number, parsed
-from kerf.plans.toolpath import COMMANDS, modal
+from kerf.functions.gcode import USUAL, Dialect, code_words
+from kerf.plans.scan import carried, last_known, onward, two_level
+from kerf.plans.toolpath import COMMANDS, feed, move_kind
 
 Move = tuple  # (kind, x, y, z) or (kind, x, y, z, a, b, c), and feed by name in command()
 
 
+def _split(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, place, text of each line: the part of the file that a task reads, and an order within it."""
+    if not path:
+        raise ValueError("a path is needed")
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text")
+    )
+
+
+def _rank(w: WindowSpec) -> dict[str, Column]:
+    return {"_k": F.row_number().over(w)}
+
+
+def _ahead(w: WindowSpec) -> Column:
+    return F.coalesce(F.sum("_lines").over(w), F.lit(0)).alias("_ahead")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), text. A program is one row until its lines are numbered, so their order is sure.
+    """file, line_no (from 0), text. Lines end with CR, LF or both; a final line end adds no line.
 
-    Files are read in parallel; a final line end adds no line.
+    One file is read by as many tasks as it has parts of ``spark.sql.files.maxPartitionBytes``.
+    Lines are numbered within each part, and the lines of the parts before it are added.
     """
-    if not path:
-        raise ValueError("a path is needed")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    body = F.regexp_replace("value", "\\r?\\n\\z", "")
-    lines = F.when(F.length("value") > 0, F.split(body, "\\r\\n|\\r|\\n")).otherwise(F.array().cast("array<string>"))
-    return whole.select("file", F.posexplode(lines).alias("line_no", "text"))
+    lines = two_level(_split(spark, path), "file", "block", "place", _rank, [F.count("*").alias("_lines")], lambda w: [_ahead(w)])
+    return lines.select("file", (F.col("_ahead") + F.col("_k") - 1).alias("line_no"), "text")
 
 
 def moves(lines: DataFrame, job: str = "file", order: str = "line_no", dialect: Dialect = USUAL) -> DataFrame:
     """G0 and G1 lines as rows of job_id, seq, code and the words X, Y, Z and F that they have."""
-    read = parsed(lines.select(F.col(job).alias("job_id"), F.col(order).alias("seq"), "text"), dialect=dialect)
-    words = bound(read, **{n.lower(): find_number(F.col("params"), n) for n in "XYZF"})
-    return words.where((F.col("type") == "GCode") & F.col("code").isin(0, 1)).select("job_id", "seq", "code", *"xyzf")
+    words = code_words(lines.select(F.col(job).alias("job_id"), F.col(order).alias("seq"), "text"), "XYZF", dialect=dialect)
+    return words.where(F.col("code").isin(0, 1)).select("job_id", "seq", "code", *"xyzf")
 
 
 def read_program(spark: SparkSession, path: str, start: tuple[float, float, float] = (0.0, 0.0, 0.0), dialect: Dialect = USUAL) -> DataFrame:
-    """Commands of all programs under ``path``; each is a job of its own."""
-    return modal(moves(read_lines(spark, path), dialect=dialect), start)
+    """Commands of all programs under ``path``; each is a job of its own, and ``seq`` is the line.
+
+    Lines are parsed where they are read, and one exchange by parts of files gives both
+    their numbers and what axes without a word carry on.
+    """
+    words = code_words(_split(spark, path), "XYZF", dialect=dialect, others=True)
+    is_move = F.col("code").isin(0, 1)
+    rows = words.select("file", "block", "place", F.when(is_move, F.col("code")).alias("code"), *(F.when(is_move, F.col(n)).alias(n) for n in "xyzf"))
+    rows = two_level(
+        rows, "file", "block", "place",
+        lambda w: _rank(w) | {f"_{n}": onward(n, w) for n in "xyz"},
+        [F.count("*").alias("_lines"), *(last_known(n, "place") for n in "xyz")],
+        lambda w: [_ahead(w), *(carried(n, w) for n in "xyz")],
+    )
+    axes = [F.coalesce(f"_{n}", f"_from_{n}", F.lit(float(s))).alias(n) for n, s in zip("xyz", start)]
+    none = F.lit(None).cast("double")
+    seq = (F.col("_ahead") + F.col("_k") - 1).alias("seq")
+    return rows.where(F.col("code").isNotNull()).select(F.col("file").alias("job_id"), seq, move_kind(F.col("code")), *axes, none.alias("a"), none.alias("b"), none.alias("c"), feed())
 
 
 def command(kind: str, x: float, y: float, z: float, a: float | None = None, b: float | None = None, c: float | None = None, feed: float = 0.0) -> tuple:

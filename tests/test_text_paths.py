@@ -18,7 +18,7 @@ from kerf.sources import config
 from kerf.sources import gcode as files
 from kerf.streaming import incremental
 
-PROGRAM = "G0 Z10\nG0 X0 Y0\nG1 Z-5 F300\nG1 X10 Y10\nG1 Z10\n"
+PROGRAM = "% slot\nN1 G0 X-2.5 Z4\nG1 Z=-1.25 F80 ; down\n\nG1 X7.5\nM5\nG2 X1\nG0 Z4 Y3\n"
 
 
 def values(spark, *cols):
@@ -27,9 +27,9 @@ def values(spark, *cols):
 
 def test_program(spark, tmp_path):
     (tmp_path / "a.nc").write_text(PROGRAM)
-    got = [tuple(r)[2:6] + (r["feed"],) for r in files.read_program(spark, str(tmp_path / "a.nc")).orderBy("seq").collect()]
-    assert got == [("G0", 0, 0, 10, 0), ("G0", 0, 0, 10, 0), ("G1", 0, 0, -5, 300), ("G1", 10, 10, -5, 0), ("G1", 10, 10, 10, 0)]
-    assert files.read_lines(spark, str(tmp_path / "a.nc")).count() == 5
+    got = [tuple(r)[1:6] + (r["feed"],) for r in files.read_program(spark, str(tmp_path / "a.nc"), start=(0, 9, 0)).orderBy("seq").collect()]
+    assert got == [(1, "G0", -2.5, 9, 4, 0), (2, "G1", -2.5, 9, -1.25, 80), (4, "G1", 7.5, 9, -1.25, 0), (7, "G0", 7.5, 3, 4, 0)]
+    assert files.read_lines(spark, str(tmp_path / "a.nc")).count() == 8
 
 
 LINES = {
