@@ -80,9 +80,11 @@ def centre(grid: Grid) -> g.Point:
     return tuple(grid.world(F.col(n), k) for k, n in enumerate(AXES))
 
 
-def inside(grid: Grid) -> Column:
-    """Whether the cell's centre lies in the primitive of its row, prepared by :func:`index_box`."""
+def inside(grid: Grid, x: Column | None = None) -> Column:
+    """Whether the cell's centre lies in the primitive of its row, prepared by :func:`index_box`; with ``x``, of that cell of the line."""
     p, a, b, r = centre(grid), g.point("a"), g.point("b"), F.col("r")
+    if x is not None:
+        p = (grid.world(x, 0), *p[1:])
     u, n = g.point("u"), F.col("axis")
     t = g.dot(g.subtract(p, a), u)
     off = tuple(c - (d + e * t) for c, d, e in zip(p, a, u))

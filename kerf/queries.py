@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kerf import scenarios
 from kerf.functions import gcode, geometry as g
 from kerf.grid import Grid
-from kerf.operators import lattice, mesh, sdf
+from kerf.operators import lattice, mesh, runs, sdf
 from kerf.plans import toolpath
 from kerf.plans.toolpath import Tool
 from kerf.sources import stl
@@ -460,24 +460,43 @@ def capsule_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.removed(rods(spark, sf_dir, "capsule"), CUBE)
 
 
+def toolpath_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolpath.primitives_3axis(segments(spark, sf_dir), TOOL, BED.res)
+
+
+def toolpath_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.first_cuts(runs.tested(toolpath_primitives(spark, sf_dir), BED))
+
+
 @query(FIRST_CUT)
 def first_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.removed(toolpath.primitives_3axis(segments(spark, sf_dir), TOOL, BED.res), BED)
+    return lattice.removed(toolpath_primitives(spark, sf_dir), BED)
 
 
 @query(f"SELECT job_id, count(*) AS removed, {BED.cells} - count(*) AS remaining FROM ({FIRST_CUT}) GROUP BY job_id")
 def material_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.material_count(first_cut(spark, sf_dir), BED)
+    return runs.material_count(runs.union(runs.tested(toolpath_primitives(spark, sf_dir), BED)), BED)
 
 
 @query(f"SELECT job_id, first_cut AS seq, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z, count(*) AS cells FROM ({FIRST_CUT}) GROUP BY ALL")
 def changed_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.changed_region(first_cut(spark, sf_dir))
+    return runs.changed_region(toolpath_cuts(spark, sf_dir))
+
+
+@query(_first(f"SELECT *, 'capsule' AS shape FROM ({RODS_SQL})", CUBE))
+def capsule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs along lines instead of tests of cells, and cells from their words."""
+    return runs.cells(runs.first_cuts(runs.words(rods(spark, sf_dir, "capsule"), CUBE)))
+
+
+@query(FIRST_CUT)
+def toolpath_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.cells(runs.first_cuts(runs.words(toolpath_primitives(spark, sf_dir), BED)))
 
 
 @query(f"SELECT job_id, count(*) AS cells FROM ({FIRST_CUT}) WHERE first_cut <= 500 GROUP BY job_id")
 def state_after_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.after(first_cut(spark, sf_dir), 500).groupBy("job_id").agg(F.count("*").alias("cells"))
+    return runs.count(runs.after(toolpath_cuts(spark, sf_dir), 500))
 
 
 @query(f"SELECT x, y, z FROM ({CELLS_SQL}) WHERE material")
