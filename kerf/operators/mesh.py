@@ -214,8 +214,10 @@ def dual_triangles(quads_: DataFrame) -> DataFrame:
     normal = [tuple(F.col(f"q{i}")[f"n{n}"] for n in AXES) for i in range(4)]
     face = g.cross(g.subtract(q[1], q[0]), g.subtract(q[2], q[0]))
     mean = tuple(sum((n[k] for n in normal[1:]), normal[0][k]) / 4 for k in range(3))
+    # What counts as degenerate.
     usable = (g.dot(face, face) >= 1e-8) & (g.dot(mean, mean) >= 1e-8)
-    flip = g.dot(face, mean) < 0
+    # At right angles, where rounding would decide, the winding stays.
+    flip = g.dot(face, mean) < -1e-9
 
     def facet(half: int, a: int, b: int, c: int) -> Column:
         return F.struct(F.lit(half).alias("half"), *(F.col(f"q{i}")[f"p{n}"].alias(f"v{j}{n}") for j, i in ((1, a), (2, b), (3, c)) for n in AXES))

@@ -701,6 +701,59 @@ def dc_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("x", "y", "z", *(tidy(F.col(f"p{n}"), 5).alias(f"p{n}") for n in "xyz"))
 
 
+def _dual_normals_sql() -> str:
+    """With tables: cells, their crossings, the gradient at each, and ``dv``: vertices with the mean of these gradients."""
+    parts, n = [], "sqrt(gx * gx + gy * gy + gz * gz)"
+    for e, (a, b) in enumerate(((0, 1), (2, 3), (4, 5), (6, 7), (0, 2), (1, 3), (4, 6), (5, 7), (0, 4), (1, 5), (2, 6), (3, 7))):
+        at = ", ".join(f"{c} + {a >> k & 1} + (c{a} / (c{a} - c{b})) * {(b >> k & 1) - (a >> k & 1)} AS w{c}" for k, c in enumerate("xyz"))
+        parts.append(f"SELECT x, y, z, {e} AS edge, {at} FROM cells WHERE (c{a} > 0) <> (c{b} > 0)")
+    moved = " UNION ALL ".join(
+        f"SELECT x AS cx, y AS cy, z AS cz, edge, {k} AS axis, {s} AS sign, " + ", ".join(f"w{m} + {s if m == c else 0} AS w{m}" for m in "xyz") + " FROM crossings" for k, c in enumerate("xyz") for s in (1, -1)
+    )
+    unit = lambda v, other: f"CASE WHEN n > 1e-6 THEN {v} / n ELSE {other} END"
+    final = lambda v, other: f"CASE WHEN m > 1e-4 THEN s{v} / m WHEN o > 1e-4 THEN o{v} / o ELSE {other} END AS n{v}"
+    return f"""WITH field AS MATERIALIZED ({FIELD_SQL}), cells AS MATERIALIZED ({DUAL_CELLS_SQL}), crossings AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+v AS ({_trilinear_sql(moved, 'cx, cy, cz, edge, axis, sign')}),
+g AS (SELECT *, {n} AS n FROM (SELECT cx, cy, cz, edge, {', '.join(f'sum(CASE WHEN axis = {k} THEN sign * d ELSE 0 END) / 2 AS g{c}' for k, c in enumerate('xyz'))} FROM v GROUP BY ALL)),
+s AS (SELECT cx AS x, cy AS y, cz AS z, sum({unit('gx', 0.0)}) AS sx, sum({unit('gy', 1.0)}) AS sy, sum({unit('gz', 0.0)}) AS sz FROM g GROUP BY ALL),
+p AS (SELECT x, y, z, avg(wx) AS px, avg(wy) AS py, avg(wz) AS pz FROM crossings GROUP BY ALL),
+q AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS m, sqrt(ox * ox + oy * oy + oz * oz) AS o FROM (SELECT *, px - (x + 0.5) AS ox, py - (y + 0.5) AS oy, pz - (z + 0.5) AS oz FROM p JOIN s USING (x, y, z))),
+dv AS MATERIALIZED (SELECT x, y, z, px, py, pz, {final('x', 0.0)}, {final('y', 1.0)}, {final('z', 0.0)} FROM q)"""
+
+
+@query(f"{_dual_normals_sql()} SELECT x, y, z, {', '.join(f'round(p{n}, 5) + 0.0 AS p{n}, round(n{n}, 4) + 0.0 AS n{n}' for n in 'xyz')} FROM dv")
+def dc_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of the dual contour with the mean of the gradients at their crossings."""
+    got = mesh.dual_vertices(field_of(spark, sf_dir), CUBE, BAND)
+    return got.select("x", "y", "z", *(tidy(F.col(f"p{n}"), 5).alias(f"p{n}") for n in "xyz"), *(tidy(F.col(f"n{n}"), 4).alias(f"n{n}") for n in "xyz"))
+
+
+def _dual_triangles_sql() -> str:
+    rings = []
+    for axis, ring in enumerate((((0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 0, 1)), ((0, 0, 0), (0, 0, 1), (1, 0, 1), (1, 0, 0)), ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)))):
+        joins = " ".join(f"JOIN dv c{i} ON c{i}.x = c0.x + {o[0]} AND c{i}.y = c0.y + {o[1]} AND c{i}.z = c0.z + {o[2]}" for i, o in enumerate(ring) if i)
+        cols = ", ".join(f"c{i}.p{n} AS p{i}{n}" for i in range(4) for n in "xyz")
+        mean = ", ".join(f"(c0.n{n} + c1.n{n} + c2.n{n} + c3.n{n}) / 4 AS m{n}" for n in "xyz")
+        rings.append(f"SELECT c0.x, c0.y, c0.z, {axis} AS axis, {cols}, {mean} FROM dv c0 {joins} WHERE c0.x < 64 AND c0.y < 64 AND c0.z < 64")
+    cross = ", ".join(
+        f"(p1{a} - p0{a}) * (p2{b} - p0{b}) - (p1{b} - p0{b}) * (p2{a} - p0{a}) AS f{n}" for n, a, b in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))
+    )
+    corner = ", ".join(
+        f"round(CASE WHEN flip THEN CASE h WHEN 0 THEN p{(0, 2, 1)[j]}{n} ELSE p{(0, 3, 2)[j]}{n} END ELSE CASE h WHEN 0 THEN p{(0, 1, 2)[j]}{n} ELSE p{(0, 2, 3)[j]}{n} END END, 5) + 0.0 AS v{j + 1}{n}"
+        for j in range(3) for n in "xyz"
+    )
+    return f"""{_dual_normals_sql()}, r AS ({' UNION ALL '.join(rings)}), f AS (SELECT *, {cross} FROM r),
+k AS (SELECT *, fx * mx + fy * my + fz * mz < -1e-9 AS flip FROM f WHERE fx * fx + fy * fy + fz * fz >= 1e-8 AND mx * mx + my * my + mz * mz >= 1e-8)
+SELECT (((CAST(z AS BIGINT) + 1) * 1048576 + y + 1) * 1048576 + x + 1) * 6 + axis * 2 + h AS tid, {corner} FROM k, (SELECT CAST(i AS INT) AS h FROM range(2) t(i))"""
+
+
+@query(_dual_triangles_sql())
+def dc_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets of the dual contour, wound to agree with the normals of their vertices."""
+    quads = mesh.dual_quads(mesh.dual_vertices(field_of(spark, sf_dir), CUBE, BAND), CUBE)
+    return mesh.dual_triangles(quads).select("tid", *(tidy(F.col(f"v{i}{n}"), 5).alias(f"v{i}{n}") for i in (1, 2, 3) for n in "xyz"))
+
+
 def _dual_quads_sql() -> str:
     rings = []
     yz, zx, xy = ((0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 0, 1)), ((0, 0, 0), (0, 0, 1), (1, 0, 1), (1, 0, 0)), ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0))
