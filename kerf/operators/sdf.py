@@ -133,45 +133,74 @@ def look_up(points: DataFrame, field: DataFrame, grid: Grid, band: float = BAND,
     return known.withColumn("d", F.when(inside, value).otherwise(outside_distance(grid, F.col("x"), F.col("y"), F.col("z"), band))).drop("_d")
 
 
+def _based(points: DataFrame, grid: Grid, keys: tuple[str, ...]) -> DataFrame:
+    """Each different point once: ``_key`` (keys, place and number of equal rows), the lower corner's cell _ix .. and the place in it _tx .."""
+    at = [f"w{n}" for n in AXES]
+    once = points.groupBy(*dict.fromkeys((*keys, *at))).agg(F.count("*").alias("_n"))
+    cols = {}
+    for k, n in enumerate(AXES):
+        f = (F.col(f"w{n}") - F.lit(float(grid.lo[k]))) / F.lit(float(grid.res))
+        cols[f"_i{n}"] = F.floor(f).cast("int")
+        cols[f"_t{n}"] = f - F.floor(f)
+    # Keys go into a struct: they may be named as the nodes' cell numbers are.
+    return once.withColumns(cols).withColumn("_key", F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), *(F.col(n).alias(n) for n in at), "_n"))
+
+
+def _each_row(df: DataFrame, keys: tuple[str, ...], *values: Column) -> DataFrame:
+    """Keys and values again for each row that a point had."""
+    rows = df.select("_key", *values, F.explode(F.sequence(F.lit(1), F.col("_key")["_n"].cast("int"))).alias("_again"))
+    return rows.select(*(F.col("_key")[f"k{i}"].alias(k) for i, k in enumerate(keys)), *(c for c in rows.columns if c not in ("_key", "_again")))
+
+
+def _weight(n: str, offset: int) -> Column | None:
+    """The share of a node in the value at a point, along one axis; none beyond the point's cell."""
+    return F.col(f"_t{n}") if offset == 1 else 1 - F.col(f"_t{n}") if offset == 0 else None
+
+
 def sample(points: DataFrame, field: DataFrame, grid: Grid, band: float = BAND, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """keys and ``d`` at wx, wy, wz of each point, trilinear between the cells' values.
 
     A cell's value stands at its lower corner, as the field's own look-up has it. Each
-    point has eight nodes; equal nodes of many points meet the field once by join. Rows
-    are told apart by a number, so repeated points give repeated rows.
+    point has eight nodes; equal nodes of many points meet the field once by join. Equal
+    rows are counted before and repeated after.
     """
     nodes = []
-    cols = {"_row": F.monotonically_increasing_id()}
-    for k, n in enumerate(AXES):
-        f = (F.col(f"w{n}") - F.lit(float(grid.lo[k]))) / F.lit(float(grid.res))
-        cols[f"_i{n}"] = F.floor(f).cast("int")
-        cols[f"_t{n}"] = f - F.floor(f)
-    based = points.withColumns(cols)
     for offset in product((0, 1), repeat=3):
         weight = F.lit(1.0)
         for o, n in zip(offset, AXES):
-            weight = weight * (F.col(f"_t{n}") if o else 1 - F.col(f"_t{n}"))
+            weight = weight * _weight(n, o)
         nodes.append(F.struct(*((F.col(f"_i{n}") + o).alias(n) for o, n in zip(offset, AXES)), weight.alias("_w")))
-    # Keys go into a struct: they may be named as the nodes' cell numbers are.
-    each = based.select(F.struct(*keys, "_row").alias("_key"), F.inline(F.array(*nodes))).where(F.col("_w") != 0)
+    each = _based(points, grid, keys).select("_key", F.inline(F.array(*nodes))).where(F.col("_w") != 0)
     sums = look_up(each, field, grid, band).groupBy("_key").agg(F.sum(F.col("_w") * F.col("d")).alias("d"))
-    return sums.select(*(F.col("_key")[k].alias(k) for k in keys), "d")
+    return _each_row(sums, keys, F.col("d"))
 
 
 def gradient(points: DataFrame, field: DataFrame, grid: Grid, band: float = BAND, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keys and gx, gy, gz: unit gradient by central differences of one cell; +y where there is none. Repeated points give repeated rows."""
-    h = float(grid.res)
-    moved = []
-    for k, n in enumerate(AXES):
-        for sign in (1, -1):
-            at = [F.col(f"w{m}") + (sign * h if m == n else 0.0) for m in AXES]
-            moved.append(F.struct(F.lit(k).alias("_axis"), F.lit(sign).alias("_sign"), *(c.alias(f"w{m}") for c, m in zip(at, AXES))))
-    each = points.withColumn("_point", F.monotonically_increasing_id()).select(*keys, "_point", F.inline(F.array(*moved)))
-    got = sample(each, field, grid, band, (*keys, "_point", "_axis", "_sign"))
-    part = lambda k: F.sum(F.when(F.col("_axis") == k, F.col("_sign") * F.col("d")).otherwise(0.0)) / (2 * h)
-    sums = got.groupBy(*keys, "_point").agg(*(part(k).alias(f"_g{k}") for k in range(3)))
-    unit = g.normalized((F.col("_g0"), F.col("_g1"), F.col("_g2")), g.const(0, 1, 0), 1e-6)
-    return sums.select(*keys, *(c.alias(f"g{n}") for c, n in zip(unit, AXES)))
+    """keys and gx, gy, gz: unit gradient by central differences of one cell; +y where there is none. Repeated points give repeated rows.
+
+    A step of one cell moves a point to the next nodes and leaves its place between them,
+    so the differences are sums over 32 nodes around it, with a weight for each axis: one
+    look-up and one grouping.
+    """
+    nodes = []
+    for offset in product(range(-1, 3), repeat=3):
+        weights = []
+        for k, n in enumerate(AXES):
+            beside = [_weight(m, offset[i]) for i, m in enumerate(AXES) if i != k]
+            up, down = _weight(n, offset[k] - 1), _weight(n, offset[k] + 1)
+            if any(w is None for w in beside) or up is None and down is None:
+                weights.append(F.lit(0.0))
+            else:
+                along = up if down is None else -down if up is None else up - down
+                weights.append(along * beside[0] * beside[1])
+        # Nodes at an edge or a corner of the block count for no axis.
+        if sum(o in (-1, 2) for o in offset) < 2:
+            nodes.append(F.struct(*((F.col(f"_i{n}") + o).alias(n) for o, n in zip(offset, AXES)), *(w.alias(f"_w{n}") for w, n in zip(weights, AXES))))
+    some = (F.col("_wx") != 0) | (F.col("_wy") != 0) | (F.col("_wz") != 0)
+    each = _based(points, grid, keys).select("_key", F.inline(F.array(*nodes))).where(some)
+    sums = look_up(each, field, grid, band).groupBy("_key").agg(*((F.sum(F.col(f"_w{n}") * F.col("d")) / (2 * float(grid.res))).alias(f"_g{n}") for n in AXES))
+    unit = g.normalized(g.point("_g"), g.const(0, 1, 0), 1e-6)
+    return _each_row(sums, keys, *(c.alias(f"g{n}") for c, n in zip(unit, AXES)))
 
 
 def octree_leaves(field: DataFrame, grid: Grid, level: int) -> DataFrame:
