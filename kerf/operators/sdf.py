@@ -7,6 +7,10 @@ them, each over one line of cells: windows stay small and there are as many as l
 Cells are dealt by one coordinate, so that lines along two axes are whole: three
 exchanges make all windows.
 
+From removed cells or their words of bits, the same field comes block by block (see
+:mod:`kerf.operators.blocks`): no dense lattice is made before the result, and no window
+holds a line.
+
 From primitives, a cell's value is the least signed distance of all whose index box
 holds it, and at most the band: one aggregation.
 """
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from kerf.functions import geometry as g
 from kerf.grid import AXES, Grid
+from kerf.operators import blocks
 from kerf.operators.lattice import cells_in_boxes, centre, index_box, lattice
 
 BAND = 10
@@ -88,6 +93,11 @@ def from_cells(cells: DataFrame, grid: Grid, band: float = BAND, keys: list[str]
     return df.select(*keys, *AXES, (d * float(grid.res)).alias("d"))
 
 
+def from_removed(cut: DataFrame, grid: Grid, band: float = BAND) -> DataFrame:
+    """x, y, z, d of all cells of one lattice from the removed ones (x, y, z), as :func:`from_cells` has them."""
+    return blocks.field(blocks.words_of(cut, grid), grid, band)
+
+
 def constant(spark: SparkSession, grid: Grid, band: float = BAND) -> DataFrame:
     """A field of solid stock: the band everywhere."""
     return lattice(spark, grid).withColumn("d", F.lit(float(band)))
@@ -213,21 +223,21 @@ def octree_leaves(field: DataFrame, grid: Grid, level: int) -> DataFrame:
 
 
 def nearest_surface(cells: DataFrame, grid: Grid, radius: int, band: float = BAND) -> DataFrame:
-    """x, y, z, d and the nearest surface cell sx, sy, sz (of equals the first by z, y, x) of each of ``cells`` (x, y, z, material).
+    """x, y, z, d and the nearest surface cell sx, sy, sz (of equals the first by z, y, x) of each cell of the whole lattice ``cells`` (x, y, z, material).
 
     Straight distance to the nearest surface cell (see :func:`surface6`) within ``radius`` cells
-    along each axis, in millimetres and cut at ``band``; at the band where there is none. Only
-    surface cells spread to their surroundings, so work grows with the surface.
+    along each axis, in millimetres and cut at ``band``; at the band where there is none.
     """
-    around = F.array(*(F.struct(*(F.lit(o).alias(f"o{n}") for o, n in zip(offset, AXES))) for offset in product(range(-radius, radius + 1), repeat=3)))
-    flagged = surface6(cells, grid)
-    spread = flagged.where("surface").select(*(F.col(n).alias(f"s{n}") for n in AXES), F.inline(around))
-    square = sum((F.col(f"o{n}") * F.col(f"o{n}") for n in AXES), F.lit(0))
-    place = F.struct(square.alias("d2"), *(F.col(f"s{n}") for n in reversed(AXES)))
-    near = spread.groupBy(*((F.col(f"s{n}") + F.col(f"o{n}")).alias(n) for n in AXES)).agg(F.min(place).alias("_near"))
-    far = F.coalesce(F.sqrt(F.col("_near.d2").cast("double")) * float(grid.res), F.lit(float(band)))
+    return nearest_to_removed(cells.where(~F.col("material")), grid, radius, band)
+
+
+def nearest_to_removed(cut: DataFrame, grid: Grid, radius: int, band: float = BAND) -> DataFrame:
+    """As :func:`nearest_surface`, from removed cells (x, y, z): axis by axis within blocks, a row for each cell only at the end."""
+    near = blocks.nearest(blocks.words_of(cut, grid), grid, radius)
+    found = F.col("d2") >= 0
+    far = F.when(found, F.sqrt(F.col("d2").cast("double")) * float(grid.res)).otherwise(float(band))
     d = F.least(far, F.lit(float(band))) * F.when(F.col("material"), 1.0).otherwise(-1.0)
-    return cells.join(near, list(AXES), "left").select(*AXES, d.alias("d"), *(F.col(f"_near.s{n}").alias(f"s{n}") for n in AXES))
+    return near.select(*AXES, d.alias("d"), *(F.when(found, F.col(f"s{n}")).alias(f"s{n}") for n in AXES))
 
 
 def octree(field: DataFrame, grid: Grid, top: int) -> DataFrame:
