@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kerf import scenarios
 from kerf.functions import gcode, geometry as g
 from kerf.grid import Grid
-from kerf.operators import lattice, mesh, runs, sdf
+from kerf.operators import blocks, lattice, mesh, runs, sdf
 from kerf.plans import toolpath
 from kerf.plans.toolpath import Tool
 from kerf.sources import stl
@@ -124,6 +124,10 @@ def sphere_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.removed(spheres(spark, sf_dir), CUBE)
 
 
+def sphere_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.union(runs.tested(spheres(spark, sf_dir), CUBE))
+
+
 # SQL of the stages after them
 
 MODAL_SQL = f"""SELECT job_id, seq, CASE WHEN code = 0 THEN 'G0' ELSE 'G1' END AS kind,
@@ -542,7 +546,7 @@ def surface26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sdf.from_cells(lattice.dense(spark, sphere_cells(spark, sf_dir), CUBE), CUBE, BAND)
+    return blocks.field(sphere_words(spark, sf_dir), CUBE, BAND)
 
 
 @query(f"SELECT x, y, z, round(d, 6) + 0.0 AS d FROM ({FIELD_SQL})")
@@ -863,7 +867,24 @@ FROM s LEFT JOIN n ON n.x = s.x AND n.y = s.y AND n.z = s.z"""
 
 @query(_nearest_sql())
 def nearest_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sdf.nearest_surface(lattice.dense(spark, sphere_cells(spark, sf_dir), CUBE), CUBE, 2, BAND)
+    got = sdf.nearest_to_removed(sphere_cells(spark, sf_dir), CUBE, 2, BAND)
+    return got.select("x", "y", "z", tidy(F.col("d")).alias("d"), *(F.coalesce(f"s{n}", F.lit(-1)).alias(f"s{n}") for n in "xyz"))
+
+
+def _nearest_far_sql(radius: int) -> str:
+    """The nearest of the surface along x, of these along y, and of these along z."""
+    flagged = _nearest_sql().split("),\no AS (")[0] + ")"
+    along = lambda src, n: f"SELECT {', '.join(f'{m} + o.i AS {m}' if m == n else m for m in 'xyz')}, min(struct_pack(d := m.d + o.i * o.i, z := m.z, y := m.y, x := m.x)) AS m FROM {src}, range(-{radius}, {radius + 1}) o(i) GROUP BY 1, 2, 3"
+    return f"""{flagged}, s0 AS (SELECT x, y, z, struct_pack(d := 0, z := z, y := y, x := x) AS m FROM s WHERE surface),
+sx AS MATERIALIZED ({along('s0', 'x')}), sy AS MATERIALIZED ({along('sx', 'y')}), n AS MATERIALIZED ({along('sy', 'z')})
+SELECT s.x, s.y, s.z, round(least(10.0, coalesce(sqrt(n.m.d), 10.0)) * CASE WHEN material THEN 1 ELSE -1 END, 6) + 0.0 AS d, CAST(coalesce(n.m.x, -1) AS INT) AS sx, CAST(coalesce(n.m.y, -1) AS INT) AS sy, CAST(coalesce(n.m.z, -1) AS INT) AS sz
+FROM s LEFT JOIN n ON n.x = s.x AND n.y = s.y AND n.z = s.z"""
+
+
+@query(_nearest_far_sql(8))
+def nearest_surface_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As nearest_surface, within eight cells along each axis."""
+    got = sdf.nearest_to_removed(sphere_cells(spark, sf_dir), CUBE, 8, BAND)
     return got.select("x", "y", "z", tidy(F.col("d")).alias("d"), *(F.coalesce(f"s{n}", F.lit(-1)).alias(f"s{n}") for n in "xyz"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kerf.grid import Grid
-from kerf.operators import lattice, sdf
+from kerf.operators import blocks, lattice, runs, sdf
 
 PRIMITIVE = "job_id long, seq long, part int, shape string, ax double, ay double, az double, bx double, by double, bz double, r double"
 
@@ -24,7 +24,8 @@ def _sphere(size: float, res: float, r: float) -> Callable[[SparkSession], DataF
 def _field(spark: SparkSession) -> DataFrame:
     """The distance field of a million cells."""
     grid = Grid.centred((100, 100, 100), 1.0)
-    return sdf.from_cells(lattice.dense(spark, _sphere(100, 1.0, 40)(spark), grid), grid, 2)
+    ball = shapes(spark, ("sphere", (0, 0, 0), (0, 0, 0), 40))
+    return blocks.field(runs.union(runs.words(ball, grid)), grid, 2)
 
 
 SCENARIOS: dict[str, Callable[[SparkSession], DataFrame]] = {

@@ -75,7 +75,7 @@ class Simulation:
 
     def field(self, band: float = sdf.BAND) -> DataFrame:
         """The distance field of the cut cells."""
-        return sdf.from_cells(lattice.dense(self.spark, self.removed(), self.grid), self.grid, band)
+        return sdf.from_removed(self.removed(), self.grid, band)
 
     def direct_field(self, band: float = sdf.BAND) -> DataFrame:
         """The field straight from the primitives, without cells: only rows below the band."""
