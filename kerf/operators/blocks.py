@@ -158,13 +158,17 @@ def most_steps(band: float) -> int:
     return most
 
 
-def steps(words: DataFrame, grid: Grid, band: float, keys: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
-    """keys, bx, by, bz, codes of each block that is near to removed cells, and of ``blocks``."""
+def computed(near: DataFrame, grid: Grid, band: float, keys: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """As :func:`steps`, from words that are with their blocks already (:func:`near_blocks`, within the band's steps and one)."""
     most = most_steps(band)
-    near = near_blocks(words, grid, most + 1, keys)
     return by_block(near, blocks, grid, most + 1, lambda solid, within, first: {"codes": _steps(solid, within, most)}, "codes array<smallint>", keys)
 
 
+def steps(words: DataFrame, grid: Grid, band: float, keys: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """keys, bx, by, bz, codes of each block that is near to removed cells, and of ``blocks``."""
+    return computed(near_blocks(words, grid, most_steps(band) + 1, keys), grid, band, keys, blocks)
+
+
 def _each_cell(packed: DataFrame, grid: Grid, codes: str, *keep: str) -> DataFrame:
     """A row for each cell: columns ``keep``, x, y, z and ``_code``."""
     size = {f"_s{n}": F.least(F.lit(SIDE), F.lit(d) - F.col(f"b{n}") * SIDE) for n, d in zip(AXES, grid.dims)}

@@ -8,6 +8,7 @@ position, is the only state that has to be ordered; it is kept by job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerf.grid import AXES, Grid
-from kerf.operators import lattice, sdf
+from kerf.operators import blocks, lattice, sdf
 
 WORDS = "job_id long, seq long, code int, x double, y double, z double, f double"
 MODAL = "job_id long, seq long, kind string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, feed double"
@@ -104,6 +105,10 @@ class RemovedTable:
             return None
         return merged(None, self.spark.read.parquet(*paths))
 
+    def part(self, batch: int) -> DataFrame:
+        """The cells that a batch brought."""
+        return self.spark.read.parquet(f"{self.folder}/cuts/batch={batch}")
+
     def add(self, cut: DataFrame, batch: int) -> DataFrame:
         """Adds a batch; returns its dirty region."""
         part = f"{self.folder}/cuts/batch={batch}"
@@ -116,34 +121,81 @@ class RemovedTable:
 
 
 class BoundField:
-    """A distance field that follows a table of one job's removed cells, batch by batch.
-
-    Each batch computes the field anew around its dirty region alone and writes a version;
-    the last whole version before a batch is read from the folder, so that replays and
-    restarts give the same field. Versions before the last two are deleted.
+    """A distance field that follows a table of one job's removed cells, batch by batch, in versions of blocks.
+
+    A batch computes and writes only the blocks that are near to the cells it removed (see
+    :mod:`kerf.operators.blocks`), as ``field/batch=N``: what is read, computed and written follows
+    the change, not the lattice. A block's newest version counts; one that no batch has come near is
+    solid stock and stored nowhere. Each time the number of batches has doubled, the newest versions are put
+    together as ``whole/batch=N``, and what two wholes have overtaken is deleted. Like the table, it goes on
+    from what the folder holds after a restart, and a batch that is replayed replaces its own part with the same.
     """
 
+    #: Batches after which versions are put together for the first time.
+    FIRST_WHOLE = 8
+
     def __init__(self, table: RemovedTable, grid: Grid, folder: str, band: int = sdf.BAND) -> None:
         self.table, self.grid, self.band = table, grid, band
         self.versions = RemovedTable(table.spark, folder)
 
+    def _paths(self, until: int | None) -> list[tuple[str, int]]:
+        """Folders that make the field after the batch ``until``, with their batches."""
+        fits = lambda n: until is None or n <= until
+        wholes, parts = self.versions._written("whole"), self.versions._written("field")
+        whole = max(filter(fits, wholes), default=-1)
+        if whole < 0 and wholes and (not parts or parts[0] > 0):
+            raise ValueError(f"the field after batch {until} is overtaken and deleted")
+        some = [("field", n) for n in parts if n > whole and fits(n)] + ([("whole", whole)] if whole >= 0 else [])
+        return [(f"{self.versions.folder}/{kind}/batch={n}", n) for kind, n in some]
+
+    def packed(self, until: int | None = None) -> DataFrame | None:
+        """bx, by, bz, codes: the newest version of each block that some batch came near to; None where there are none."""
+        paths = self._paths(until)
+        if not paths:
+            return None
+        parts = [self.table.spark.read.parquet(path).withColumn("_batch", F.lit(n)) for path, n in paths]
+        rows = reduce(DataFrame.unionByName, parts)
+        if len(parts) == 1:
+            return rows.drop("_batch")
+        # Which version counts is told from numbers alone; arrays are read once and not grouped.
+        newest = rows.groupBy(*blocks.BLOCK).agg(F.max("_batch").alias("_batch"))
+        return rows.join(newest, [*blocks.BLOCK, "_batch"], "left_semi").drop("_batch")
+
     def read(self, until: int | None = None) -> DataFrame:
-        """The field after the batch ``until``, by default after the last; of solid stock where there was none."""
-        done = [n for n in self.versions._written("field") if until is None or n <= until]
-        if not done:
-            return sdf.from_cells(lattice.lattice(self.table.spark, self.grid).withColumn("material", F.lit(True)), self.grid, self.band)
-        return self.table.spark.read.parquet(f"{self.versions.folder}/field/batch={done[-1]}")
+        """x, y, z, d of all cells after the batch ``until``, by default after the last; of solid stock where there was none."""
+        packed, every = self.packed(until), blocks.every_block(self.table.spark, self.grid)
+        untouched = every if packed is None else every.join(packed.select(*blocks.BLOCK), blocks.BLOCK, "left_anti")
+        solid = blocks.steps(self._words(None), self.grid, self.band, blocks=untouched)
+        return blocks.cells(solid if packed is None else packed.unionByName(solid), self.grid, self.band)
+
+    def _words(self, cells: DataFrame | None) -> DataFrame:
+        none = self.table.spark.createDataFrame([], "x int, y int, z int")
+        return blocks.words_of(none if cells is None else cells, self.grid)
 
     def update(self, dirty: DataFrame, batch: int) -> None:
         """Called with each batch's dirty region; see :func:`listen`."""
         box = dirty.agg(*(F.min(f"min_{n}").alias(f"min_{n}") for n in AXES), *(F.max(f"max_{n}").alias(f"max_{n}") for n in AXES)).first()
-        field = self.read(batch - 1)
-        if box["min_x"] is not None:
-            cells = lattice.dense(self.table.spark, self.table.read(batch), self.grid)
-            field = updated_field(field, cells, self.grid, (tuple(box[f"min_{n}"] for n in AXES), tuple(box[f"max_{n}"] for n in AXES)), self.band)
-        field.write.mode("overwrite").parquet(f"{self.versions.folder}/field/batch={batch}")
-        for old in [n for n in self.versions._written("field") if n < batch][:-1]:
-            path = self.table.spark._jvm.org.apache.hadoop.fs.Path(f"{self.versions.folder}/field/batch={old}")
+        if box["min_x"] is None:
+            return
+        reach = blocks.most_steps(self.band) + 1
+        near = blocks.near_blocks(blocks.words_of(self.table.part(batch), self.grid), self.grid, reach).select(*blocks.BLOCK).distinct()
+        # Cells beyond the blocks of the box and their surroundings aren't read; the filter reaches the files.
+        side = blocks.SIDE
+        ends = {n: ((box[f"min_{n}"] - reach) // side * side - reach, (box[f"max_{n}"] + reach) // side * side + side - 1 + reach) for n in AXES}
+        around = self.table.read(batch).where(F.expr(" AND ".join(f"{n} BETWEEN {a} AND {b}" for n, (a, b) in ends.items())))
+        words = blocks.near_blocks(self._words(around), self.grid, reach).join(near, blocks.BLOCK, "left_semi")
+        fresh = blocks.computed(words, self.grid, self.band)
+        fresh.write.mode("overwrite").parquet(f"{self.versions.folder}/field/batch={batch}")
+        wholes = self.versions._written("whole")
+        if batch + 1 >= max(self.FIRST_WHOLE, 2 * (max(wholes, default=-1) + 1)):
+            self.packed(batch).write.mode("overwrite").parquet(f"{self.versions.folder}/whole/batch={batch}")
+            self._forget(max((n for n in wholes if n < batch), default=-1))
+
+    def _forget(self, whole: int) -> None:
+        """Deletes what the whole of that batch has taken up."""
+        gone = [("field", n) for n in self.versions._written("field") if n <= whole] + [("whole", n) for n in self.versions._written("whole") if n < whole]
+        for kind, n in gone:
+            path = self.table.spark._jvm.org.apache.hadoop.fs.Path(f"{self.versions.folder}/{kind}/batch={n}")
             path.getFileSystem(self.table.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 

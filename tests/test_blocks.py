@@ -90,3 +90,37 @@ def test_nearest(spark, radius):
         d2, *at = min(some) if some else (None, None, None, None)
         want = min(3.5, d2**0.5) if some else 3.5
         assert abs(r["d"] - (want if solid[p] else -want)) < 1e-12 and (r["sz"], r["sy"], r["sx"]) == tuple(at)
+
+
+def test_versions(spark, tmp_path):
+    """Each batch writes the blocks near to its cells alone; replays, restarts and versions put together give the field of all cells."""
+    from kerf.streaming import incremental
+
+    grid = Grid((0, 0, 0), (128.0, 64.0, 40.0), 1.0)
+    places = [(10, 10, 10), (31, 31, 31), (110, 50, 6), (12, 12, 10), (75, 45, 15), (10, 11, 10)]
+    cut = lambda k: lattice.removed(shapes(spark, ("sphere", places[k], (0, 0, 0), 2)), grid)
+    every = None
+    for k in range(len(places)):
+        table = incremental.RemovedTable(spark, str(tmp_path / "cells"))
+        field = incremental.BoundField(table, grid, str(tmp_path / "field"), 4)
+        table.FIRST_WHOLE = field.FIRST_WHOLE = 2
+        dirty = table.add(cut(k), k)
+        field.update(dirty, k)
+        # A ball deep in a block concerns that block alone, one at a corner all eight.
+        wrote = spark.read.parquet(str(tmp_path / "field" / "field" / f"batch={k}"))
+        assert wrote.count() == (8 if k == 1 else 1)
+        if k in (1, 3):
+            field.update(dirty, k)
+        every = cut(k) if every is None else every.unionByName(cut(k))
+        assert differ(field.read(), sdf.from_removed(every, grid, 4)) == 0
+        if k == 4:
+            before = field.read(3)
+            assert before.count() == grid.cells and before.where("x = 75 AND y = 45 AND z = 15").first()["d"] > 0
+    assert field.versions._written("whole") == [1, 3] and field.versions._written("field") == [2, 3, 4, 5]
+    assert field.packed().count() == 10
+    with pytest.raises(ValueError):
+        field.read(0)
+    size = lambda p: sum(f.stat().st_size for f in p.rglob("*.parquet"))
+    assert size(tmp_path / "field" / "field" / "batch=5") < size(tmp_path / "field" / "whole" / "batch=3") / 3
+    field.update(table.add(cut(0).where("false"), 6), 6)
+    assert field.versions._written("field")[-1] == 5
