@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kerf import scenarios
 from kerf.functions import gcode, geometry as g
 from kerf.grid import Grid
-from kerf.operators import blocks, lattice, mesh, runs, sdf
+from kerf.operators import adaptive, blocks, lattice, mesh, runs, sdf
 from kerf.plans import toolpath
 from kerf.plans.toolpath import Tool
 from kerf.sources import stl
@@ -901,6 +901,28 @@ def octree_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sdf.octree(field_of(spark, sf_dir), CUBE, 3).withColumn("value", tidy(F.col("value")))
 
 
+def _octree_samples_sql() -> str:
+    """Level by level from the root: nodes of open parents, with the least and greatest of nine cells of the field."""
+    parts = [f"f AS MATERIALIZED ({ORACLES['sdf_sphere_min']})", f"""d AS MATERIALIZED (SELECT l.x, l.y, l.z, least(coalesce(f.d, {BAND}.0), {BAND}.0) AS d FROM (SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z
+  FROM range(64) a(i), range(64) b(i), range(64) c(i)) l LEFT JOIN f ON l.x = f.x AND l.y = f.y AND l.z = f.z)"""]
+    cube, leaves = lambda k: ", ".join(f"{n} >> {k} AS c{n}" for n in "xyz"), []
+    for k in range(6, -1, -1):
+        size = 1 << k
+        corner = " AND ".join(f"{n} & {size - 1} IN (0, {size - 1})" for n in "xyz")
+        middle = " AND ".join(f"{n} & {size - 1} = {size // 2}" for n in "xyz")
+        parts.append(f"s{k} AS (SELECT {cube(k)}, min(d) AS lo, max(d) AS hi FROM d WHERE ({corner}) OR ({middle}) GROUP BY 1, 2, 3)")
+        here = f"s{k} s" if k == 6 else f"s{k} s JOIN n{k + 1} p ON p.cx = s.cx >> 1 AND p.cy = s.cy >> 1 AND p.cz = s.cz >> 1 AND NOT p.even"
+        parts.append(f"n{k} AS MATERIALIZED (SELECT s.cx, s.cy, s.cz, s.lo, s.hi, {'true' if k == 0 else '(s.lo > 0 OR s.hi <= 0) AND s.hi - s.lo < 1'} AS even FROM {here})")
+        leaves.append(f"SELECT {k} AS level, cx, cy, cz, round((lo + hi) / 2, 6) + 0.0 AS value FROM n{k} WHERE even")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(leaves)}"
+
+
+@query(_octree_samples_sql())
+def octree_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves from the root down, by samples of the field of primitives; no dense lattice."""
+    return adaptive.octree(sdf_sphere_min(spark, sf_dir), CUBE, BAND).withColumn("value", tidy(F.col("value")))
+
+
 @query(
     _below_band(
         """SELECT 'sphere' AS shape, 0.0 AS ax, 0.0 AS ay, 0.0 AS az, 0.0 AS bx, 0.0 AS by_, 0.0 AS bz, 50.0::DOUBLE AS r UNION ALL SELECT 'capsule', -40, 0, 50, 40, 0, 50, 10
