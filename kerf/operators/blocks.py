@@ -126,8 +126,8 @@ def _around(a: Array, pick: np.ufunc) -> Array:
     return a
 
 
-def _steps(solid: Array, within: tuple[slice, slice, slice], most: int) -> Array:
-    """Codes of a block that came with ``most + 1`` cells around it."""
+def codes_of(solid: Array, within: tuple[slice, slice, slice], most: int) -> Array:
+    """Codes of the cells of ``solid`` (see :func:`by_block`) but the outermost ``most + 1`` on each side."""
     own = solid
     for axis in range(3):
         own = _cut(own, most + 1, axis)
@@ -161,7 +161,7 @@ def most_steps(band: float) -> int:
 def computed(near: DataFrame, grid: Grid, band: float, keys: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """As :func:`steps`, from words that are with their blocks already (:func:`near_blocks`, within the band's steps and one)."""
     most = most_steps(band)
-    return by_block(near, blocks, grid, most + 1, lambda solid, within, first: {"codes": _steps(solid, within, most)}, "codes array<smallint>", keys)
+    return by_block(near, blocks, grid, most + 1, lambda solid, within, first: {"codes": codes_of(solid, within, most)}, "codes array<smallint>", keys)
 
 
 def steps(words: DataFrame, grid: Grid, band: float, keys: list[str] | None = None, blocks: DataFrame | None = None) -> DataFrame:

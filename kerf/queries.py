@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kerf import scenarios
 from kerf.functions import gcode, geometry as g
 from kerf.grid import Grid
-from kerf.operators import adaptive, blocks, lattice, mesh, runs, sdf
+from kerf.operators import adaptive, blocks, lattice, lookups, mesh, runs, sdf
 from kerf.plans import toolpath
 from kerf.plans.toolpath import Tool
 from kerf.sources import stl
@@ -590,7 +590,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH field AS MATERIALIZED ({FIELD_SQL}) SELECT px, py, pz, round(d, 6) + 0.0 AS d FROM ({_trilinear_sql(f'SELECT wx AS px, wy AS py, wz AS pz, wx, wy, wz FROM ({PLACES_SQL})', 'px, py, pz')})")
 def trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = places(spark, sf_dir).select("*", *(F.col(f"w{n}").alias(f"p{n}") for n in "xyz"))
-    return sdf.sample(at, field_of(spark, sf_dir), CUBE, BAND, ("px", "py", "pz")).withColumn("d", tidy(F.col("d")))
+    return lookups.sample(at, sphere_words(spark, sf_dir), CUBE, BAND, ("px", "py", "pz")).withColumn("d", tidy(F.col("d")))
 
 
 _MOVED = " UNION ALL ".join(
@@ -604,7 +604,7 @@ u AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS n FROM s)
 SELECT px, py, pz, CASE WHEN n > 1e-6 THEN round(gx / n, 5) + 0.0 ELSE 0.0 END AS gx, CASE WHEN n > 1e-6 THEN round(gy / n, 5) + 0.0 ELSE 1.0 END AS gy, CASE WHEN n > 1e-6 THEN round(gz / n, 5) + 0.0 ELSE 0.0 END AS gz FROM u""")
 def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = places(spark, sf_dir).select("*", *(F.col(f"w{n}").alias(f"p{n}") for n in "xyz"))
-    got = sdf.gradient(at, field_of(spark, sf_dir), CUBE, BAND, ("px", "py", "pz"))
+    got = lookups.gradient(at, sphere_words(spark, sf_dir), CUBE, BAND, ("px", "py", "pz"))
     return got.select("px", "py", "pz", *(tidy(F.col(f"g{n}"), 5).alias(f"g{n}") for n in "xyz"))
 
 
