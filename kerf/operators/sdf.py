@@ -213,13 +213,21 @@ def gradient(points: DataFrame, field: DataFrame, grid: Grid, band: float = BAND
     return _each_row(sums, keys, *(c.alias(f"g{n}") for c, n in zip(unit, AXES)))
 
 
+def _even(least: Column, greatest: Column, grid: Grid) -> Column:
+    """Whether values have one sign and differ by less than the resolution.
+
+    Values are tenths of cells, which binary numbers only come near to: -3.1 and -4.1 are one cell apart, and
+    their difference isn't quite 1. So it is rounded.
+    """
+    return (F.signum(least) == F.signum(greatest)) & (F.round((greatest - least) / float(grid.res), 9) < 1)
+
+
 def octree_leaves(field: DataFrame, grid: Grid, level: int) -> DataFrame:
     """Per cube of ``2 ** level`` cells: least, greatest and middle value, and whether one value would do."""
     cube = [F.shiftright(n, level).alias(f"c{n}") for n in AXES]
     d = F.col("d")
     some = field.groupBy(*cube).agg(F.min(d).alias("least"), F.max(d).alias("greatest"))
-    even = (F.signum("least") == F.signum("greatest")) & (F.col("greatest") - F.col("least") < float(grid.res))
-    return some.withColumns({"value": (F.col("least") + F.col("greatest")) / 2, "leaf": even})
+    return some.withColumns({"value": (F.col("least") + F.col("greatest")) / 2, "leaf": _even(F.col("least"), F.col("greatest"), grid)})
 
 
 def nearest_surface(cells: DataFrame, grid: Grid, radius: int, band: float = BAND) -> DataFrame:
@@ -259,7 +267,7 @@ def octree(field: DataFrame, grid: Grid, top: int) -> DataFrame:
         parent = [F.shiftright(n, 1).alias(f"p{n}") for n in names]
         both = open_.withColumns({f"p{n}": F.shiftright(n, 1) for n in names})
         up = open_.groupBy(*parent).agg(F.min("least").alias("lo"), F.max("greatest").alias("hi"), F.count("*").alias("n"))
-        even = (F.col("n") == 8) & (F.signum("lo") == F.signum("hi")) & (F.col("hi") - F.col("lo") < float(grid.res))
+        even = (F.col("n") == 8) & _even(F.col("lo"), F.col("hi"), grid)
         joined = both.join(up.withColumn("even", even), [f"p{n}" for n in names])
         stay = joined.where(~F.col("even")).select(F.lit(level).alias("level"), *names, value)
         done = stay if done is None else done.unionByName(stay)

@@ -170,3 +170,14 @@ def test_field_exchanges(spark):
     cells = spark.createDataFrame([(x, y, z, (x + y * z) % 5 > 0) for x in range(6) for y in range(5) for z in range(4)], "x int, y int, z int, material boolean")
     plan = S.from_cells(cells, grid)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 3
+
+
+@pytest.mark.parametrize("res", [1.0, 0.7])
+def test_octree_one_cell_apart(spark, res):
+    """Values a whole resolution apart stay apart, though as binary numbers they seem nearer; a little less is one leaf."""
+    grid = Grid((0.0, 0.0, 0.0), (4 * res, 2 * res, 2 * res), res)
+    cells = [(x, y, z) for x in range(4) for y in range(2) for z in range(2)]
+    for least, one in ((-4.1, False), (-4.0, True)):
+        field = spark.createDataFrame([(*c, (-3.1 if (c[1] + c[2]) % 2 else least) * res) for c in cells], "x int, y int, z int, d double")
+        assert [r["leaf"] for r in S.octree_leaves(field, grid, 1).collect()] == [one, one]
+        assert {(r["level"], r["count"]) for r in S.octree(field, grid, 1).groupBy("level").count().collect()} == ({(1, 2)} if one else {(0, 16)})
