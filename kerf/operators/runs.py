@@ -18,6 +18,8 @@ word, and only these are exchanged and put in order over all slices.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,18 +101,21 @@ def _shift(v: Column, by: Column) -> Column:
     return F.call_function("shiftleft", v, by)
 
 
-def words(primitives: DataFrame, grid: Grid) -> DataFrame:
-    """job_id, seq, y, z, w, bits of each run (with _ty, _tz, _slice, by which rows are dealt): bit k of word w is cell 32 * w + k along x."""
-    rows = runs(index_box(primitives, grid), grid)
+def words(primitives: DataFrame, grid: Grid, some: Callable[[DataFrame], DataFrame] = lambda boxed: boxed) -> DataFrame:
+    """job_id, seq, y, z, w, bits of each run (with _ty, _tz, _slice, by which rows are dealt): bit k of word w is cell 32 * w + k along x.
+
+    ``some`` may take boxes in parts, or leave out those that can't matter.
+    """
+    rows = runs(some(index_box(primitives, grid)), grid)
     rows = rows.select("job_id", "_ty", "_tz", "_slice", "seq", "y", "z", "first", "last", F.explode(F.sequence(F.shiftright("first", 5), F.shiftright("last", 5))).alias("w"))
     low, high = F.greatest(F.col("first") - F.col("w") * WORD, F.lit(0)), F.least(F.col("last") - F.col("w") * WORD, F.lit(WORD - 1))
     bits = _shift(_shift(F.lit(1).cast("long"), high - low + 1) - 1, low)
     return rows.select("job_id", "_ty", "_tz", "_slice", "seq", "y", "z", "w", bits.alias("bits"))
 
 
-def tested(primitives: DataFrame, grid: Grid) -> DataFrame:
+def tested(primitives: DataFrame, grid: Grid, some: Callable[[DataFrame], DataFrame] = lambda boxed: boxed) -> DataFrame:
     """As :func:`words`, by a test of each cell; tiles along x as well."""
-    cells_ = cells_in_boxes(index_box(primitives, grid)).where(inside(grid))
+    cells_ = cells_in_boxes(some(index_box(primitives, grid))).where(inside(grid))
     bit = _shift(F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(WORD - 1)))
     return cells_.select("job_id", F.col("ty").alias("_ty"), F.col("tz").alias("_tz"), F.shiftright("seq", SLICE_BITS).alias("_slice"), "tx", "seq", "y", "z", F.shiftright("x", 5).alias("w"), bit.alias("bits"))
 

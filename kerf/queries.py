@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kerf import scenarios
 from kerf.functions import gcode, geometry as g
 from kerf.grid import Grid
-from kerf.operators import adaptive, blocks, lattice, lookups, mesh, runs, sdf
+from kerf.operators import adaptive, blocks, lattice, lookups, mesh, rounds, runs, sdf
 from kerf.plans import toolpath
 from kerf.plans.toolpath import Tool
 from kerf.sources import stl
@@ -464,8 +464,12 @@ def capsule_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.removed(rods(spark, sf_dir, "capsule"), CUBE)
 
 
+def _bed_primitives(segs: DataFrame) -> DataFrame:
+    return toolpath.primitives_3axis(segs, TOOL, BED.res)
+
+
 def toolpath_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolpath.primitives_3axis(segments(spark, sf_dir), TOOL, BED.res)
+    return _bed_primitives(segments(spark, sf_dir))
 
 
 def toolpath_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -495,7 +499,7 @@ def capsule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FIRST_CUT)
 def toolpath_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.cells(runs.first_cuts(runs.words(toolpath_primitives(spark, sf_dir), BED)))
+    return runs.cells(rounds.first_cuts(segments(spark, sf_dir), _bed_primitives, BED, runs.words))
 
 
 @query(f"SELECT job_id, count(*) AS cells FROM ({FIRST_CUT}) WHERE first_cut <= 500 GROUP BY job_id")
