@@ -473,7 +473,7 @@ def toolpath_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toolpath_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.first_cuts(runs.tested(toolpath_primitives(spark, sf_dir), BED))
+    return rounds.first_cuts(segments(spark, sf_dir), _bed_primitives, BED)
 
 
 @query(FIRST_CUT)

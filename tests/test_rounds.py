@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from kerf import queries
 from kerf.grid import Grid
 from kerf.operators import lattice, rounds, runs
 from tests.test_runs import PRIMITIVES, shapes
@@ -46,3 +47,26 @@ def test_gone_is_not_dealt(spark):
 def test_none(spark):
     grid = Grid((0.0, 0.0, 0.0), (8.0, 8.0, 8.0), 1.0)
     assert rounds.first_cuts(spark.createDataFrame([], PRIMITIVES), same, grid).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def program(spark, tmp_path_factory):
+    """A folder with ``events`` of five jobs, longer than a first round, of which few commands cut, and the cells removed."""
+    folder = str(tmp_path_factory.mktemp("program"))
+    kind = "CASE WHEN id % 20 < 5 AND id % 3 = 0 AND id % 7 = 1 THEN 'click' ELSE 'error' END AS event_type"
+    spark.range(5400).selectExpr("id AS event_id", "id % 5 AS user_id", kind, "timestamp_seconds(id) AS ts").write.parquet(f"{folder}/events.parquet")
+    return folder, lattice.removed(queries.toolpath_primitives(spark, folder), queries.BED).cache()
+
+
+def in_rounds(monkeypatch, query, spark, folder):  # noqa: ANN001, ANN201
+    calls, cut = [], rounds.open_boxes
+    monkeypatch.setattr(rounds, "open_boxes", lambda *a: calls.append(1) or cut(*a))
+    got = queries.QUERIES[query](spark, folder)
+    assert calls, "all in one go"
+    return sorted(map(tuple, got.collect()))
+
+
+def test_state(spark, monkeypatch, program):
+    folder, cells = program
+    want = lattice.after(cells, 500).groupBy("job_id").agg(F.count("*").alias("n"))
+    assert in_rounds(monkeypatch, "state_after_step", spark, folder) == sorted(map(tuple, want.collect())) != []
