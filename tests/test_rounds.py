@@ -70,3 +70,10 @@ def test_state(spark, monkeypatch, program):
     folder, cells = program
     want = lattice.after(cells, 500).groupBy("job_id").agg(F.count("*").alias("n"))
     assert in_rounds(monkeypatch, "state_after_step", spark, folder) == sorted(map(tuple, want.collect())) != []
+
+
+def test_regions(spark, monkeypatch, program):
+    folder, cells = program
+    names = ["job_id", "seq", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z", "cells"]
+    want = lattice.changed_region(cells).select(names)
+    assert in_rounds(monkeypatch, "changed_region", spark, folder) == sorted(map(tuple, want.collect())) != []
