@@ -165,6 +165,14 @@ def primitives_3axis(segs: DataFrame, tool: Tool | None, res: float, field: bool
     return _listed(cut, F.concat(F.when(ball, tip_ball).otherwise(tip_flat), top, along))
 
 
+def reach_3axis(tool: Tool | None) -> tuple[g.Point, g.Point]:
+    """The least and the greatest point that primitives of a segment touch, for those of :func:`primitives_3axis`."""
+    r, n, _ = _tool_columns(tool)
+    ends = [(F.col(f"{a}0"), F.col(f"{a}1")) for a in "xyz"]
+    lo, hi = ([f(*e) for e in ends] for f in (F.least, F.greatest))
+    return tuple(c - r for c in lo), (hi[0] + r, hi[1] + r, hi[2] + n + r)
+
+
 def primitives_5axis(segs: DataFrame, tool: Tool | None, res: float, field: bool = False) -> DataFrame:
     """What G1_5 segments take away: at samples along the way a sphere at the tip and the leaning shaft.
 

@@ -473,7 +473,7 @@ def toolpath_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toolpath_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds.first_cuts(segments(spark, sf_dir), _bed_primitives, BED)
+    return rounds.first_cuts(segments(spark, sf_dir), _bed_primitives, BED, reach=toolpath.reach_3axis(TOOL))
 
 
 @query(FIRST_CUT)
@@ -499,7 +499,7 @@ def capsule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FIRST_CUT)
 def toolpath_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.cells(rounds.first_cuts(segments(spark, sf_dir), _bed_primitives, BED, runs.words))
+    return runs.cells(rounds.first_cuts(segments(spark, sf_dir), _bed_primitives, BED, runs.words, reach=toolpath.reach_3axis(TOOL)))
 
 
 @query(f"SELECT job_id, count(*) AS cells FROM ({FIRST_CUT}) WHERE first_cut <= 500 GROUP BY job_id")
